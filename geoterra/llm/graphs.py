@@ -30,7 +30,7 @@ def spanning(pairs) -> list[tuple[int, int]]:
     return [(x, r) for x in parent if (r := find(x)) != x]
 
 
-def _contracted(edges: DataFrame, limit: int = 500_000) -> DataFrame:
+def _contracted(edges: DataFrame, limit: int = 100_000) -> DataFrame:
     """The same components with fewer links: each task joins up what it holds, ``limit`` links at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

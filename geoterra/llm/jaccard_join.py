@@ -30,7 +30,7 @@ _BITS = np.array([1 << i for i in range(64)], np.uint64)
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingles as sorted hashes; a text of fewer words is one shingle, one without words has none."""
     factor = mix(np.arange(1, size + 1, dtype=np.uint64))
-    for low, high, raw, offsets in chunks(column):
+    for low, high, raw, offsets in chunks(column, 1 << 20):
         buf = LOWER[raw]
         starts, ends, first = word_spans(buf, offsets, SPACE)
         w = span_hashes(prefix_sums(buf), starts, ends)
@@ -229,12 +229,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block_
     cut into blocks by size and hash, and all pairs of blocks whose sizes allow a link are compared.
     Sets are held as 64-bit shingle hashes, equal sets told by a 128-bit digest.
     """
-    kept, count = shards(docs)
+    kept, count = shards(docs, 8 << 20)
     bits = max(4, min(16, (4 * count - 1).bit_length()))
     found = written(_sets(kept, _replies(_requests(kept, size, bits)), size, percent), "jaccard-sets")
     nodes = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("rare").alias("rare"))
     nodes = written(nodes, "jaccard-nodes")
-    prefix = _prefixes(nodes)
+    prefix = written(_prefixes(nodes), "jaccard-prefixes")
     hub = prefix.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("c")).filter("c > 1")
     parts = connected_components(prefix.join(hub, "token").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     inside = written(nodes.select("node", "n", "shared").join(parts, "node").withColumn("m", (F.octet_length("shared") / 8).cast("long")), "jaccard-parts")
