@@ -92,6 +92,14 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def fixed_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the spans of ``size`` bytes from every place on, as ``span_hashes`` gives them."""
+    n = max(len(sums) - size, 0)
+    _, down = _powers(len(sums))
+    with np.errstate(over="ignore"):
+        return mix((sums[size:] - sums[:n]) * down[:n] + U(size) * U(0xD6E8FEB86659FD93))
+
+
 def planes(a: np.ndarray) -> bytes:
     """Bytes of an integer array, low bytes first, then the next: sorted or small numbers compress well in a shuffle."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b""

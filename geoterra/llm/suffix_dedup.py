@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekernel import U, planes, prefix_sums, span_hashes, unplanes
+from .bytekernel import U, fixed_hashes, planes, prefix_sums, span_hashes, unplanes
 from .store import shards, written
 
 KMER = 20
@@ -31,7 +31,7 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(a) - w + 1], m[w - size : len(a) - size + 1])
 
 
-def contexts(raw: np.ndarray, offsets: np.ndarray, width: int, limit: int = 1 << 20) -> tuple[np.ndarray, ...]:
+def contexts(raw: np.ndarray, offsets: np.ndarray, width: int, limit: int = 1 << 18) -> tuple[np.ndarray, ...]:
     """(document, first window, last window, anchor hash, context hash) of all contexts of a shard's bytes."""
     out: list[tuple] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2]
     n, row, span = len(offsets) - 1, 0, width - KMER + 1
@@ -46,9 +46,8 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, width: int, limit: int = 1 <<
         if len(buf) >> POSITION_BITS:
             raise ValueError("a text of 256 MB or more")
         sums = prefix_sums(buf)
-        at = np.arange(len(buf) - KMER + 1)
-        kmers = span_hashes(sums, at, at + KMER)
-        key = (kmers >> U(POSITION_BITS) << U(POSITION_BITS)) | at.astype(np.uint64)
+        kmers = fixed_hashes(sums, KMER)
+        key = (kmers >> U(POSITION_BITS) << U(POSITION_BITS)) | np.arange(len(kmers), dtype=np.uint64)
         anchor = (_sliding_min(key, span) & U((1 << POSITION_BITS) - 1)).astype(np.int64)
         step = np.zeros(len(buf) + 1, np.int64)
         long = np.diff(off) >= width
@@ -80,12 +79,14 @@ class _Shard:
         known = ~np.array([x is None for x in ids], bool)[doc] if len(doc) else np.zeros(0, bool)
         doc, lo, hi, fp, ctx = (x[known] for x in (doc, lo, hi, fp >> U(16), ctx >> U(24)))
         own = self.ids[doc]
-        order = np.lexsort((own, ctx, fp))
+        # By anchor, then by 16 bits of the context: a clash of those only sends a context twice.
+        order = np.argsort(fp << U(16) | ctx >> U(24))
         self.doc, self.lo, self.hi, self.own, fp, ctx = (x[order] for x in (doc, lo, hi, own, fp, ctx))
         fresh = np.append(True, (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])) if len(fp) else np.zeros(0, bool)
         self.first = np.flatnonzero(fresh)
         self.entry = np.cumsum(fresh) - 1
-        self.fp, self.ctx, self.least = fp[self.first], ctx[self.first], self.own[self.first]
+        self.fp, self.ctx = fp[self.first], ctx[self.first]
+        self.least = np.minimum.reduceat(self.own, self.first) if len(self.first) else self.own
 
 
 def _requests(kept: DataFrame, width: int, bits: int) -> DataFrame:
@@ -165,42 +166,32 @@ def _sent(kept: DataFrame, replies: DataFrame, width: int, bits: int) -> DataFra
 
 
 def suffix_array(text: np.ndarray, rest: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes with at least ``least`` bytes to the end of their context, sorted, and each one's common prefix with the one before. ``rest``: bytes to the end of the context, for each place."""
-    most = int(rest.max())
-    code = np.zeros(len(text) + 8, np.uint64)
-    code[: len(text)] = text.astype(np.uint64) + U(1)
-    head = np.zeros(len(text), np.uint64)
-    alive = np.ones(len(text), bool)
-    for k in range(7):  # seven symbols of nine bits; past the end of a context all are zero
-        alive &= rest > k
-        head = (head << U(9)) | np.where(alive, code[k : k + len(text)], U(0))
-    levels = [np.unique(head, return_inverse=True)[1].astype(np.int64)]
-    size = 7
-    while size < most:
-        r = levels[-1]
-        after = np.full(len(r), -1, np.int64)
-        after[:-size] = r[size:] if size < len(r) else after[:-size]
-        after[rest <= size] = -1
-        levels.append(np.unique(r * (len(r) + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
-        size *= 2
+    """Suffixes that share their first ``least`` bytes with another, sorted, and each one's common prefix with the one before.
+
+    ``rest``: bytes to the end of the context, for each place; suffixes end there. UTF-8 has no byte 255, so bytes
+    plus one leave 0 for the end.
+    """
     sa = np.flatnonzero(rest >= least)
-    sa = sa[np.argsort(levels[-1][sa], kind="stable")]
-    i, j = sa[:-1].copy(), sa[1:].copy()
-    lcp = np.zeros(len(i), np.int64)
-    bound = np.minimum(rest[i], rest[j])
-    for k in range(len(levels) - 1, -1, -1):
-        step = 7 << k
-        inside = lcp < bound
-        same = inside & (levels[k][np.minimum(i, len(text) - 1)] == levels[k][np.minimum(j, len(text) - 1)])
-        lcp[same] += step
-        i[same] += step
-        j[same] += step
-    for _ in range(7):
-        same = (lcp < bound) & (code[np.minimum(i, len(text))] == code[np.minimum(j, len(text))])
-        lcp[same] += 1
-        i[same] += 1
-        j[same] += 1
-    return sa, np.append(0, np.minimum(lcp, bound))
+    if not len(sa):
+        return sa, sa
+    heads = fixed_hashes(prefix_sums(text), least)[sa]
+    order = np.argsort(heads)
+    same = heads[order][1:] == heads[order][:-1]
+    sa = np.sort(sa[order[np.append(False, same) | np.append(same, False)]])
+    if not len(sa):
+        return sa, sa
+    depth = -(-int(rest[sa].max()) // 8) * 8
+    padded = np.zeros(len(text) + depth, np.uint8)
+    padded[: len(text)] = text + np.uint8(1)
+    rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[sa].copy()
+    rows[np.arange(depth) >= rest[sa][:, None]] = 0
+    words = rows.view(">u8").astype(np.uint64)
+    order = np.lexsort(words.T[::-1])
+    rows = rows[order]
+    unlike = rows[1:] != rows[:-1]
+    lcp = np.where(unlike.any(1), unlike.argmax(1), depth)
+    sa = sa[order]
+    return sa, np.append(0, np.minimum(lcp, np.minimum(rest[sa[1:]], rest[sa[:-1]])))
 
 
 def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -245,6 +236,11 @@ def _masks(sent: DataFrame, width: int) -> DataFrame:
         sa, lcp = suffix_array(text, rest, width)
         left = np.where(sa == start[of[sa]], -1, text[np.maximum(sa - 1, 0)].astype(np.int64))
         own = docs[of[sa]]
+        run = np.cumsum(lcp < width) - 1
+        if len(sa):  # runs of one document need no scan
+            first = np.flatnonzero(lcp < width)
+            several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+            lcp = np.where(several[run], lcp, 0)
         step = np.zeros(len(text) + 1, np.int64)
         for length, low, high in maximal_repeats(lcp, left, width):
             d = own[low : high + 1]
@@ -315,10 +311,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep:
     Anchors with more than ``spread`` different contexts are compared window by window, by hash, over all tasks.
     Anchors and contexts are matched by 48 and 40 hash bits together.
     """
-    kept, count = shards(docs, keep=keep)
+    kept, count = shards(docs, 6 << 20, keep=keep)
     bits = max(4, min(16, (4 * count - 1).bit_length()))
     replies = written(_replies(_requests(kept, width, bits), spread), "repeat-replies")
-    masks = _masks(_sent(kept, replies, width, min(20, bits + 2)), width)
+    masks = _masks(written(_sent(kept, replies, width, min(20, bits + 2)), "repeat-contexts"), width)
 
     def packed(t: pa.Table) -> pa.Table:
         a = np.column_stack([t.column("entry").to_numpy().astype(np.int64), t.column("mask").to_numpy()])
