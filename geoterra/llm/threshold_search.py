@@ -23,17 +23,23 @@ def threshold_top(vectors: np.ndarray, ids: np.ndarray, up: np.ndarray, query: n
     seen = np.zeros(count, bool)
     best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
     lists = np.where(weights > 0, up[::-1, dims], up[:, dims]) if len(dims) else up[:, :0]
-    depth, step = 0, 4 * k
+    depth, step = 0, max(4 * k, count // 16)
+    scores = None
     while depth < count:
         after = min(count, depth + step)
         fresh = np.zeros(count, bool)
-        fresh[lists[depth:after].ravel()] = True
-        if not len(dims):
-            fresh[depth:after] = True
+        fresh[lists[depth:after].ravel() if len(dims) else slice(depth, after)] = True
         rows = np.flatnonzero(fresh & ~seen)
         seen[rows] = True
         rows = rows[ids[rows] != own]
-        best_ids, best = np.append(best_ids, ids[rows]), np.append(best, vectors[rows] @ query)
+        if scores is None and 4 * len(rows) > count:
+            scores = vectors @ query  # most rows are met at once: one product is cheaper than gathering them
+        got = scores[rows] if scores is not None else vectors[rows] @ query
+        got = got.astype(np.int64)
+        if len(got) > k:
+            near = got >= np.partition(got, len(got) - k)[len(got) - k]
+            rows, got = rows[near], got[near]
+        best_ids, best = np.append(best_ids, ids[rows]), np.append(best, got)
         top = np.lexsort((best_ids, -best))[:k]
         best_ids, best = best_ids[top], best[top]
         depth, step = after, step * 2
@@ -73,6 +79,9 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
             lists = [x for t in (a, b) for x in t.column("v").to_pylist()]
             width = max(map(len, lists))
             every = np.array([x + [0] * (width - len(x)) for x in lists], np.int64).reshape(len(lists), width)
+            # Products of whole numbers are exact in doubles while their sums stay below 2^53, and much faster there.
+            if float(np.abs(every).max(initial=0)) ** 2 * width < 2.0**53:
+                every = every.astype(float)
             rows, wanted = every[: len(a)], every[len(a) :]
             ids = a.column("vec_id").to_numpy()
             up = np.argsort(rows, axis=0, kind="stable")
