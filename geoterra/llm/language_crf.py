@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import LOWER, SPACE, U, chunks, prefix_sums, span_hashes, word_spans
+from .store import smallest
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -130,7 +131,8 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 1500, bits
     """
     text_id = F.col("doc_id").cast("long").cast("string")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.pmod(F.crc32(text_id.cast("binary")), F.lit(folds)) != held, F.lit(True)))
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text")).orderBy("h", "lang", "text").limit(sample)
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = smallest(rows, sample, "lang", "text")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("h", "ascending")])
@@ -167,7 +169,7 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
         names, weights, transitions = shared.value
         for batch in batches:
             texts = batch.column(1)
-            for low, high, raw, offsets in chunks(texts, 3 << 20):
+            for low, high, raw, offsets in chunks(texts, 1 << 20):
                 pred, score = [UNKNOWN] * (high - low), np.zeros(high - low)
                 if names:
                     buf = LOWER[raw]

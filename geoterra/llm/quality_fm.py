@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .bytekernel import LOWER, SPACE, U, chunks, prefix_sums, span_hashes, word_spans
 from .language_crf import held_out
+from .store import smallest
 
 STATISTICS = ("bytes", "words", "word_length", "upper", "digits", "punctuation", "beyond_ascii", "lines", "distinct_words", "top_word", "repeated_next", "pipes", "exclamations", "distinct_shingles", "short_words", "long_words")
 _CLASS = np.zeros((5, 256), bool)
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sampl
     to no document are ignored. Without labels every score is 0.5.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
-    known = known.filter(~held_out(folds, held)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    known = smallest(known.filter(~held_out(folds, held)).withColumn("h", F.xxhash64("doc_id")), sample, "doc_id", "quality").drop("h")
     rows = _source(docs).join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,3 +51,11 @@ def shards(docs: DataFrame, shard_bytes: int = 12 << 20, keep: tuple[str, ...] =
     buckets = max(1, min(count, 4096, math.ceil((top.all or 1) / shard_bytes * 2)))
     rows.select(cell.cast("int").alias("shard"), "doc_id", "text", *keep).write.option("path", path).option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
     return spark.table(name), count
+
+
+def smallest(rows: DataFrame, sample: int, *ties: str) -> DataFrame:
+    """At most ``sample`` rows, those with the smallest hash ``h``. A bound on the hash keeps about twice as many first, so what is sorted does not grow with the table."""
+    count = rows.count()
+    if count > 4 * sample:
+        rows = rows.filter(F.col("h") <= -(2**63) + int(2**64 * (2 * sample / count)))
+    return rows.orderBy("h", *ties).limit(sample)
