@@ -229,7 +229,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block_
     cut into blocks by size and hash, and all pairs of blocks whose sizes allow a link are compared.
     Sets are held as 64-bit shingle hashes, equal sets told by a 128-bit digest.
     """
-    kept, count = shards(docs, 8 << 20)
+    kept, count = shards(docs, 6 << 20)
     bits = max(4, min(16, (4 * count - 1).bit_length()))
     found = written(_sets(kept, _replies(_requests(kept, size, bits)), size, percent), "jaccard-sets")
     nodes = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("rare").alias("rare"))
@@ -255,7 +255,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block_
     large = salted.join(sides, ["component", "band", "salt"]).select("cell", "side", "node", "n", "shared")
     bins = max(8, 8 * count)
     cells = single.union(large).withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins)))
-    same = connected_components(_links(cells, percent))
+    same = connected_components(written(_links(cells, percent), "jaccard-links"))
     label = nodes.select("digest", "node").join(same, "node").select("digest", "component")
     out = found.select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left").join(label, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
