@@ -36,7 +36,8 @@ def r(c, n: int = 4):
     return F.round(c, n)
 
 
-KM = geo.between_tables("u", "p")
+def km():
+    return geo.between_tables("u", "p")
 
 
 # --- Sources -------------------------------------------------------------------------------------------------------
@@ -121,7 +122,7 @@ def p18_unit_keys(t):
 
 @query(f", a as (select 1) select unit_id, pole_id, round({hav('u', 'p')}, 4) as km from fx_unit u join fx_pole p on u.state = p.state")
 def p19_haversine_pairs(t):
-    return pairs(t).select("unit_id", "pole_id", r(KM).alias("km"))
+    return pairs(t).select("unit_id", "pole_id", r(km()).alias("km"))
 
 
 BAND_SQL = "case when pop < 30000 then 'ABAIXO_30_MIL' when pop < 50000 then '30_A_50_MIL' when pop < 100000 then '50_A_100_MIL' when pop < 300000 then '100_A_300_MIL' else '300_MIL_OU_MAIS' end"
@@ -178,7 +179,7 @@ def p28_site_penalty(t):
 @query(f", a as (select u.unit_id, p.pole_id, population / 20 as pop, {hav('u', 'p')} as km, u.state <> p.state as crosses from fx_unit u join fx_pole p on u.area = p.area), b as (select *, {RADIUS_SQL} as rad from a) select unit_id, pole_id, round(km + case when crosses then 40 else 0 end + case when rad > 0 then pow(greatest(km - rad, 0), 2) / greatest(rad, 1) else 0 end, 3) as cost from b")
 def p29_service_cost(t):
     radius = v.population_rule(F.col("u.population") / 20)["radius_km"]
-    return pairs(t, "area").select("unit_id", "pole_id", F.round(v.service_cost(KM, F.col("u.state") != F.col("p.state"), radius), 3).alias("cost"))
+    return pairs(t, "area").select("unit_id", "pole_id", F.round(v.service_cost(km(), F.col("u.state") != F.col("p.state"), radius), 3).alias("cost"))
 
 
 @query(", a as (select 1) select pole_id, printf('P-G%03d', row_number() over (order by pole_num)) as site from fx_pole")
@@ -255,7 +256,7 @@ def j17_range_join(t):
 @query(f", a as (select u.unit_id, p.pole_id, {hav('u', 'p')} as km, row_number() over (partition by u.unit_id order by coalesce(o.pole_id = p.pole_id, false) desc, {hav('u', 'p')}, p.pole_num) as rank from fx_unit u join fx_pole p on u.area = p.area left join fx_own o on o.unit_id = u.unit_id) select unit_id, pole_id, cast(rank as integer) as rank, round(km, 4) as km from a where rank <= 4")
 def j18_topk_shortlist(t):
     own = portfolio.dominant(t.counts).select(F.col("unit_id").alias("o_unit"), F.col("pole_id").alias("o_pole"))
-    p = pairs(t, "area").select("u.unit_id", "p.pole_id", "p.pole_num", KM.alias("km")).join(own, F.col("unit_id") == F.col("o_unit"), "left")
+    p = pairs(t, "area").select("u.unit_id", "p.pole_id", "p.pole_num", km().alias("km")).join(own, F.col("unit_id") == F.col("o_unit"), "left")
     p = p.withColumn("is_own", F.coalesce(F.col("o_pole") == F.col("pole_id"), F.lit(False)))
     return spatial.shortlist(p, 4).select("unit_id", "pole_id", "rank", r("km").alias("km"))
 
