@@ -262,8 +262,9 @@ def _masks(sent: DataFrame, width: int) -> DataFrame:
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cleaned(kept: DataFrame, replies: DataFrame, width: int, keep: tuple[str, ...]) -> DataFrame:
+def _cleaned(kept: DataFrame, replies: DataFrame, width: int, keep: tuple[str, ...], as_text: bool) -> DataFrame:
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
+    result = KEPT.replace("kept binary", "kept string") if as_text else KEPT
 
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
         s, code = _Shard(t, width), _codes(r)
@@ -294,17 +295,21 @@ def _cleaned(kept: DataFrame, replies: DataFrame, width: int, keep: tuple[str, .
         lo, hi = s.offsets[:-1], s.offsets[1:]
         cut = np.append(0, (hi - before[hi])) if len(hi) else np.zeros(1, np.int64)
         cut[0] = lo[0] - before[lo[0]] if len(lo) else 0
+        pieces = [left[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        rest = pa.array([p.decode("utf-8", "ignore") for p in pieces], pa.string()) if as_text else pa.array(pieces, pa.binary())
         return pa.table({
             "doc_id": t.column("doc_id"), "n_bytes": pa.array(hi - lo), "n_removed": pa.array(before[hi] - before[lo]), "n_spans": pa.array(spans[hi] - spans[lo]),
-            "kept": pa.array([left[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()), **{c: t.column(c) for c in keep},
+            "kept": rest, **{c: t.column(c) for c in keep},
         })
 
-    return kept.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(run, KEPT + extra)
+    return kept.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(run, result + extra)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, the ``kept`` bytes, and the columns named in ``keep``.
 
+    With ``as_text`` kept is a string, and a character cut in two by a removed byte goes whole.
+
     A byte goes if a string of ``width`` bytes over it also starts in a document with a smaller doc_id. Texts are
     UTF-8 bytes, whole; null is empty; matches never cross documents; rows with a null doc_id neither remove nor
     lose anything; rows with equal doc_ids do not remove each other's. Repeated rows stay; other columns are ignored.
@@ -320,7 +325,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep:
         a = np.column_stack([t.column("entry").to_numpy().astype(np.int64), t.column("mask").to_numpy()])
         return pa.table({"shard": t.column("shard").slice(0, 1), "bucket": pa.array([-1], pa.int32()), "data": pa.array([a.tobytes()], pa.binary())})
 
-    return _cleaned(kept, replies.unionByName(masks.groupBy("shard").applyInArrow(packed, "shard int, bucket int, data binary")), width, keep)
+    return _cleaned(kept, replies.unionByName(masks.groupBy("shard").applyInArrow(packed, "shard int, bucket int, data binary")), width, keep, as_text)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
