@@ -7,9 +7,6 @@ after the second stage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, and documents that are nothing else. A character cut in two by a removed byte goes too."""
-    kept = remove_repeats(docs, keep=("lang", "source", "n_chars"))
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, batch.column("lang"), batch.column("source"), batch.column("n_chars"), batch.column("n_removed")], ["doc_id", "text", "lang", "source", "n_chars", "n_removed"])
-
-    out = kept.mapInArrow(decoded, "doc_id long, text string, lang string, source string, n_chars long, n_removed long")
+    out = remove_repeats(docs, keep=("lang", "source", "n_chars"), as_text=True).withColumnRenamed("kept", "text")
     changed = F.col("n_removed") > 0
     return out.filter(~changed | (F.trim("text") != "")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select("doc_id", "text", "lang", "source", "n_chars")
 
