@@ -42,3 +42,15 @@ def movements(old: DataFrame, new: DataFrame) -> DataFrame:
     j = old.select("unit_key", F.col("pole_id").alias("origin"), F.col("km").alias("km_old")).join(new.select("unit_key", F.col("pole_id").alias("destination"), F.col("km").alias("km_new")), "unit_key", "full_outer")
     kind = F.when(F.col("destination").isNull(), "REMOVIDA").when(F.col("origin").isNull(), "NOVA_COBERTURA").when(F.col("origin") == F.col("destination"), "MANTIDA").otherwise("MOVIDA")
     return j.select("unit_key", "origin", "destination", kind.alias("movement"), F.round("km_old", 4).alias("km_old"), F.round("km_new", 4).alias("km_new"), F.round(F.col("km_new") - F.col("km_old"), 4).alias("km_delta"))
+
+
+def retained(poles: DataFrame, targets: DataFrame, region: str = "area") -> DataFrame:
+    """Which poles a region keeps: the ``target`` largest loads stay (RETIDO), the others may move elsewhere (DOADOR).
+
+    ``poles`` has (pole_id, pole_num, region, load), ``targets`` (region, target). Ties go to the smaller pole_num, a
+    null load counts as none, and a region without a target keeps nothing.
+    """
+    order = Window.partitionBy(region).orderBy(F.desc(F.coalesce("load", F.lit(0))), "pole_num")
+    ranked = poles.withColumn("rank", F.row_number().over(order)).join(targets, region, "left")
+    role = F.when(F.col("rank") <= F.coalesce("target", F.lit(0)), "RETIDO").otherwise("DOADOR")
+    return ranked.select("pole_id", region, "rank", role.alias("role"))

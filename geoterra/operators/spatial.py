@@ -40,3 +40,19 @@ def shortlist(pairs: DataFrame, k: int, unit: str = "unit_id", own: str = "is_ow
     """The k best candidates of each unit; its own site always stays."""
     order = Window.partitionBy(unit).orderBy(F.desc(own), "km", "pole_num")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def dissolved(polygons: DataFrame, key: str) -> DataFrame:
+    """The outline of the union of each key's polygons, as boundary edges (key, x1, y1, x2, y2).
+
+    ``polygons`` has (key, ring), a ring being an array of (lon, lat) structs that need not repeat its first point.
+    Equal rings count once; polygons must meet in whole edges, as those of one mesh do. An edge that an even number of
+    polygons share lies inside and goes. Null and empty rings have no edges, and a repeated point makes none.
+    """
+    once = polygons.select(key, "ring").filter("size(ring) > 0").distinct()
+    corner = lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))
+    edge = F.transform("ring", lambda p, i: F.struct(corner(p).alias("p"), corner(F.element_at("ring", ((i + 1) % F.size("ring") + 1).cast("int"))).alias("q")))
+    edges = once.select(key, F.explode(edge).alias("e")).filter("e.p <> e.q")
+    sides = edges.select(key, F.least("e.p", "e.q").alias("a"), F.greatest("e.p", "e.q").alias("b"))
+    odd = sides.groupBy(key, "a", "b").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    return odd.select(key, F.col("a.lon").alias("x1"), F.col("a.lat").alias("y1"), F.col("b.lon").alias("x2"), F.col("b.lat").alias("y2"))

@@ -531,6 +531,41 @@ def r07_contiguous_growth(t):
     return solvers.grown(seats, e, "state")
 
 
+@query(", l as (select pole_id, count(*) as load from fx_cur group by 1), g as (select area, count(*) // 2 as target from fx_pole group by 1), a as (select p.pole_id, p.area, row_number() over (partition by p.area order by coalesce(load, 0) desc, p.pole_num) as rank, target from fx_pole p left join l using (pole_id) join g on p.area = g.area) select pole_id, area, rank, case when rank <= target then 'RETIDO' else 'DOADOR' end as role from a")
+def f06_retained_poles(t):
+    load = t.current.groupBy("pole_id").agg(F.count("*").alias("load"))
+    targets = t.poles.groupBy("area").agg(F.floor(F.count("*") / 2).alias("target"))
+    return portfolio.retained(t.poles.join(load, "pole_id", "left"), targets)
+
+
+# --- Geometry ------------------------------------------------------------------------------------------------------
+CELL_SQL = ", cell as (select distinct city_code, raw_population as x, cast(cast(district_code as bigint) % 20 as double) as y from fx_district)"
+
+
+def cells(t: Territory) -> DataFrame:
+    """Districts as unit squares of a mesh; some repeat."""
+    x, y = F.col("raw_population"), (F.col("district_code").cast("long") % 20).cast("double")
+    corner = lambda i, j: F.struct((x + i).alias("lon"), (y + j).alias("lat"))
+    return t.districts.select("city_code", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+
+
+@query(CELL_SQL + ", a as (select city_code, x as x1, y as y1, x + 1 as x2, y as y2 from cell union all select city_code, x, y + 1, x + 1, y + 1 from cell union all select city_code, x, y, x, y + 1 from cell union all select city_code, x + 1, y, x + 1, y + 1 from cell) select city_code, x1, y1, x2, y2 from a group by all having count(*) % 2 = 1")
+def g07_dissolved_outline(t):
+    return spatial.dissolved(cells(t), "city_code")
+
+
+@query(CELL_SQL + " select city_code, x, y, cast(1.0 as double) as area from cell")
+def g02_ring_areas(t):
+    first = F.element_at("ring", 1)
+    return cells(t).distinct().select("city_code", first["lon"].alias("x"), first["lat"].alias("y"), geo.ring_area(F.col("ring")).alias("area"))
+
+
+@query(", a as (select city_code from fx_district group by 1 having sum(raw_population) >= 2000) select city_code, district_code from fx_district where city_code in (select city_code from a)")
+def g10_metropolitan_districts(t):
+    large = t.districts.groupBy("city_code").agg(F.sum("raw_population").alias("p")).filter("p >= 2000")
+    return t.districts.join(large, "city_code", "left_semi").select("city_code", "district_code")
+
+
 # --- Quality, sinks ------------------------------------------------------------------------------------------------
 @query(", a as (select 1) select 'UNIDADE_SEM_POLO' as code, unit_key as entity from fx_unit where unit_id not in (select unit_id from fx_own) union all select 'COORDENADA_UNIDADE_INVALIDA', unit_key from fx_unit where lat not between -30 and 5 union all select 'POPULACAO_INVALIDA', unit_key from fx_unit where population <= 100000")
 def q01_issue_log(t):

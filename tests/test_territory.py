@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from geoterra.functions import geo, values
-from geoterra.operators import graph, portfolio, solvers, stats
+from geoterra.operators import graph, portfolio, solvers, spatial, stats
 from geoterra.sources import tables
 
 
@@ -77,3 +77,16 @@ def test_area_and_ring(spark):
     box = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (4, 0), (4, 2), (0, 2))])
     r = one(spark, a=geo.ring_area(box), c=geo.box_centre(box), i=geo.in_ring(F.lit(1.0), F.lit(1.0), box), o=geo.in_ring(F.lit(5.0), F.lit(1.0), box))
     assert (r.a, r.c.lon, r.c.lat, r.i, r.o) == (8.0, 2.0, 1.0, True, False) and math.isfinite(r.a)
+
+
+def test_dissolved_squares(spark):
+    square = lambda x: [Row(lon=float(x + i), lat=float(j)) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    rows = spark.createDataFrame([("k", square(0)), ("k", square(1)), ("k", square(1)), ("k", None), ("k", [])], "k string, ring array<struct<lon double, lat double>>")
+    got = {(r.x1, r.y1, r.x2, r.y2) for r in spatial.dissolved(rows, "k").collect()}
+    assert got == {(0, 0, 1, 0), (1, 0, 2, 0), (0, 1, 1, 1), (1, 1, 2, 1), (0, 0, 0, 1), (2, 0, 2, 1)}
+
+
+def test_retained_poles(spark):
+    poles = spark.createDataFrame([("a", 1, "N", 5), ("b", 2, "N", 5), ("c", 3, "N", None), ("d", 4, "S", 9)], "pole_id string, pole_num long, area string, load long")
+    got = {r.pole_id: r.role for r in portfolio.retained(poles, spark.createDataFrame([("N", 1)], ["area", "target"])).collect()}
+    assert got == {"a": "RETIDO", "b": "DOADOR", "c": "DOADOR", "d": "DOADOR"}
