@@ -269,3 +269,11 @@ def test_empty_tables(docs):
 
     for f in (score, jaccard_components, remove_repeats, pack):
         assert f(docs.limit(0)).count() == 0
+
+
+def test_kept_text_loses_cut_characters(spark):
+    from geoterra.llm.suffix_dedup import remove_repeats
+
+    passage = "".join(chr(48 + i) for i in range(60))
+    docs = spark.createDataFrame([(1, "é" + passage), (2, "xũ" + passage), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in remove_repeats(docs, as_text=True).collect()} == {1: "é" + passage, 2: "x", 3: ""}
