@@ -55,3 +55,91 @@ def fragmentation(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     """Per pole: units and the number of connected parts of its portfolio."""
     inside = edges.join(assigned.select(F.col("unit_id").alias("src"), "pole_id"), "src").join(assigned.select(F.col("unit_id").alias("dst"), F.col("pole_id").alias("q")), "dst").filter("pole_id = q").select("src", "dst")
     return components(assigned, inside).join(assigned, "unit_id").groupBy("pole_id").agg(F.count("*").alias("units"), F.count_distinct("component").alias("parts"))
+
+
+def severed(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pole_id, component, units): the parts of each portfolio that are cut off from its largest part (ties: the smallest component)."""
+    from pyspark.sql import Window
+
+    inside = _inside(assigned, edges)
+    parts = components(assigned, inside).join(assigned, "unit_id").groupBy("pole_id", "component").agg(F.count("*").alias("units"))
+    order = Window.partitionBy("pole_id").orderBy(F.desc("units"), "component")
+    return parts.withColumn("i", F.row_number().over(order)).filter("i > 1").select("pole_id", "component", "units")
+
+
+def _inside(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between units of one portfolio."""
+    a, b = assigned.select(F.col("unit_id").alias("src"), "pole_id"), assigned.select(F.col("unit_id").alias("dst"), F.col("pole_id").alias("q"))
+    return edges.select("src", "dst").join(a, "src").join(b, "dst").filter("pole_id = q").select("src", "dst", "pole_id")
+
+
+def cut_units(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pole_id, unit_id): units whose removal leaves more parts of their portfolio, found by a depth-first search in each portfolio."""
+    import pandas as pd
+
+    def run(key: tuple, u: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[int]] = {i: [] for i in sorted(u["unit_id"])}
+        for a, b in zip(e["src"], e["dst"], strict=True):
+            near[a].append(b)
+        order: dict[int, int] = {}
+        low: dict[int, int] = {}
+        cuts: set[int] = set()
+        for root in near:
+            if root in order:
+                continue
+            order[root] = low[root] = len(order)
+            stack, branches = [(root, None, iter(near[root]))], 0
+            while stack:
+                at, above, rest = stack[-1]
+                to = next(rest, None)
+                if to is None:
+                    stack.pop()
+                    if above is not None:
+                        low[above] = min(low[above], low[at])
+                        if above == root:
+                            branches += 1
+                        elif low[at] >= order[above]:
+                            cuts.add(above)
+                elif to not in order:
+                    order[to] = low[to] = len(order)
+                    stack.append((to, at, iter(near[to])))
+                elif to != above:
+                    low[at] = min(low[at], order[to])
+            if branches > 1:
+                cuts.add(root)
+        return pd.DataFrame({"pole_id": pd.Series([key[0]] * len(cuts), dtype=object), "unit_id": pd.Series(sorted(cuts), dtype="int64")})
+
+    inside = _inside(assigned, edges)
+    inside = inside.select(*[F.col(c).alias(c) for c in inside.columns])
+    return assigned.select("unit_id", "pole_id").groupBy("pole_id").cogroup(inside.groupBy("pole_id")).applyInPandas(run, "pole_id string, unit_id long")
+
+
+def reached(places: DataFrame, centres: DataFrame, radius_km: float) -> DataFrame:
+    """(pole_id, unit_id): places within ``radius_km`` of a centre that hang together with the nearest one by links.
+
+    A link is at most 2.5 times the 75th percentile of nearest-neighbour distances inside the circle, at least 20 km, and at most
+    the larger of 35 km and 0.45 of the radius. ``places`` has (unit_id, lat, lon), ``centres`` (pole_id, lat, lon). Each circle is one group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from .solvers import distances
+    from .spatial import within_km
+
+    c, p = centres.select("pole_id", "lat", "lon", F.lit(1).alias("_all")), places.select("unit_id", "lat", "lon", F.lit(1).alias("_all"))
+    inside = within_km(c, p, radius_km, ["_all"]).select("a.pole_id", "b.unit_id", "b.lat", "b.lon", "km")
+
+    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
+        u = u.sort_values(["km", "unit_id"]).reset_index(drop=True)
+        n, every = len(u), distances(u, u)
+        np.fill_diagonal(every, np.inf)
+        nearest = np.sort(every.min(1)) if n > 1 else np.array([25.0])
+        link = min(max(20.0, 2.5 * nearest[min(len(nearest) - 1, int(len(nearest) * 0.75))]), max(35.0, 0.45 * radius_km))
+        seen, front = np.zeros(n, bool), np.array([0])
+        seen[0] = True
+        while len(front):
+            front = np.flatnonzero((every[front] <= link).any(0) & ~seen)
+            seen[front] = True
+        return pd.DataFrame({"pole_id": key[0], "unit_id": u["unit_id"][seen]})
+
+    return inside.groupBy("pole_id").applyInPandas(run, "pole_id string, unit_id long")

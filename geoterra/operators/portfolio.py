@@ -54,3 +54,10 @@ def retained(poles: DataFrame, targets: DataFrame, region: str = "area") -> Data
     ranked = poles.withColumn("rank", F.row_number().over(order)).join(targets, region, "left")
     role = F.when(F.col("rank") <= F.coalesce("target", F.lit(0)), "RETIDO").otherwise("DOADOR")
     return ranked.select("pole_id", region, "rank", role.alias("role"))
+
+
+def edited(assigned: DataFrame, edits: DataFrame) -> DataFrame:
+    """``assigned`` (unit_id, pole_id) after manual edits (unit_id, to), a null ``to`` taking the unit from its pole; units not edited stay as they are."""
+    e = edits.select("unit_id", "to", F.lit(True).alias("edited"))
+    j = assigned.join(e, "unit_id", "left").withColumn("edited", F.coalesce("edited", F.lit(False)))
+    return j.select("unit_id", F.when(F.col("edited"), F.col("to")).otherwise(F.col("pole_id")).alias("pole_id"), "edited")

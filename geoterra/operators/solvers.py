@@ -15,6 +15,11 @@ def distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
 
 
+def nothing(columns: list[str]) -> pd.DataFrame:
+    """No rows; columns of objects, since Arrow cannot turn an empty column of numbers into text."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def assignment(cost: np.ndarray) -> np.ndarray:
     """The column of each row in a one-to-one assignment of least total cost (rows <= columns), by shortest augmenting paths."""
     n, m = cost.shape
@@ -77,6 +82,8 @@ def greedy_sites(units: DataFrame, group: str, count: int) -> DataFrame:
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("unit_id").reset_index(drop=True)
         at = greedy_far(part, count)
+        if not at:
+            return nothing([group, "unit_id", "step"])
         return pd.DataFrame({group: [key[0]] * len(at), "unit_id": part["unit_id"].to_numpy()[at], "step": range(1, len(at) + 1)})
 
     return units.select(group, "unit_id", "relevance", "population", "lat", "lon").groupBy(group).applyInPandas(run, f"{group} string, unit_id long, step long")
@@ -88,7 +95,7 @@ def matched(current: DataFrame, proposed: DataFrame, group: str, how: str = "sum
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("pole_num").reset_index(drop=True), b.sort_values("pole_num").reset_index(drop=True)
         if a.empty or b.empty:
-            return pd.DataFrame({group: [], "current": [], "proposed": [], "km": []})
+            return nothing([group, "current", "proposed", "km"])
         cost = distances(a, b)
         turned = len(a) > len(b)
         square = cost.T if turned else cost

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_KM, between_tables
+from ..functions.geo import EARTH_KM, between_tables, in_ring
 
 SMALL = 50_000
 
@@ -56,3 +56,40 @@ def dissolved(polygons: DataFrame, key: str) -> DataFrame:
     sides = edges.select(key, F.least("e.p", "e.q").alias("a"), F.greatest("e.p", "e.q").alias("b"))
     odd = sides.groupBy(key, "a", "b").agg(F.count("*").alias("n")).filter("n % 2 = 1")
     return odd.select(key, F.col("a.lon").alias("x1"), F.col("a.lat").alias("y1"), F.col("b.lon").alias("x2"), F.col("b.lat").alias("y2"))
+
+
+def _boxed(polygons: DataFrame, cell: float) -> DataFrame:
+    """Polygons with their boxes and one row for each grid cell a box touches."""
+    side = lambda f, low: (F.array_min if low else F.array_max)(F.transform("ring", lambda p: p[f]))
+    boxed = polygons.withColumn("_w", side("lon", True)).withColumn("_e", side("lon", False)).withColumn("_s", side("lat", True)).withColumn("_n", side("lat", False)).filter("_w is not null")
+    at = lambda c: F.floor(F.col(c) / cell)
+    return boxed.withColumn("_x", F.explode(F.sequence(at("_w"), at("_e")))).withColumn("_y", F.explode(F.sequence(at("_s"), at("_n"))))
+
+
+def containing(points: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
+    """Points (unit_id, lat, lon) with the smallest ``key`` of the polygons (key, ring) that hold them; points in none are left out.
+
+    Both sides meet in grid cells of ``cell`` degrees, so no pair is tested twice and none outside a box's cells is formed.
+    """
+    p = points.select("unit_id", "lat", "lon", F.floor(F.col("lon") / cell).alias("_x"), F.floor(F.col("lat") / cell).alias("_y"))
+    hits = p.join(_boxed(polygons.select(key, "ring"), cell), ["_x", "_y"]).filter((F.col("lon").between(F.col("_w"), F.col("_e"))) & (F.col("lat").between(F.col("_s"), F.col("_n"))))
+    return hits.filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("unit_id").agg(F.min(key).alias(key))
+
+
+def box_pairs(polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
+    """(a, b) with a < b: polygons whose boxes overlap or touch, found by shared grid cells. Each pair is kept only in the first cell that both touch."""
+    b = _boxed(polygons.select(key, "ring"), cell).select(key, "_w", "_e", "_s", "_n", "_x", "_y")
+    first = lambda c, low: F.floor(F.greatest(F.col(f"a.{low}"), F.col(f"b.{low}")) / cell) == F.col(f"a.{c}")
+    meets = (F.col("a._w") <= F.col("b._e")) & (F.col("b._w") <= F.col("a._e")) & (F.col("a._s") <= F.col("b._n")) & (F.col("b._s") <= F.col("a._n"))
+    on = (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & meets & first("_x", "_w") & first("_y", "_s")
+    return b.alias("a").join(b.alias("b"), on).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+
+
+def shared_boundary(polygons: DataFrame, key: str) -> DataFrame:
+    """(a, b, length) with a < b: the length of the edges that two polygons of one mesh share, in the unit of the coordinates."""
+    corner = lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))
+    edge = F.transform("ring", lambda p, i: F.struct(corner(p).alias("p"), corner(F.element_at("ring", ((i + 1) % F.size("ring") + 1).cast("int"))).alias("q")))
+    sides = polygons.select(key, "ring").filter("size(ring) > 0").select(key, F.explode(edge).alias("e")).filter("e.p <> e.q").select(key, F.least("e.p", "e.q").alias("s"), F.greatest("e.p", "e.q").alias("t")).distinct()
+    length = F.hypot(F.col("s.lon") - F.col("t.lon"), F.col("s.lat") - F.col("t.lat"))
+    meet = sides.alias("a").join(sides.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.t") == F.col("b.t")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    return meet.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.col("a.s").alias("s"), F.col("a.t").alias("t")).groupBy("a", "b").agg(F.sum(length).alias("length"))

@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import values as v
 from ..operators import graph, portfolio, solvers, spatial, stats
 from ..sources import tables
-from .views import CTE, Territory, hav
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, recursive: bool = False):
-    def add(build: Callable[[Territory], DataFrame]):
-        name = build.__name__
-        QUERIES[name] = lambda spark, folder: build(Territory(spark, folder))
-        if sql:
-            ORACLES[name] = (CTE.replace("with ", "with recursive ", 1) if recursive else CTE) + sql
-        return build
-
-    return add
-
-
-def pairs(t: Territory, on: str = "state") -> DataFrame:
-    return t.units.alias("u").join(t.poles.alias("p"), F.col(f"u.{on}") == F.col(f"p.{on}"))
-
-
-def r(c, n: int = 4):
-    return F.round(c, n)
-
-
-def km():
-    return geo.between_tables("u", "p")
+from .registry import km, pairs, query, r, rows
+from .views import Territory, hav
 
 
 # --- Sources -------------------------------------------------------------------------------------------------------
@@ -291,10 +264,6 @@ round(min(km), 4) as km_min, round(avg(km), 4) as km_mean, round(median(km), 4)
 round(sum(km * stores) filter (stores > 0) / nullif(sum(stores) filter (stores > 0), 0), 4) as km_by_stores, round(sum(km * population) filter (population > 0) / nullif(sum(population) filter (population > 0), 0), 4) as km_by_population"""
 
 
-def rows(t: Territory, scenario: str = "proposed") -> DataFrame:
-    return getattr(t, scenario).join(t.units.select("unit_id", "unit_key", "municipality_code", "area", "state", "stores", "population"), "unit_id").withColumn("is_district", F.lit(False))
-
-
 @query(f", a as (select p.pole_id as pid, x.* from fx_pole p left join (select c.pole_id, c.km, u.* from fx_pro c join fx_unit u using (unit_id)) x on p.pole_id = x.pole_id) select pid as pole_id, {METRICS_SQL} from a group by 1")
 def a03_portfolio_metrics(t):
     return t.poles.select("pole_id").join(rows(t), "pole_id", "left").groupBy("pole_id").agg(*portfolio.metric_columns())

@@ -90,3 +90,9 @@ def test_retained_poles(spark):
     poles = spark.createDataFrame([("a", 1, "N", 5), ("b", 2, "N", 5), ("c", 3, "N", None), ("d", 4, "S", 9)], "pole_id string, pole_num long, area string, load long")
     got = {r.pole_id: r.role for r in portfolio.retained(poles, spark.createDataFrame([("N", 1)], ["area", "target"])).collect()}
     assert got == {"a": "RETIDO", "b": "DOADOR", "c": "DOADOR", "d": "DOADOR"}
+
+
+def test_matching_with_an_empty_side(spark):
+    a = spark.createDataFrame([("N", "a", 1, 0.0, 0.0)], "g string, pole_id string, pole_num long, lat double, lon double")
+    b = spark.createDataFrame([("S", "b", 2, 0.0, 0.0)], a.schema)
+    assert solvers.matched(a, b, "g").count() == 0
