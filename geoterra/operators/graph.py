@@ -77,6 +77,8 @@ def cut_units(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     """(pole_id, unit_id): units whose removal leaves more parts of their portfolio, found by a depth-first search in each portfolio."""
     import pandas as pd
 
+    from .solvers import fresh
+
     def run(key: tuple, u: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {i: [] for i in sorted(u["unit_id"])}
         for a, b in zip(e["src"], e["dst"], strict=True):
@@ -109,9 +111,7 @@ def cut_units(assigned: DataFrame, edges: DataFrame) -> DataFrame:
                 cuts.add(root)
         return pd.DataFrame({"pole_id": pd.Series([key[0]] * len(cuts), dtype=object), "unit_id": pd.Series(sorted(cuts), dtype="int64")})
 
-    inside = _inside(assigned, edges)
-    inside = inside.select(*[F.col(c).alias(c) for c in inside.columns])
-    return assigned.select("unit_id", "pole_id").groupBy("pole_id").cogroup(inside.groupBy("pole_id")).applyInPandas(run, "pole_id string, unit_id long")
+    return assigned.select("unit_id", "pole_id").groupBy("pole_id").cogroup(fresh(_inside(assigned, edges)).groupBy("pole_id")).applyInPandas(run, "pole_id string, unit_id long")
 
 
 def reached(places: DataFrame, centres: DataFrame, radius_km: float) -> DataFrame:

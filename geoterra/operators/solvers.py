@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
 
@@ -15,6 +16,11 @@ def distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, so that two frames of one source can be cogrouped."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def nothing(columns: list[str]) -> pd.DataFrame:
     """No rows; columns of objects, since Arrow cannot turn an empty column of numbers into text."""
     return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
@@ -104,7 +110,7 @@ def matched(current: DataFrame, proposed: DataFrame, group: str, how: str = "sum
         return pd.DataFrame({group: [key[0]] * len(to), "current": a["pole_id"].to_numpy()[left], "proposed": b["pole_id"].to_numpy()[right], "km": cost[left, right]})
 
     cols = [group, "pole_id", "pole_num", "lat", "lon"]
-    return current.select(cols).groupBy(group).cogroup(proposed.select(cols).groupBy(group)).applyInPandas(run, f"{group} string, current string, proposed string, km double")
+    return current.select(cols).groupBy(group).cogroup(fresh(proposed.select(cols)).groupBy(group)).applyInPandas(run, f"{group} string, current string, proposed string, km double")
 
 
 def grown(units: DataFrame, edges: DataFrame, group: str, penalty_km: float = 120.0) -> DataFrame:
@@ -132,4 +138,4 @@ def grown(units: DataFrame, edges: DataFrame, group: str, penalty_km: float = 12
                     heapq.heappush(queue, (km + length + penalty_km * carried[seat] / total, seat, to, km + length))
         return pd.DataFrame({group: [key[0]] * len(owner), "unit_id": list(owner), "pole_unit": pd.array(list(owner.values()), "Int64")})
 
-    return units.select(group, "unit_id", "seat", "load").groupBy(group).cogroup(edges.select(group, "src", "dst", "km").groupBy(group)).applyInPandas(run, f"{group} string, unit_id long, pole_unit long")
+    return units.select(group, "unit_id", "seat", "load").groupBy(group).cogroup(fresh(edges.select(group, "src", "dst", "km")).groupBy(group)).applyInPandas(run, f"{group} string, unit_id long, pole_unit long")

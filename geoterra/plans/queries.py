@@ -80,7 +80,7 @@ def p14_code_normalize(t):
     return rows.join(known, v.code_padded(F.col("d"), 7) == F.col("municipality_code"), "left").select("unit_id", v.code_padded(F.col("d"), 7).alias("padded"), v.code_six_to_seven(F.col("d")).alias("seven"), v.code_last(F.col("d"), 7).alias("last_seven"), v.code_lookup(F.col("d"), F.col("municipality_code")).alias("looked_up"))
 
 
-@query(", a as (select 1) select unit_id, round(population, 2) as a, cast(null as double) as b, 0.0 as c, 'x' as d from fx_unit")
+@query(", a as (select 1) select unit_id, round(population, 2) as a, cast(null as double) as b, cast(0.0 as double) as c, 'x' as d from fx_unit")
 def p15_numbers(t):
     comma = F.replace(F.col("population").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
     return t.units.select("unit_id", F.round(v.decimal_comma(comma), 2).alias("a"), v.safe_float(F.lit("NaN")).alias("b"), v.not_negative(F.lit(-3.0)).alias("c"), v.first_filled(F.lit(" "), F.lit("x")).alias("d"))

@@ -96,3 +96,9 @@ def test_matching_with_an_empty_side(spark):
     a = spark.createDataFrame([("N", "a", 1, 0.0, 0.0)], "g string, pole_id string, pole_num long, lat double, lon double")
     b = spark.createDataFrame([("S", "b", 2, 0.0, 0.0)], a.schema)
     assert solvers.matched(a, b, "g").count() == 0
+
+
+def test_matching_two_parts_of_one_table(spark):
+    a = spark.createDataFrame([("N", str(i), i, float(i), 0.0) for i in range(4)], "g string, pole_id string, pole_num long, lat double, lon double")
+    got = solvers.matched(a.filter("pole_num % 2 = 0"), a.filter("pole_num % 2 = 1"), "g").collect()
+    assert sorted((r.current, r.proposed) for r in got) == [("0", "1"), ("2", "3")]
