@@ -17,7 +17,7 @@ from geoterra.llm.packing import pack
 from geoterra.llm.store import scratch, written
 from geoterra.llm.suffix_dedup import remove_repeats
 
-#: A text whose words have a lower mean probability of their best language than this is no text in any learned language.
+#: A text whose words have a lower mean probability, each of its own best language, than this is no text in any learned language.
 LEAST_LANGUAGE = 0.4
 
 
@@ -28,7 +28,7 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify(docs, fit(docs))
-    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_LANGUAGE)), "no-language")
+    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("best") < LEAST_LANGUAGE)), "no-language")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,11 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytekernel import LOWER, SPACE, U, chunks, prefix_sums, span_hashes, word_spans
-from .store import smallest
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -124,18 +123,37 @@ def train(texts: list[bytes], labels: np.ndarray, count: int, bits: int = 16, ep
     return weights.astype(np.float32), np.maximum(transitions, -6.0)
 
 
+def stratified(rows: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` of ``rows`` (h, lang, text), those with the smallest hash of each language, and at least one of every language.
+
+    Half is dealt evenly over the languages, as far as they have rows, and what is left by their counts. As in
+    ``smallest``, a bound on the hash keeps what is sorted from growing with the table.
+    """
+    count = {x.lang: x["count"] for x in rows.groupBy("lang").count().collect()}  # one row for each label of the model
+    every = sum(count.values())
+    if every <= sample:
+        return rows
+    least = {x: min(n, max(1, sample // (2 * len(count)))) for x, n in count.items()}
+    spare, more = max(0, sample - sum(least.values())), every - sum(least.values())
+    quota = {x: least[x] + spare * (n - least[x]) // max(1, more) for x, n in count.items()}
+    bound = {x: 2**63 - 1 if n <= 4 * quota[x] + 256 else -(2**63) + 2**64 * (2 * quota[x] + 64) // n for x, n in count.items()}
+    of = lambda d: F.element_at(F.create_map(*[F.lit(y) for x in d.items() for y in x]), F.col("lang"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    return rows.filter(F.col("h") <= of(bound)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= of(quota)).drop("k")
+
+
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 1500, bits: int = 16) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, weights and transitions, from at most ``sample`` labelled documents (those with the smallest hash of doc_id), whole, in one task.
+    """Languages, weights and transitions, from about ``sample`` labelled documents (of each language those with the smallest hash of doc_id), whole, in one task.
 
     Only text and non-null lang of documents whose crc32(doc_id) mod ``folds`` is not ``held`` are used.
     """
     text_id = F.col("doc_id").cast("long").cast("string")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.pmod(F.crc32(text_id.cast("binary")), F.lit(folds)) != held, F.lit(True)))
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = smallest(rows, sample, "lang", "text")
+    rows = rows.select(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = stratified(rows, sample)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("h", "ascending")])
+        t = t.sort_by([("h", "ascending"), ("lang", "ascending"), ("text", "ascending")])
         lang = t.column("lang").to_pylist()
         names = sorted(set(lang))
         weights, transitions = train(t.column("text").to_pylist(), np.array([names.index(x) for x in lang]), len(names), bits)
@@ -158,9 +176,9 @@ def word_labels(text: str, model: tuple) -> list[tuple[str, str, float]]:
 
 
 def identify(docs: DataFrame, model: tuple) -> DataFrame:
-    """Per row of ``docs``: doc_id, lang_pred and score, the mean probability of that language over the words.
+    """Per row of ``docs``: doc_id, lang_pred, score, the mean probability of that language over the words, and best, the mean of each word's highest probability.
 
-    ``und`` (score 0) if the text is null or has no letter, or if there is no learned language. Texts are whole.
+    A text of several languages has a low score but a high best. ``und`` (score and best 0) if the text is null or has no letter, or if there is no learned language. Texts are whole.
     Repeated rows stay; a null doc_id stays null; other columns are ignored; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -170,7 +188,7 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
         for batch in batches:
             texts = batch.column(1)
             for low, high, raw, offsets in chunks(texts, 1 << 20):
-                pred, score = [UNKNOWN] * (high - low), np.zeros(high - low)
+                pred, score, sure = [UNKNOWN] * (high - low), np.zeros(high - low), np.zeros(high - low)
                 if names:
                     buf = LOWER[raw]
                     starts, ends, first = word_spans(buf, offsets, SPACE)
@@ -178,15 +196,16 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
                     sums = np.zeros((high - low, len(names)))
                     filled = np.flatnonzero(np.diff(first))
                     if len(filled):
+                        top = np.add.reduceat(p.max(1), first[:-1][filled], dtype=float) / np.diff(first)[filled]
                         sums[filled] = np.add.reduceat(p, first[:-1][filled], axis=0, dtype=float) / np.diff(first)[filled, None]
                     best = sums.argmax(1)
-                    for i in filled:
+                    for k, i in enumerate(filled):
                         if LETTER.search(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")):
-                            pred[i], score[i] = names[best[i]], min(1.0, sums[i, best[i]])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                            pred[i], score[i], sure[i] = names[best[i]], min(1.0, sums[i, best[i]]), min(1.0, top[k])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(pred), pa.array(score), pa.array(sure)], ["doc_id", "lang_pred", "score", "best"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, best double")
 
 
 def held_out(folds: int, held: int):
