@@ -51,43 +51,131 @@ def _tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, vocabulary: str | None = None, length: int = 1024, window: int = 65536, end_id: int = 0, max_queues: int = 1000) -> DataFrame:
     """Pieces of all documents in sequences of ``length`` tokens (a power of two).
 
-    ``weights`` gives the target proportions by source; left out, they are the sources' shares of all tokens.
-    ``window`` is the number of tokens of a round: within it, a queue's tokens stay together. Beyond ``max_queues``
-    sources, the smallest share one queue, which bounds what tasks hold. A null source is a queue of its own; a null
+    ``weights`` gives the target proportions by source; left out, they are the sources' shares of all tokens. Sources
+    without a weight above 0 follow when all others have ended, by their shares of what is left. A share under 2^-26
+    counts as that. ``window`` is the number of tokens of a round: within it, a queue's tokens stay together. Up to
+    ``max_queues`` sources each task holds the queues and finds its places alone; more of them stay a table, and the
+    pieces are sorted into the stream, with the same result. A null source is a queue of its own; a null
     text gives the end id alone; repeated rows are packed as often as they stand; other columns are ignored.
     """
-    spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("queue"), F.col("text").cast("string").alias("text"))
     held = written(_tokenised(rows, vocabulary, end_id), "packing-ids")
     parts = held.groupBy("part", "queue").agg(F.sum("n").alias("n")).checkpoint()
-    totals = parts.groupBy("queue").agg(F.sum("n").alias("n"))
-    named = totals.orderBy(F.desc("n"), "queue").limit(max_queues).collect()  # at most max_queues rows
-    rest = totals.agg(F.sum("n")).first()[0] or 0
-    rest -= sum(r.n for r in named)
-    queues = {r.queue: i for i, r in enumerate(named)}
-    size = np.array([r.n for r in named] + [rest], np.int64)
-    if weights:
-        share = np.array([max(0.0, float(weights.get(q[1:] if q[0] == "=" else q, 0.0))) for q in queues] + [0.0])
-        share = np.where(share > 0, share, share[share > 0].min() * 1e-3 if (share > 0).any() else 1.0)
+    totals = parts.groupBy("queue").agg(F.sum("n").alias("size"))
+    before = parts.select("part", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
+    queues = _rounds(totals, weights, window)
+    named = queues.orderBy(F.desc("size"), "queue").limit(max_queues + 1).collect()  # at most max_queues + 1 rows
+    many = len(named) > max_queues
+    if not many:
+        lookup = F.create_map(*[x for i, r in enumerate(named) for x in (F.lit(r.queue), F.lit(i))]) if named else F.create_map(F.lit(""), F.lit(0))
+        before = before.withColumn("lane", F.element_at(lookup, F.col("queue")))
     else:
-        share = np.maximum(size, 1).astype(float)
-    # Quanta in 2^-20 tokens, as integers: credits are exact, and every queue ends after a finite number of rounds.
-    quantum = np.maximum((share / share.sum() * window * 2**20).astype(np.int64), 2**10)
-    lookup = F.create_map(*[x for q, i in queues.items() for x in (F.lit(q), F.lit(i))]) if queues else F.create_map(F.lit(""), F.lit(0))
-    lanes = parts.select("part", "queue", "n", F.coalesce(F.try_element_at(lookup, F.col("queue")), F.lit(len(named))).alias("lane"))
-    before = lanes.select("part", "queue", "lane", (F.sum("n").over(Window.partitionBy("lane").orderBy("part", "queue")) - F.col("n")).alias("base")).checkpoint()
+        before = before.join(queues, "queue")
+    before = before.checkpoint()
     if before.count() <= SMALL_ROWS:
         before = F.broadcast(before)
-    placed = held.join(before, ["part", "queue"]).select("doc_id", "lane", (F.col("start") + F.col("base")).alias("at"), "n", "ids")
-    plan = (quantum, size, length)
-    return placed.mapInArrow(lambda batches: _pieces(batches, *plan), PIECES)
+    placed = held.join(before, ["part", "queue"]).withColumn("at", F.col("start") + F.col("base"))
+    if many:
+        return _sorted_pieces(placed, length)
+    plan = (*(np.array([r[c] for r in named], np.int64) for c in ("quantum", "size", "first")), length)
+    return placed.select("doc_id", "lane", "at", "n", "ids").mapInArrow(lambda batches: _pieces(batches, *plan), PIECES)
 
 
-def given(rounds: np.ndarray, quantum: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Tokens that each queue has given before each round: floor(rounds * quantum), as far as it has any."""
+def _rounds(totals: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
+    """(queue, size, quantum, first): a queue's tokens of a round, and the round in which it begins.
+
+    Quanta are in 2^-20 tokens, as integers: credits are exact, and every queue ends after a finite number of rounds.
+    """
+    spark = totals.sparkSession
+    wanted = [(("=" if q != "null" else "") + q, float(w)) for q, w in (weights or {}).items() if float(w) > 0]
+    # A source that is called null has the weight of the null source.
+    wanted += [("=null", w) for q, w in wanted if q == "null"]
+    named = totals.join(spark.createDataFrame(wanted, "queue string, weight double"), "queue", "left") if wanted else totals.withColumn("weight", F.lit(None).cast("double"))
+    named = named.select("queue", "size", F.col("weight").isNull().cast("int").alias("late"), F.coalesce("weight", F.col("size").cast("double")).alias("share"))
+    every = {r.late: r.share for r in named.groupBy("late").agg(F.sum("share").alias("share")).collect()}
+    part = F.col("share") / F.when(F.col("late") == 0, F.lit(every.get(0, 1.0))).otherwise(F.lit(every.get(1, 1.0)))
+    found = named.select("queue", "size", "late", F.greatest((part * window * 2.0**20).cast("long"), F.lit(2**10)).alias("quantum")).checkpoint()
+    # The last round of the weighted queues: the tokens of k rounds are floor(k * quantum / 2^20).
+    last = 0
+    if len(every) == 2:
+        last = found.filter("late = 0").agg(F.max(F.ceil((F.col("size").cast("decimal(38,0)") * 2**20) / F.col("quantum")))).first()[0]
+    return found.select("queue", "size", "quantum", (F.col("late") * F.lit(int(last))).cast("long").alias("first"))
+
+
+def _sorted_pieces(placed: DataFrame, length: int) -> DataFrame:
+    """The pieces of any number of queues: cut by rounds, sorted by (round, queue), and placed by running sums over the sorted partitions."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (at, n, q, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "n", "quantum", "first")), strict=True)):
+                k, edge = cut_rounds(at, n, q)
+                full = np.flatnonzero(np.diff(edge))
+                raw = batch.column("ids")[i].as_py()
+                width = len(raw) // n
+                one = lambda c, m=len(full), i=i: batch.column(c).take(pa.array([i] * m, pa.int64()))
+                low, high = edge[full], edge[full + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[full] + first), one("size"), one("queue"), pa.array(low), one("doc_id"), pa.array(low - at), pa.array(high - low), one("n"), pa.array([raw[width * (a - at) : width * (b - at)] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())],
+                    ["round", "size", "queue", "at", "doc_id", "start", "m", "n", "ids"],
+                )
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            m = batch.column("m").to_numpy()
+            ends = at + np.cumsum(m)
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(m), pa.int64()), pa.array(ends - m), *(batch.column(c) for c in ("doc_id", "start", "m", "n", "ids"))], ["run", "place", "doc_id", "start", "m", "n", "ids"])
+            at = int(ends[-1]) if len(m) else at
+
+    pieces = placed.select("size", "queue", "at", "doc_id", "n", "quantum", "first", "ids").mapInArrow(cut, "round long, size long, queue string, at long, doc_id long, start long, m long, n long, ids binary")
+    order = ["round", F.desc("size"), "queue", "at"]
+    runs = pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(place, "run long, place long, doc_id long, start long, m long, n long, ids binary")
+    runs = written(runs, "packing-runs")
+    base, total = {}, 0
+    for r in runs.groupBy("run").agg(F.sum("m").alias("m")).orderBy("run").collect():  # one row for each partition
+        base[r.run], total = total, total + r.m
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for i, (run, at, start, m, n, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("run", "place", "start", "m", "n", "ids")), strict=True)):
+                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * m else np.uint32).astype("<u4").tobytes()
+                for s, size, seq, off in cut_sequences(base[run] + at, m, total, length):
+                    out.append((start + s, size, zlib.crc32(ids[4 * s : 4 * (s + size)]), n, seq, off))
+                    rows.append(i)
+            yield _batch(batch.column("doc_id"), rows, out)
+
+    return runs.mapInArrow(finish, PIECES)
+
+
+def cut_rounds(at: int, n: int, quantum: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rounds that take ``n`` tokens from this place of a queue, and where each begins (and the last ends)."""
+    k = np.arange(round_of(np.array([at]), quantum)[0], round_of(np.array([at + n - 1]), quantum)[0] + 1)
+    edge = np.maximum(given(np.append(k, k[-1] + 1), np.array([quantum]), np.array([2**62]))[:, 0], at)
+    edge[-1] = at + n
+    return k, edge
+
+
+def cut_sequences(at: int, m: int, total: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, size, sequence, offset) of the parts of ``m`` tokens from this place of the stream."""
+    done = 0
+    while done < m:
+        seq, off, end = (int(x[0]) for x in sequence_of(np.array([at + done]), total, length))
+        size = min(m - done, end - at - done)
+        yield done, size, seq, off
+        done += size
+
+
+def _batch(ids: pa.Array, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *(pa.array(list(c), pa.int64()) for c in cols)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def given(rounds: np.ndarray, quantum: np.ndarray, size: np.ndarray, first: np.ndarray | int = 0) -> np.ndarray:
+    """Tokens that each queue has given before each round: floor(rounds * quantum) from its first round on, as far as it has any."""
     whole, part = quantum >> 20, quantum & (2**20 - 1)
-    k = np.asarray(rounds, np.int64)[:, None]
+    k = np.maximum(np.asarray(rounds, np.int64)[:, None] - first, 0)
     return np.minimum(k * whole + ((k >> 20) * part) + (((k & (2**20 - 1)) * part) >> 20), size)
 
 
@@ -117,32 +205,25 @@ def sequence_of(at: np.ndarray, total: int, length: int) -> tuple[np.ndarray, np
     return np.where(tail, full + slot, at // length), at - begin, end
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], quantum: np.ndarray, size: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], quantum: np.ndarray, size: np.ndarray, first: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     total = int(size.sum())
     for batch in batches:
         lanes, ats, ns = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
         out: list[tuple] = []
         rows = []
-        for i, (lane, at, n) in enumerate(zip(lanes, ats, ns, strict=True)):
-            ends = at + n
-            q = int(quantum[lane])
-            k = np.arange(round_of(np.array([at]), q)[0], round_of(np.array([ends - 1]), q)[0] + 1)
-            edge = np.maximum(given(np.append(k, k[-1] + 1), quantum[lane : lane + 1], np.array([2**62]))[:, 0], at)
-            edge[-1] = ends
-            taken, after = given(k, quantum, size), given(k + 1, quantum, size)
+        for i, (lane, at, n) in enumerate(zip(lanes, ats.tolist(), ns.tolist(), strict=True)):
+            k, edge = cut_rounds(at, n, int(quantum[lane]))
+            k = k + first[lane]
+            taken, after = given(k, quantum, size, first), given(k + 1, quantum, size, first)
             base = taken.sum(1) + (after[:, :lane] - taken[:, :lane]).sum(1) - taken[:, lane]
             raw = batch.column(4)[i].as_buffer()
             ids = np.frombuffer(raw, np.uint16 if raw.size == 2 * n else np.uint32).astype("<u4").tobytes()
             for low, high, b in zip(edge[:-1].tolist(), edge[1:].tolist(), base.tolist(), strict=True):
-                while low < high:
-                    seq, off, end = (int(x[0]) for x in sequence_of(np.array([low + b]), total, length))
-                    m = min(high - low, end - low - b)
-                    s = low - int(at)
-                    out.append((s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), int(n), seq, off))
+                for begin, m, seq, off in cut_sequences(low + b, high - low, total, length):
+                    s = low - at + begin
+                    out.append((s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n, seq, off))
                     rows.append(i)
-                    low += m
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(list(c), pa.int64()) for c in cols)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        yield _batch(batch.column(0), rows, out)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 RNG = np.random.default_rng(11)
 TONGUES = {
@@ -32,3 +32,32 @@ def test_sample_holds_every_language(spark):
     rows = [(i, spoken("de" if i % 9 == 0 else "en", 8), "de" if i % 9 == 0 else "en") for i in range(3000)] + [(5002, spoken("fr", 9), "fr"), (None, spoken("es", 9), "es")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert fit(docs, sample=20)[0] == ["de", "en", "es", "fr"]
+
+
+def packed(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_packing_by_table_equals_packing_by_arrays(spark):
+    from geoterra.llm.packing import pack
+
+    rows = [(i, spoken("en", int(n)), f"s{i % 9}" if i % 10 else None) for i, n in enumerate(RNG.integers(0, 400, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for weights in (None, {"s0": 2.0, "s1": 1.0, "s2": 0.0, "s3": 1.0}, {"s0": 0.0}):
+        whole = packed(pack(docs, weights, window=2048))
+        assert packed(pack(docs, weights, window=2048, max_queues=2)) == whole
+
+
+@pytest.mark.parametrize("max_queues", [1000, 3])
+def test_packing_honours_every_weight(spark, max_queues):
+    from geoterra.llm.packing import pack
+
+    rows = [(i, spoken("en", 300), f"s{i % 6}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = pack(docs, {"s0": 0.0, "s3": 1.0, "s4": 1.0, "s5": 2.0}, window=512, max_queues=max_queues).collect()
+    source = {i: s for i, _, s in rows}
+    early = [source[r.doc_id] for r in out if r.sequence_id == 0]
+    share = {s: sum(r.length for r in out if r.sequence_id == 0 and source[r.doc_id] == s) for s in set(source.values())}
+    assert set(early) == {"s3", "s4", "s5"} and share == {"s0": 0, "s1": 0, "s2": 0, "s3": 256, "s4": 256, "s5": 512}
+    place = lambda some: [r.sequence_id for r in out if (source[r.doc_id] in ("s3", "s4", "s5")) == some]
+    assert max(place(True)) <= min(place(False)) and sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
