@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine
+from .graph import _checkpointed
+
 EARTH_KM = 6371.0088
 
 
@@ -113,6 +118,29 @@ def matched(current: DataFrame, proposed: DataFrame, group: str, how: str = "sum
     return current.select(cols).groupBy(group).cogroup(fresh(proposed.select(cols)).groupBy(group)).applyInPandas(run, f"{group} string, current string, proposed string, km double")
 
 
+def closest(current: DataFrame, proposed: DataFrame, group: str) -> DataFrame:
+    """(group of the current pole, current, proposed, km): one-to-one matches, always the closest free pair first, in each group and then among all that are left.
+
+    Ties go to the smaller current id, then the smaller proposed id, in text order. Each round takes the pairs that are best for both
+    their poles, which the scan of all sorted pairs would take too. A null group is one of its own; poles without coordinates stay out.
+    """
+    side = lambda df, p: df.select(F.col("pole_id").alias(f"{p}_id"), F.col(group).alias(f"{p}_g"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon")).dropna(subset=[f"{p}_id", f"{p}_lat", f"{p}_lon"])
+    a, b = _checkpointed(side(current, "a")), _checkpointed(side(proposed, "b"))
+    found = []
+    for on in (F.col("a_g").eqNullSafe(F.col("b_g")), F.lit(True)):
+        while True:
+            km = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+            pairs = a.join(b, on).select(F.struct(km.alias("km"), "a_id", "b_id", "a_g").alias("p"))
+            best = lambda c, pairs=pairs: pairs.groupBy(f"p.{c}").agg(F.min("p").alias("p")).select("p.*")
+            both = _checkpointed(best("a_id").join(best("b_id").select("a_id", "b_id"), ["a_id", "b_id"]))
+            if both.isEmpty():
+                break
+            found.append(both)
+            a, b = _checkpointed(a.join(both, "a_id", "left_anti")), _checkpointed(b.join(both, "b_id", "left_anti"))
+    rows = [m.select(F.col("a_g").alias(group), F.col("a_id").alias("current"), F.col("b_id").alias("proposed"), "km") for m in found or [both]]
+    return reduce(DataFrame.union, rows)
+
+
 def grown(units: DataFrame, edges: DataFrame, group: str, penalty_km: float = 120.0) -> DataFrame:
     """(group, unit_id, pole_unit): contiguous growth from seats (``seat`` true) by a queue of distance plus a penalty for load, in each group."""
     import heapq

@@ -249,7 +249,7 @@ def j25_coverage_owner(t):
 
 @query()
 def j23_pole_matching(t):
-    return solvers.matched(t.poles.filter("pole_num % 2 = 0"), t.poles.filter("pole_num % 2 = 1"), "area").select("area", "current", "proposed", r("km").alias("km"))
+    return solvers.closest(t.poles.filter("pole_num % 2 = 0"), t.poles.filter("pole_num % 2 = 1"), "area").select("area", "current", "proposed", r("km").alias("km"))
 
 
 # --- Aggregations --------------------------------------------------------------------------------------------------

@@ -1,0 +1,30 @@
+"""Cases in which a territory operator once did less than its whole job."""
+
+import numpy as np
+
+from geoterra.operators import solvers
+
+RNG = np.random.default_rng(3)
+COLUMNS = "pole_id string, area string, lat double, lon double"
+
+
+def test_closest_pairs_equal_the_sorted_scan(spark):
+    place = lambda p, n, areas: [(f"{p}{i}", areas[i % len(areas)], float(RNG.integers(-9, 0)), float(RNG.integers(-50, -40))) for i in range(n)]
+    a, b = place("c", 23, ["N", "S", "W", None]), place("p", 17, ["N", "S", "E", None])
+
+    def scan(left, right):
+        out = []
+        far = lambda x, y: 2 * 6371.0088 * np.arcsin(np.sqrt(min(1.0, np.sin(np.radians(y[2] - x[2]) / 2) ** 2 + np.cos(np.radians(x[2])) * np.cos(np.radians(y[2])) * np.sin(np.radians(y[3] - x[3]) / 2) ** 2)))
+        for d, x, y in sorted((round(far(x, y), 9), x[0], y[0]) for x in left for y in right):
+            if all(x != c and y != p for c, p, _ in out):
+                out.append((x, y, d))
+        return out
+
+    want = [m for g in ("N", "S", None) for m in scan([x for x in a if x[1] == g], [x for x in b if x[1] == g])]
+    used = {x for m in want for x in m[:2]}
+    want += scan([x for x in a if x[0] not in used], [x for x in b if x[0] not in used])
+    got = solvers.closest(spark.createDataFrame(a, COLUMNS), spark.createDataFrame(b, COLUMNS), "area").collect()
+    assert {(r.current, r.proposed): round(r.km, 6) for r in got} == {(x, y): round(d, 6) for x, y, d in want} and len(got) == 17
+    assert all(dict((x[0], x[1]) for x in a)[r.current] == r.area for r in got)
+    empty = spark.createDataFrame([], COLUMNS)
+    assert solvers.closest(empty, spark.createDataFrame(b, COLUMNS), "area").count() == 0
