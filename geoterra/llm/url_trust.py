@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: Fixed values: (verdict, host, path) of the production rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,27 +43,28 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, tolerance: float = 1e-9, damping: float = 0.85) -> DataFrame:
     """(kind, host, score) from seeds (kind, host, weight) along links (kind, src, dst, n) by personalised PageRank.
 
-    Weights add up to 1 for each kind; each round passes on ``damping`` of a host's score by the links' counts. The
-    state is a table of hosts, checkpointed every few rounds.
+    Weights add up to 1 for each kind; each round passes on ``damping`` of what a host gained in the round before by the
+    links' counts, until no host gains more than ``tolerance`` of its score. A host that is reached for the first time
+    gains all of it, so every host that links lead to has a score. The state is a table of hosts, written every round.
     """
     seeds = seeds.groupBy("kind", "host").agg(F.sum("weight").alias("weight"))
     every = seeds.groupBy("kind").agg(F.sum("weight").alias("every"))
-    seeds = seeds.join(every, "kind").select("kind", "host", (F.col("weight") / F.col("every")).alias("seed")).checkpoint()
+    own = (F.col("weight") / F.col("every") * (1 - damping)).alias("score")
+    state = written(seeds.join(every, "kind").select("kind", "host", own, own.alias("gain")), "trust")
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    links = links.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")).checkpoint()
-    state = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for k in range(rounds):
-        moved = state.join(links, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        state = moved.union(seeds.select("kind", "host", F.col("seed") * (1 - damping))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 3 == 2:
-            state = state.checkpoint()
-    return state
+    links = written(links.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")), "host-links")
+    while True:
+        moved = state.filter("gain > 0").join(links, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("score"), (F.col("gain") * F.col("share") * damping).alias("gain"))
+        both = state.select("kind", "host", "score", F.lit(0.0).alias("gain")).union(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("gain").alias("gain"))
+        state = written(both.select("kind", "host", (F.col("score") + F.col("gain")).alias("score"), "gain"), "trust")
+        if state.filter(F.col("gain") > F.col("score") * tolerance).isEmpty():
+            return state.select("kind", "host", "score")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, ratio: float = 1.0, rounds: int = 10) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, ratio: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust and distrust of its host.
 
     A fitting rule decides; else a page is blocked if its host's distrust is more than ``ratio`` times its trust.
@@ -75,7 +78,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, ratio
     seeds = rows.filter("fit is not null").groupBy(F.col("fit.verdict").alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
     links = host_links(rows)
     both = links.select(F.lit("allow").alias("kind"), "src", "dst", "n").union(links.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    scores = spread(seeds, both, rounds).groupBy("host").agg(
+    scores = spread(seeds, both, tolerance).groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "allow", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "block", F.col("score"))), F.lit(0.0)).alias("distrust")
     )
     out = rows.drop("html").join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])

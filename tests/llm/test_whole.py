@@ -61,3 +61,12 @@ def test_packing_honours_every_weight(spark, max_queues):
     assert set(early) == {"s3", "s4", "s5"} and share == {"s0": 0, "s1": 0, "s2": 0, "s3": 256, "s4": 256, "s5": 512}
     place = lambda some: [r.sequence_id for r in out if (source[r.doc_id] in ("s3", "s4", "s5")) == some]
     assert max(place(True)) <= min(place(False)) and sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
+def test_distrust_reaches_long_chains(spark):
+    from geoterra.llm.url_trust import judge
+
+    rows = [(i, f"http://h{i}.info/a", f'<a href="http://h{i + 1}.info/">') for i in range(14)] + [(14, "http://h14.info/a", '<a href="http://bad.org/">'), (15, "http://bad.org/es/1", None), (16, "http://alone.info/", None)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in got if got[i].verdict == "allow"] == [16]
+    assert all(got[14 - k].distrust == pytest.approx(0.15 * 0.85 ** (k + 1), rel=1e-6) for k in range(15))
