@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,11 +87,15 @@ def box_pairs(polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
     return b.alias("a").join(b.alias("b"), on).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
-def shared_boundary(polygons: DataFrame, key: str) -> DataFrame:
-    """(a, b, length) with a < b: the length of the edges that two polygons of one mesh share, in the unit of the coordinates."""
+def shared_boundary(polygons: DataFrame, key: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """(``within``, a, b, length) with a < b: the length of the edges that two polygons of one mesh share, in the unit of the coordinates.
+
+    ``within`` names the columns that tell meshes apart, if there are several.
+    """
     corner = lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))
     edge = F.transform("ring", lambda p, i: F.struct(corner(p).alias("p"), corner(F.element_at("ring", ((i + 1) % F.size("ring") + 1).cast("int"))).alias("q")))
-    sides = polygons.select(key, "ring").filter("size(ring) > 0").select(key, F.explode(edge).alias("e")).filter("e.p <> e.q").select(key, F.least("e.p", "e.q").alias("s"), F.greatest("e.p", "e.q").alias("t")).distinct()
+    sides = polygons.select(key, *within, "ring").filter("size(ring) > 0").select(key, *within, F.explode(edge).alias("e")).filter("e.p <> e.q").select(key, *within, F.least("e.p", "e.q").alias("s"), F.greatest("e.p", "e.q").alias("t")).distinct()
     length = F.hypot(F.col("s.lon") - F.col("t.lon"), F.col("s.lat") - F.col("t.lat"))
-    meet = sides.alias("a").join(sides.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.t") == F.col("b.t")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return meet.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.col("a.s").alias("s"), F.col("a.t").alias("t")).groupBy("a", "b").agg(F.sum(length).alias("length"))
+    same = reduce(and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in within], F.lit(True))
+    meet = sides.alias("a").join(sides.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.t") == F.col("b.t")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & same)
+    return meet.select(*[F.col(f"a.{c}").alias(c) for c in within], F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.col("a.s").alias("s"), F.col("a.t").alias("t")).groupBy(*within, "a", "b").agg(F.sum(length).alias("length"))

@@ -89,6 +89,12 @@ def j14_distance_matrix(t):
     return few.alias("u").join(t.poles.alias("p"), F.lit(True)).select(F.col("u.pole_id").alias("a"), F.col("p.pole_id").alias("b"), r(km()).alias("km"))
 
 
+@query()
+def j14_distance_matrix_all(t):
+    """All poles against all poles."""
+    return t.poles.alias("u").crossJoin(t.poles.alias("p")).select(F.col("u.pole_id").alias("a"), F.col("p.pole_id").alias("b"), r(km()).alias("km"))
+
+
 def boxes(t: Territory, half: float = 2.0):
     corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
     return t.poles.select("pole_num", F.array(corner(-half, -half), corner(half, -half), corner(half, half), corner(-half, half)).alias("ring"))
