@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import default_vocabulary, encode
+from .tokens import default_vocabulary, encode, width
 
 BLOCKS = "stream string, block long, first long, ids binary, doc_ids binary"
 KINDS = {"uint16": np.dtype("<u2"), "uint32": np.dtype("<u4")}
@@ -38,12 +38,21 @@ def read_token_files(spark: SparkSession, path: str, kind: str = "uint16", block
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCKS)
 
 
+def stream_kind(end_id: int, vocabulary: str | None = None) -> str:
+    """The type of the ids of a stream: uint16 where all ids of the vocabulary fit."""
+    found = width(vocabulary or default_vocabulary(), end_id)
+    return next(k for k, v in KINDS.items() if v == found)
+
+
 def write_token_stream(docs: DataFrame, end_id: int, vocabulary: str | None = None, block_tokens: int = 1 << 20) -> DataFrame:
-    """Token streams of ``docs`` (doc_id, text), one for each task, as blocks in a table of the shared folder.
+    """Token streams of ``docs`` (doc_id, text), one for each task, as blocks in a table of the shared folder, of the type ``stream_kind``.
 
-    ``doc_ids`` (the ids of the documents whose end a block holds) is a manifest that the scan never reads; it only names the counts afterwards.
+    Strings of special tokens are ordinary text, so ``end_id`` stands at the ends of documents alone if the vocabulary gives
+    it to no ordinary text; else the job fails. ``doc_ids`` (the ids of the documents whose end a block holds) is a manifest
+    that the scan never reads; it only names the counts afterwards.
     """
     vocabulary = vocabulary or default_vocabulary()
+    kind = KINDS[stream_kind(end_id, vocabulary)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, block, first = f"task-{TaskContext.get().partitionId():06d}", 0, 0
@@ -54,11 +63,13 @@ def write_token_stream(docs: DataFrame, end_id: int, vocabulary: str | None = No
         def emit(ids: np.ndarray, block: int, first: int, ended: list) -> pa.RecordBatch:
             # A null id is written as the smallest long.
             ended_ids = np.array([-(2**63) if d is None else d for _, d in ended], np.int64).tobytes()
-            return pa.RecordBatch.from_pydict({"stream": [stream], "block": pa.array([block], pa.int64()), "first": pa.array([first], pa.int64()), "ids": pa.array([ids.astype("<u2").tobytes()], pa.binary()), "doc_ids": pa.array([ended_ids], pa.binary())})
+            return pa.RecordBatch.from_pydict({"stream": [stream], "block": pa.array([block], pa.int64()), "first": pa.array([first], pa.int64()), "ids": pa.array([ids.astype(kind).tobytes()], pa.binary()), "doc_ids": pa.array([ended_ids], pa.binary())})
 
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held += [encode(text.as_py(), vocabulary), np.array([end_id], np.uint32)]
+                held += [encode(text.as_py(), vocabulary, special=False), np.array([end_id], np.uint32)]
+                if (held[-2] == end_id).any():
+                    raise ValueError(f"id {end_id} stands inside a text, so it cannot end documents")
                 n += len(held[-2]) + 1
                 names.append((first + n - 1, d))
                 while n >= block_tokens:
@@ -91,12 +102,15 @@ def scan(blocks: DataFrame, end_id: int, kind: str = "uint16") -> DataFrame:
                 sizes.append(len(a))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["stream", "block", "first", "size", "ends"])
 
-    found = blocks.select("stream", "block", "first", "ids").withColumns({"doc_ids": F.lit(None).cast("binary")}).mapInArrow(search, "stream string, block long, first long, size long, ends array<long>")
+    found = written(blocks.select("stream", "block", "first", "ids").mapInArrow(search, "stream string, block long, first long, size long, ends array<long>"), "separators")
+    # The prefix scan runs over one small row for each block: how many ends it holds, and the last of them.
+    summary = found.select("stream", "block", "first", "size", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     earlier = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    open_at = F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(earlier) + 1, F.lit(0))
-    done = F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).cast("long")
+    open_at = F.coalesce(F.max("last").over(earlier) + 1, F.lit(0))
+    done = F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long")
     final = F.lead("block").over(Window.partitionBy("stream").orderBy("block")).isNull()
-    stitched = found.select("stream", "block", "ends", open_at.alias("open_at"), done.alias("done"), (F.col("first") + F.col("size")).alias("stop"), final.alias("final"))
+    carried = summary.select("stream", "block", open_at.alias("open_at"), done.alias("done"), (F.col("first") + F.col("size")).alias("stop"), final.alias("final"))
+    stitched = found.select("stream", "block", "ends").join(carried, ["stream", "block"])
     starts = F.concat(F.array("open_at"), F.transform("ends", lambda e: e + 1))
     docs = F.zip_with(F.slice(starts, 1, F.size("ends")), F.col("ends"), lambda s, e: F.struct(s.alias("start"), (e - s).alias("n_tokens"), F.lit(True).alias("ended")))
     left = F.element_at(starts, -1)
@@ -105,9 +119,8 @@ def scan(blocks: DataFrame, end_id: int, kind: str = "uint16") -> DataFrame:
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    """documents as token streams (end id 50256, the vocabulary's end of text), scanned: doc_id, stream, doc_no, start, n_tokens. A text that holds the end-of-text string itself is split there by the tokeniser, so its parts would count apart; the manifest check in the tests covers ordinary text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.replace(F.col("text"), F.lit("<|endoftext|>"), F.lit("<| endoftext|>")))
-    blocks = write_token_stream(docs, 50256)
+    """documents as token streams (end id 50256, which no ordinary text has), scanned: doc_id, stream, doc_no, start, n_tokens."""
+    blocks = write_token_stream(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50256)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +129,7 @@ def op1_token_counts(spark, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([stream] * len(a)), pa.array([block] * len(a), pa.int64()), pa.array(np.arange(len(a))), pa.array(a, mask=a == -(2**63))], ["stream", "block", "i", "doc_id"])
 
     named = blocks.select("stream", "block", "doc_ids").mapInArrow(name, "stream string, block long, i long, doc_id long")
-    return scan(blocks, 50256).join(named, ["stream", "block", "i"]).select("doc_id", "stream", "doc_no", "start", "n_tokens")
+    return scan(blocks, 50256, stream_kind(50256)).join(named, ["stream", "block", "i"]).select("doc_id", "stream", "doc_no", "start", "n_tokens")
 
 
 QUERIES = {"op1_token_counts": op1_token_counts}

@@ -42,11 +42,26 @@ def _fast(path: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str | None, path: str) -> np.ndarray:
-    """Ids of the whole text, as the ``tokenizers`` file at ``path`` gives them without added special tokens."""
+def width(path: str, *more: int) -> np.dtype:
+    """The smallest of the two id types that holds every id of the vocabulary, and the ids in ``more``."""
+    top = max(_exact(path).get_vocab_size(with_added_tokens=True) - 1, *more)
+    return np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
+
+
+def encode(text: str | None, path: str, special: bool = True) -> np.ndarray:
+    """Ids of the whole text, as the ``tokenizers`` file at ``path`` gives them without added special tokens.
+
+    Strings of special tokens in the text are those tokens, or ordinary text without ``special``. The rank file gives up
+    on white space of more than some 500,000 characters in a row; such texts go through ``tokenizers``.
+    """
     if not text:
         return np.zeros(0, np.uint32)
     fast = _fast(path)
-    if fast is None or SPECIAL in text:
-        return np.asarray(_exact(path).encode(text, add_special_tokens=False).ids, np.uint32)
-    return np.asarray(fast.encode_to_numpy(text), np.uint32)
+    if fast is not None and not (special and SPECIAL in text):
+        try:
+            return np.asarray(fast.encode_to_numpy(text), np.uint32)
+        except ValueError:
+            pass
+    exact = _exact(path)
+    exact.encode_special_tokens = not special
+    return np.asarray(exact.encode(text, add_special_tokens=False).ids, np.uint32)
