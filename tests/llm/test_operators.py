@@ -209,14 +209,42 @@ def test_threshold_search(spark):
 
     v = RNG.normal(0, 0.3, (230, 7)).round(2)
     v[50:60] = v[40]
-    rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)] + [(500, None), (501, [float("nan")] * 7), (502, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = {i: np.floor(1024 * np.pad(np.array(a), (0, 7 - len(a)))).astype(int) for i, a in rows if a and not np.isnan(a).any()}
+    rows = [(i, [float(x) for x in a], "x") for i, a in enumerate(v)] + [(500, None, "x"), (501, [float("nan")] * 7, "x"), (502, [1.0], "x"), (503, [float("inf")] * 7, "x"), (None, [1.0] * 7, "x"), (60, [0.0] * 7, "x"), (504, [None] * 7, "x"), (20, [float(x) for x in v[20]], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    whole = [(i, np.floor(1024 * np.pad(np.array(a, float), (0, 7 - len(a)))).astype(int)) for i, a, _ in rows if i is not None and a and None not in a and np.isfinite(a).all()]
     got = defaultdict(list)
-    for r in top_products(df, df.filter("vec_id % 20 = 0"), block=50, query_block=4).orderBy("query_id", "rank").collect():
+    for r in top_products(df, df.filter("vec_id % 20 = 0 and vec_id <> 60"), block=50, query_block=4).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    assert got == {q: sorted(((i, int(a @ whole[q])) for i, a in whole.items() if i != q), key=lambda x: (-x[1], x[0]))[:10] for q in whole if q % 20 == 0}
+    wanted = {i: a for i, a in whole if i % 20 == 0 and i != 60}
+    assert got == {q: sorted(((i, int(a @ b)) for i, a in whole if i != q), key=lambda x: (-x[1], x[0]))[:10] for q, b in wanted.items()}
     assert top_products(df.limit(0), df.limit(0)).count() == 0
+    assert {r.score for r in top_products(df, df.filter("vec_id = 60").filter("embedding[0] = 0")).collect()} == {0}
+    for size in (1e2, 1e5):
+        big = spark.createDataFrame([(i, [size * i, 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+        assert top_products(big, big.filter("vec_id = 2")).first().score == int(1024 * size) ** 2 * 6 + 1024 * 1024
+    with pytest.raises(ValueError, match="too large"):
+        top_products(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>"), big)
+
+
+def test_threshold_search_stops_at_the_bound(spark):
+    """On skewed vectors few rows are scored; on even ones of many dimensions most are."""
+    from geoterra.llm.threshold_search import Lists, top_products
+
+    n = 4000
+    scale = np.array([1.0, 0.3, 0.1, 0.03, 0.01, 0.003])
+    for spread, most in ((scale, 0.25), (np.ones(24), 1.0)):
+        v = np.floor(1024 * RNG.normal(0, 1, (n, len(spread))) * spread)
+        lists = Lists(v, np.arange(n))
+        shares = []
+        for q in range(0, 200, 10):
+            best, scored = lists.top(v[q], q, 10)
+            s = (v @ v[q]).astype(int)
+            assert best == sorted(((int(s[i]), i) for i in range(n) if i != q), key=lambda x: (-x[0], x[1]))[:10]
+            shares.append(scored / n)
+        assert np.mean(shares) <= most
+    rows = [(i, [float(x) / 1024 for x in r]) for i, r in enumerate(np.floor(1024 * RNG.normal(0, 1, (n, 6)) * scale))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert max(r.scored for r in top_products(df, df.filter("vec_id % 400 = 0"), block=1000, counted=True).collect()) < n / 2
 
 
 def test_url_trust(spark):
