@@ -99,12 +99,12 @@ def test_maximal_repeats():
 def test_decontamination(spark, docs):
     from geoterra.llm.decontamination import decontaminate, words
 
-    items = [("b2", PASSAGE), ("a1", "one two"), ("c", None), ("d", " ".join(TEXTS[13].split()[500:530])), ("e", "")]
+    items = [("b2", PASSAGE), ("b2", PASSAGE), (None, PASSAGE), ("long", prose(200) + " " + BASE), ("a1", "one two"), ("c", None), ("d", " ".join(TEXTS[13].split()[500:530])), ("e", "")]
     bench = spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1))
     want = {}
     for i, t in known(docs):
         w, hit, of = words((t or "").encode()), set(), set()
-        for name, text in items:
+        for name, text in [x for x in items if x[0]]:
             x = words((text or "").encode())
             for k in range(max(1, len(x) - 9) if x else 0):
                 y = x[k : k + 10]
