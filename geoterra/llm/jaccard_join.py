@@ -1,6 +1,6 @@
 """N-gram Jaccard join with signature trees.
 
-1. Every shard of documents sends each distinct shingle hash once (packed, by hash range) and gets back in how many
+1. Every shard of documents asks about each distinct shingle hash once (packed, by hash range) and hears in how many
    documents it stands. A document with fewer shared shingles than the threshold needs can have no partner and goes.
 2. Documents with equal shingle sets become one node. Of each node's shingles, ordered by rarity, the prefix that a
    partner must meet gives a cheap graph; its components hold all links.
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytekernel import LOWER, SPACE, U, chunks, mix, planes, prefix_sums, span_hashes, unplanes, word_spans
+from .exchange import Exchange
 from .graphs import connected_components, spanning
 from .store import shards, written
 
@@ -60,41 +61,40 @@ def _distinct(column: pa.Array, size: int) -> tuple[list[np.ndarray], np.ndarray
     return sets, every[at], np.diff(np.append(at, len(every)))
 
 
-def _requests(kept: DataFrame, size: int, bits: int) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        _, keys, counts = _distinct(t.column("text").combine_chunks(), size)
-        edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << U(48 - bits))
-        rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)) if hi > lo]
-        shard = t.column("shard")[0].as_py()
-        return pa.table({
-            "bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([shard] * len(rows), pa.int32()),
-            "keys": pa.array([planes(keys[lo:hi])[: 6 * (hi - lo)] for _, lo, hi in rows], pa.binary()), "counts": pa.array([np.minimum(counts[lo:hi], 255).astype(np.uint8).tobytes() for _, lo, hi in rows], pa.binary()),
-        })
+class Frequencies(Exchange):
+    """Keys: 48 bits of shingle hashes; values: in how many documents of the shard; answers: in how many of all (255: that or more)."""
+
+    payload, kind, combine = ("keys", "counts"), np.uint8, np.add
+
+    def unpack(self, t: pa.Table) -> tuple[list[int], tuple[np.ndarray, ...], np.ndarray]:
+        rows = [unplanes(k + b"\0" * (len(k) // 6 * 2), np.uint64) for k in t.column("keys").to_pylist()]
+        return [len(r) for r in rows], (np.concatenate(rows),), np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).astype(np.int64)
+
+    def pack(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[bytes, ...]:
+        return planes(keys[0])[: 6 * len(values)], np.minimum(values, 255).astype(np.uint8).tobytes()
 
-    return kept.groupBy("shard").applyInArrow(run, "bucket int, shard int, keys binary, counts binary")
+    def hashed(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
+        return keys[0] << U(16)
 
+    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, int]:
+        _, at = np.unique(keys[0], return_inverse=True)
+        return np.minimum(np.bincount(at, values), 255)[at], 0
 
-def _replies(requests: DataFrame) -> DataFrame:
-    """For each request, in its order: in how many documents each key stands (255: that or more)."""
 
+def _requests(kept: DataFrame, size: int, exchange: Exchange) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        rows = [unplanes(k + b"\0" * (len(k) // 6 * 2), np.uint64) for k in t.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint8) for c in t.column("counts").to_pylist()]).astype(np.int64)
-        _, at = np.unique(np.concatenate(rows), return_inverse=True)
-        df = np.minimum(np.bincount(at, counts), 255).astype(np.uint8)[at]
-        parts = np.split(df, np.cumsum([len(r) for r in rows])[:-1])
-        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "df": pa.array([p.tobytes() for p in parts], pa.binary())})
+        _, keys, counts = _distinct(t.column("text").combine_chunks(), size)
+        return exchange.rows(t.column("shard")[0].as_py(), (keys,), counts)[1]
 
-    return requests.groupBy("bucket").applyInArrow(run, "shard int, bucket int, df binary")
+    return kept.groupBy("shard").applyInArrow(run, exchange.schema)
 
 
-def _sets(kept: DataFrame, replies: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets(kept: DataFrame, replies: DataFrame, size: int, percent: int, exchange: Exchange) -> DataFrame:
     """(doc_id, n, digest, shared, rare): for documents that may have partners the shared shingles, rarest first, and how many of them are in the prefix."""
 
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
         sets, keys, _ = _distinct(t.column("text").combine_chunks(), size)
-        reply = sorted(zip(r.column("bucket").to_pylist(), r.column("df").to_pylist(), strict=True))
-        df = np.frombuffer(b"".join(x[1] for x in reply), np.uint8)
+        df = exchange.values(r, np.arange(len(keys)))  # keys are sorted, as buckets are
         ns, digests, shared, rare = [], [], [], []
         for s in sets:
             n = len(s)
@@ -219,7 +219,7 @@ def _links(cells: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("bin").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block_shingles: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block_shingles: int = 1_000_000, fan: int = 1024) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their distinct shingles of ``size``
@@ -227,11 +227,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block_
     so copies are never expanded into pairs. Rows with a null doc_id link with nothing and get a null component.
     Repeated rows stay repeated; other columns are ignored. Components of more than ``block_shingles`` shingles are
     cut into blocks by size and hash, and all pairs of blocks whose sizes allow a link are compared.
-    Sets are held as 64-bit shingle hashes, equal sets told by a 128-bit digest.
+    Sets are held as 64-bit shingle hashes, equal sets told by a 128-bit digest. ``fan`` is the number of shards that ask together.
     """
     kept, count = shards(docs, 6 << 20)
-    bits = max(4, min(16, (4 * count - 1).bit_length()))
-    found = written(_sets(kept, _replies(_requests(kept, size, bits)), size, percent), "jaccard-sets")
+    exchange = Frequencies(count, fan)
+    asked = _requests(kept, size, exchange)
+    asked = written(asked, "jaccard-requests") if exchange.teams > 1 else asked
+    found = written(_sets(kept, exchange.lowered(asked, exchange.answered(exchange.lifted(asked))), size, percent, exchange), "jaccard-sets")
     nodes = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("rare").alias("rare"))
     nodes = written(nodes, "jaccard-nodes")
     prefix = written(_prefixes(nodes), "jaccard-prefixes")
@@ -257,8 +259,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, block_
     cells = single.union(large).withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins)))
     same = connected_components(written(_links(cells, percent), "jaccard-links"))
     label = nodes.select("digest", "node").join(same, "node").select("digest", "component")
-    out = found.select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left").join(label, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    # Most documents have no digest: they have no partner, and do not take part in the join.
+    some = found.filter("digest is not null").select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left").join(label, "digest", "left")
+    some = some.select("doc_id", "n", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    out = some.union(found.filter("digest is null").select("doc_id", "n", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only in a local session that names none (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -48,7 +50,7 @@ def shards(docs: DataFrame, shard_bytes: int = 12 << 20, keep: tuple[str, ...] =
     cell = F.spark_partition_id() * split + F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(split)).cast("int")
     name = f"shards_{uuid.uuid4().hex[:12]}"
     path = scratch(spark, "shards")
-    buckets = max(1, min(count, 4096, math.ceil((top.all or 1) / shard_bytes * 2)))
+    buckets = max(1, min(count, 100_000, math.ceil((top.all or 1) / shard_bytes * 2)))
     rows.select(cell.cast("int").alias("shard"), "doc_id", "text", *keep).write.option("path", path).option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
     return spark.table(name), count
 

@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import U, fixed_hashes, planes, prefix_sums, span_hashes, unplanes
+from .exchange import Exchange
 from .store import shards, written
 
 KMER = 20
 POSITION_BITS = 28
+#: Texts of more bytes are taken in parts of that many windows.
+LONG = 1 << 27
 
 
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -35,16 +38,19 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, width: int, limit: int = 1 <<
     """(document, first window, last window, anchor hash, context hash) of all contexts of a shard's bytes."""
     out: list[tuple] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2]
     n, row, span = len(offsets) - 1, 0, width - KMER + 1
+    parts: list[tuple[int, int, np.ndarray]] = []  # first row, first byte, where rows begin and end
     while row < n:
         end = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
         base, off = int(offsets[row]), offsets[row : end + 1] - offsets[row]
-        buf = raw[base : base + int(off[-1])]
-        first = row
+        if end == row + 1 and off[1] > LONG:
+            parts += [(row, base + s, np.array([0, min(LONG + width - 1, int(off[1]) - s)])) for s in range(0, int(off[1]) - width + 1, LONG)]
+        else:
+            parts.append((row, base, off))
         row = end
+    for first, base, off in parts:
+        buf = raw[base : base + int(off[-1])]
         if len(buf) < width:
             continue
-        if len(buf) >> POSITION_BITS:
-            raise ValueError("a text of 256 MB or more")
         sums = prefix_sums(buf)
         kmers = fixed_hashes(sums, KMER)
         key = (kmers >> U(POSITION_BITS) << U(POSITION_BITS)) | np.arange(len(kmers), dtype=np.uint64)
@@ -89,32 +95,34 @@ class _Shard:
         self.least = np.minimum.reduceat(self.own, self.first) if len(self.first) else self.own
 
 
-def _requests(kept: DataFrame, width: int, bits: int) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        s = _Shard(t, width)
-        edges = np.searchsorted(s.fp, np.arange(1 << bits, dtype=np.uint64) << U(48 - bits))
-        rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(s.fp)], strict=True)) if hi > lo]
-        return pa.table({
-            "bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([t.column("shard")[0].as_py()] * len(rows), pa.int32()),
-            "fp": pa.array([planes(s.fp[lo:hi])[: 6 * (hi - lo)] for _, lo, hi in rows], pa.binary()), "ctx": pa.array([planes(s.ctx[lo:hi])[: 5 * (hi - lo)] for _, lo, hi in rows], pa.binary()),
-            "least": pa.array([planes(s.least[lo:hi]) for _, lo, hi in rows], pa.binary()),
-        })
+#: Answers: nothing to remove by this context; all of it stands in a smaller document; compare by suffix array; compare window by window.
+NONE, COPY, COMPARE, SPREAD = range(4)
 
-    return kept.groupBy("shard").applyInArrow(run, "bucket int, shard int, fp binary, ctx binary, least binary")
 
+class Contexts(Exchange):
+    """Keys: anchor (48 bits) and context (40 bits); values: the smallest doc_id that holds the context; answers as above."""
 
-#: Replies: nothing to remove by this context; all of it stands in a smaller document; compare by suffix array; compare window by window.
-NONE, COPY, COMPARE, SPREAD = range(4)
+    payload, kind, combine = ("fp", "ctx", "least"), np.uint8, np.minimum
 
+    def __init__(self, shards: int, fan: int, spread: int):
+        super().__init__(shards, fan)
+        self.spread = spread
 
-def _replies(requests: DataFrame, spread: int) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
+    def unpack(self, t: pa.Table) -> tuple[list[int], tuple[np.ndarray, ...], np.ndarray]:
         fps = [unplanes(k + b"\0" * (len(k) // 6 * 2), np.uint64) for k in t.column("fp").to_pylist()]
-        fp = np.concatenate(fps)
         ctx = np.concatenate([unplanes(k + b"\0" * (len(k) // 5 * 3), np.uint64) for k in t.column("ctx").to_pylist()])
-        least = np.concatenate([unplanes(k, np.int64) for k in t.column("least").to_pylist()])
-        order = np.lexsort((least, ctx, fp))
-        fp, ctx, d = fp[order], ctx[order], least[order]
+        return [len(x) for x in fps], (np.concatenate(fps), ctx), np.concatenate([unplanes(k, np.int64) for k in t.column("least").to_pylist()])
+
+    def pack(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[bytes, ...]:
+        return planes(keys[0])[: 6 * len(values)], planes(keys[1])[: 5 * len(values)], planes(values)
+
+    def hashed(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
+        return keys[0] << U(16)
+
+    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, int]:
+        fp, ctx = keys
+        order = np.lexsort((values, ctx, fp))
+        fp, ctx, d = fp[order], ctx[order], values[order]
         by_fp = np.append(True, fp[1:] != fp[:-1])
         by_ctx = by_fp | np.append(True, ctx[1:] != ctx[:-1])
         group, anchor = np.cumsum(by_ctx) - 1, np.cumsum(by_fp) - 1
@@ -123,16 +131,25 @@ def _replies(requests: DataFrame, spread: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         mixed = np.minimum.reduceat(smallest, starts) < np.maximum.reduceat(smallest, starts)
         size = np.bincount(of)
-        code = np.where(d > smallest[group], COPY, np.where(mixed[anchor], np.where(size[anchor] > spread, SPREAD, COMPARE), NONE)).astype(np.uint8)
+        code = np.where(d > smallest[group], COPY, np.where(mixed[anchor], np.where(size[anchor] > self.spread, SPREAD, COMPARE), NONE)).astype(np.uint8)
         back = np.empty_like(code)
         back[order] = code
-        parts = np.split(back, np.cumsum([len(x) for x in fps])[:-1])
-        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "data": pa.array([p.tobytes() for p in parts], pa.binary())})
+        return back, 0
+
+    def refine(self, answers: np.ndarray, values: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        return np.where(values > merged, COPY, answers)
+
+
+def _requests(kept: DataFrame, width: int, exchange: Exchange) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        s = _Shard(t, width)
+        return exchange.rows(t.column("shard")[0].as_py(), (s.fp, s.ctx), s.least)[1]
 
-    return requests.groupBy("bucket").applyInArrow(run, "shard int, bucket int, data binary")
+    return kept.groupBy("shard").applyInArrow(run, exchange.schema)
 
 
 def _codes(r: pa.Table) -> np.ndarray:
+    """Answers in the order of a shard's entries, which are sorted as buckets are."""
     rows = sorted((b, d) for b, d in zip(r.column("bucket").to_pylist(), r.column("data").to_pylist(), strict=True) if b >= 0)
     return np.frombuffer(b"".join(x[1] for x in rows), np.uint8)
 
@@ -305,7 +322,7 @@ def _cleaned(kept: DataFrame, replies: DataFrame, width: int, keep: tuple[str, .
     return kept.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(run, result + extra)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep: tuple[str, ...] = (), as_text: bool = False, fan: int = 1024) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, the ``kept`` bytes, and the columns named in ``keep``.
 
     With ``as_text`` kept is a string, and a character cut in two by a removed byte goes whole.
@@ -314,18 +331,21 @@ def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep:
     UTF-8 bytes, whole; null is empty; matches never cross documents; rows with a null doc_id neither remove nor
     lose anything; rows with equal doc_ids do not remove each other's. Repeated rows stay; other columns are ignored.
     Anchors with more than ``spread`` different contexts are compared window by window, by hash, over all tasks.
-    Anchors and contexts are matched by 48 and 40 hash bits together.
+    Anchors and contexts are matched by 48 and 40 hash bits together. ``fan`` is the number of shards that ask together.
     """
     kept, count = shards(docs, 6 << 20, keep=keep)
-    bits = max(4, min(16, (4 * count - 1).bit_length()))
-    replies = written(_replies(_requests(kept, width, bits), spread), "repeat-replies")
-    masks = _masks(written(_sent(kept, replies, width, min(20, bits + 2)), "repeat-contexts"), width)
+    exchange = Contexts(count, fan, spread)
+    asked = _requests(kept, width, exchange)
+    asked = written(asked, "repeat-requests") if exchange.teams > 1 else asked
+    replies = written(exchange.lowered(asked, exchange.answered(exchange.lifted(asked))).select("shard", "bucket", "data"), "repeat-replies")
+    # Anchor ranges for the suffix arrays, in proportion to the shards.
+    masks = _masks(written(_sent(kept, replies, width, min(40, (16 * count - 1).bit_length())), "repeat-contexts"), width)
 
     def packed(t: pa.Table) -> pa.Table:
         a = np.column_stack([t.column("entry").to_numpy().astype(np.int64), t.column("mask").to_numpy()])
-        return pa.table({"shard": t.column("shard").slice(0, 1), "bucket": pa.array([-1], pa.int32()), "data": pa.array([a.tobytes()], pa.binary())})
+        return pa.table({"shard": t.column("shard").slice(0, 1), "bucket": pa.array([-1], pa.int64()), "data": pa.array([a.tobytes()], pa.binary())})
 
-    return _cleaned(kept, replies.unionByName(masks.groupBy("shard").applyInArrow(packed, "shard int, bucket int, data binary")), width, keep, as_text)
+    return _cleaned(kept, replies.unionByName(masks.groupBy("shard").applyInArrow(packed, "shard int, bucket long, data binary")), width, keep, as_text)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -59,12 +59,14 @@ def test_jaccard(docs):
             for j, b in sets.items():
                 if a and b and 100 * len(a & b) >= 75 * len(a | b):
                     label[i] = min(label[i], label[j])
-    got = by_id(jaccard_components(docs, block_shingles=60))
+    for fan in (1024, 1):
+        got = by_id(jaccard_components(docs, block_shingles=60, fan=fan))
+        assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), label[i]) for i, s in sets.items()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("spread", [20_000, 1])
-def test_repeats(docs, spread):
+@pytest.mark.parametrize(("spread", "fan"), [(20_000, 1024), (1, 1), (20_000, 2)])
+def test_repeats(docs, spread, fan):
     from geoterra.llm.suffix_dedup import remove_repeats
 
     seen, want = {}, {}
@@ -79,7 +81,7 @@ def test_repeats(docs, spread):
             seen.setdefault(w, i)
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[i] = (len(b), sum(gone), sum(1 for p in bytes(gone).split(b"\0") if p), hashlib.sha256(kept).hexdigest())
-    got = {i: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in by_id(remove_repeats(docs, spread=spread)).items()}
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in by_id(remove_repeats(docs, spread=spread, fan=fan)).items()}
     assert got == want and sum(w[1] for w in want.values()) > 0
 
 
