@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-ANSWER = "shard int, bucket long, data binary, stat long"
+ANSWER = "shard int, bucket long, data binary, stats array<long>"
 
 
 class Exchange(ABC):
@@ -47,8 +47,8 @@ class Exchange(ABC):
         """64 bits whose upper ones are the bucket, and the next ones the finer bucket."""
 
     @abstractmethod
-    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, int]:
-        """A value for every key of a bucket, and a number for the whole bucket."""
+    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """A value for every key of a bucket, and some numbers for the whole bucket."""
 
     def refine(self, answers: np.ndarray, values: np.ndarray, merged: np.ndarray) -> np.ndarray:
         """Answers to keys with these values, from those to their merged ones."""
@@ -102,18 +102,18 @@ class Exchange(ABC):
         return requests.groupBy("bucket", F.floor(F.col("shard") / self.fan).cast("int").alias("team"))
 
     def answered(self, lifted: DataFrame) -> DataFrame:
-        """(shard or team, bucket, data, stat): ``data`` in the order of the request; ``stat`` stands in one row of a bucket."""
+        """(shard or team, bucket, data, stats): ``data`` in the order of the request; ``stats`` stand in one row of a bucket."""
 
         def run(t: pa.Table) -> pa.Table:
             sizes, keys, values = self.unpack(t)
-            found, stat = self.answer(keys, values)
+            found, stats = self.answer(keys, values)
             parts = np.split(found.astype(self.kind), np.cumsum(sizes)[:-1])
-            return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "data": pa.array([p.tobytes() for p in parts], pa.binary()), "stat": pa.array([stat] + [0] * (len(parts) - 1), pa.int64())})
+            return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "data": pa.array([p.tobytes() for p in parts], pa.binary()), "stats": pa.array([stats] + [None] * (len(parts) - 1), pa.list_(pa.int64()))})
 
         return lifted.groupBy("bucket").applyInArrow(run, ANSWER)
 
     def lowered(self, requests: DataFrame, answers: DataFrame) -> DataFrame:
-        """(shard, bucket, data, stat) for the shards' own requests."""
+        """(shard, bucket, data, stats) for the shards' own requests."""
         if self.teams == 1:
             return answers
         asked = answers.select(F.shiftright("bucket", self.sub_bits).alias("bucket"), F.col("shard").alias("team"), F.col("bucket").alias("fine"), "data")
@@ -123,7 +123,7 @@ class Exchange(ABC):
             back = np.concatenate([np.frombuffer(d, self.kind) for _, d in sorted(zip(r.column("fine").to_pylist(), r.column("data").to_pylist(), strict=True))])
             found = self.refine(back[place], values, merged[place]).astype(self.kind)
             parts = np.split(found, np.cumsum(sizes)[:-1])
-            return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "data": pa.array([p.tobytes() for p in parts], pa.binary()), "stat": pa.array([0] * len(parts), pa.int64())})
+            return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "data": pa.array([p.tobytes() for p in parts], pa.binary()), "stats": pa.array([None] * len(parts), pa.list_(pa.int64()))})
 
         return self._by_team(requests).cogroup(asked.groupBy("bucket", "team")).applyInArrow(run, ANSWER)
 

@@ -76,9 +76,9 @@ class Frequencies(Exchange):
     def hashed(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
         return keys[0] << U(16)
 
-    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, int]:
+    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, list[int]]:
         _, at = np.unique(keys[0], return_inverse=True)
-        return np.minimum(np.bincount(at, values), 255)[at], 0
+        return np.minimum(np.bincount(at, values), 255)[at], []
 
 
 def _requests(kept: DataFrame, size: int, exchange: Exchange) -> DataFrame:

@@ -119,7 +119,7 @@ class Contexts(Exchange):
     def hashed(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
         return keys[0] << U(16)
 
-    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, int]:
+    def answer(self, keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, list[int]]:
         fp, ctx = keys
         order = np.lexsort((values, ctx, fp))
         fp, ctx, d = fp[order], ctx[order], values[order]
@@ -134,7 +134,7 @@ class Contexts(Exchange):
         code = np.where(d > smallest[group], COPY, np.where(mixed[anchor], np.where(size[anchor] > self.spread, SPREAD, COMPARE), NONE)).astype(np.uint8)
         back = np.empty_like(code)
         back[order] = code
-        return back, 0
+        return back, []
 
     def refine(self, answers: np.ndarray, values: np.ndarray, merged: np.ndarray) -> np.ndarray:
         return np.where(values > merged, COPY, answers)

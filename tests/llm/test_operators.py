@@ -183,6 +183,8 @@ def test_context_tree(docs):
                 if d:
                     below[c[1:], n] += w
     got = by_id(score(docs, depth=depth))
+    for i, r in by_id(score(docs, depth=depth, fan=1)).items():
+        assert tuple(r) == pytest.approx(tuple(got[i]))
     for i, b in texts.items():
         if i is None:
             continue
@@ -198,7 +200,7 @@ def test_context_tree(docs):
                     else:
                         p = 0.5
                 total += math.log10(p if byte >> (7 - j) & 1 else 1 - p)
-        assert got[i].score == pytest.approx(total, rel=1e-5)
+        assert got[i].score == pytest.approx(total, rel=1e-5) and got[i].bits_per_byte == pytest.approx(-total * math.log2(10) / (len(b) + 1), rel=1e-5)
     train = Counter(w for i, b in texts.items() if trains(i) for w in [*split(b.decode()), None])
     n, v = sum(train.values()), len(train)
     for i, r in got.items():
