@@ -7,17 +7,17 @@ word the probability of every language, so code-switched text is labelled word b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytekernel import LOWER, SPACE, U, chunks, prefix_sums, span_hashes, word_spans
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -123,34 +123,36 @@ def train(texts: list[bytes], labels: np.ndarray, count: int, bits: int = 16, ep
     return weights.astype(np.float32), np.maximum(transitions, -6.0)
 
 
-def stratified(rows: DataFrame, sample: int) -> DataFrame:
+def stratified(rows: DataFrame, sample: int, sample_bytes: int = 64 << 20) -> DataFrame:
     """About ``sample`` of ``rows`` (h, lang, text), those with the smallest hash of each language, and at least one of every language.
 
-    Half is dealt evenly over the languages, as far as they have rows, and what is left by their counts. As in
+    The texts kept of one language hold together at most its share of ``sample_bytes``, and the first whatever its size. Half is dealt evenly over the languages, as far as they have rows, and what is left by their counts. As in
     ``smallest``, a bound on the hash keeps what is sorted from growing with the table.
     """
     count = {x.lang: x["count"] for x in rows.groupBy("lang").count().collect()}  # one row for each label of the model
     every = sum(count.values())
-    if every <= sample:
+    if not every:
         return rows
     least = {x: min(n, max(1, sample // (2 * len(count)))) for x, n in count.items()}
     spare, more = max(0, sample - sum(least.values())), every - sum(least.values())
-    quota = {x: least[x] + spare * (n - least[x]) // max(1, more) for x, n in count.items()}
+    quota = {x: n if every <= sample else least[x] + spare * (n - least[x]) // max(1, more) for x, n in count.items()}
     bound = {x: 2**63 - 1 if n <= 4 * quota[x] + 256 else -(2**63) + 2**64 * (2 * quota[x] + 64) // n for x, n in count.items()}
     of = lambda d: F.element_at(F.create_map(*[F.lit(y) for x in d.items() for y in x]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("h", "text")
-    return rows.filter(F.col("h") <= of(bound)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= of(quota)).drop("k")
+    rows = rows.filter(F.col("h") <= of(bound)).withColumn("k", F.row_number().over(order)).withColumn("b", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    share = {x: sample_bytes * q // max(1, sum(quota.values())) for x, q in quota.items()}
+    return rows.filter((F.col("k") <= of(quota)) & ((F.col("k") == 1) | (F.col("b") <= of(share)))).drop("k", "b")
 
 
-def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 1500, bits: int = 16) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, weights and transitions, from about ``sample`` labelled documents (of each language those with the smallest hash of doc_id), whole, in one task.
+def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 1500, sample_bytes: int = 64 << 20, bits: int = 16) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, weights and transitions, from about ``sample`` labelled documents (of each language those with the smallest hash of doc_id) of at most about ``sample_bytes`` of text, whole, in one task.
 
     Only text and non-null lang of documents whose crc32(doc_id) mod ``folds`` is not ``held`` are used.
     """
     text_id = F.col("doc_id").cast("long").cast("string")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.pmod(F.crc32(text_id.cast("binary")), F.lit(folds)) != held, F.lit(True)))
     rows = rows.select(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = stratified(rows, sample)
+    rows = stratified(rows, sample, sample_bytes)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("h", "ascending"), ("lang", "ascending"), ("text", "ascending")])

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytekernel import U, fixed_hashes, planes, prefix_sums, span_hashes, unplanes
 from .exchange import Exchange
@@ -276,12 +277,8 @@ def _masks(sent: DataFrame, width: int) -> DataFrame:
     return near.union(far)
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-
-
 def _cleaned(kept: DataFrame, replies: DataFrame, width: int, keep: tuple[str, ...], as_text: bool) -> DataFrame:
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
-    result = KEPT.replace("kept binary", "kept string") if as_text else KEPT
+    result = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("was_null", T.BooleanType())] + [kept.schema[c] for c in keep])
 
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
         s, code = _Shard(t, width), _codes(r)
@@ -316,14 +313,14 @@ def _cleaned(kept: DataFrame, replies: DataFrame, width: int, keep: tuple[str, .
         rest = pa.array([p.decode("utf-8", "ignore") for p in pieces], pa.string()) if as_text else pa.array(pieces, pa.binary())
         return pa.table({
             "doc_id": t.column("doc_id"), "n_bytes": pa.array(hi - lo), "n_removed": pa.array(before[hi] - before[lo]), "n_spans": pa.array(spans[hi] - spans[lo]),
-            "kept": rest, **{c: t.column(c) for c in keep},
+            "kept": rest, "was_null": t.column("text").is_null(), **{c: t.column(c) for c in keep},
         })
 
-    return kept.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(run, result + extra)
+    return kept.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(run, result)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, spread: int = 20_000, keep: tuple[str, ...] = (), as_text: bool = False, fan: int = 1024) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, the ``kept`` bytes, and the columns named in ``keep``.
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, the ``kept`` bytes, whether the text was_null, and the columns named in ``keep``.
 
     With ``as_text`` kept is a string, and a character cut in two by a removed byte goes whole.
 
