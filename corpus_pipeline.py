@@ -1,13 +1,13 @@
 """A corpus pipeline of five stages: language, near copies, repeated passages, benchmark passages, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-Stages decide by doc_id: rows with a null doc_id are kept by the filters, and of rows that repeat a doc_id one stays
-after the second stage.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, whatever
+they are besides doc_id and text. Stages decide row by row: where doc_ids repeat or are null, rows are numbered in the
+order of their doc_ids, and the numbers stand in for them. Empty tables give empty ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoterra.llm.decontamination import decontaminate
@@ -21,35 +21,61 @@ from geoterra.llm.suffix_dedup import remove_repeats
 LEAST_LANGUAGE = 0.4
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows of these doc_ids, which are written first, so that their size is known to the planner."""
-    return docs.join(written(ids.select("doc_id").distinct(), name), "doc_id", "left_anti").select(docs.columns)
+KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``KEY``: the doc_id, where all are different and not null; else a number in their order."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    order = rows.select(F.col("doc_id").cast("long").alias("id"), "__row").repartitionByRange("id", "__row").sortWithinPartitions("id", "__row")
+    keys = written(order.select("__row", F.monotonically_increasing_id().alias(KEY)), "row-keys")
+    return written(rows.join(keys, "__row").drop("__row"), "keyed-rows")
+
+
+def _asked(keyed: DataFrame, *more: str) -> DataFrame:
+    return keyed.select(F.col(KEY).alias("doc_id"), "text", *more)
+
+
+def _without(keyed: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is not among these doc_ids, which are written first, so that their size is known to the planner."""
+    gone = written(ids.select(F.col("doc_id").alias(KEY)), name)
+    return keyed.join(gone, KEY, "left_anti").drop(KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, fit(docs))
-    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("best") < LEAST_LANGUAGE)), "no-language")
+    """Documents without a letter, or whose words have no clear language, go."""
+    keyed = _keyed(docs)
+    found = identify(_asked(keyed), fit(docs))
+    return _without(keyed, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("best") < LEAST_LANGUAGE)), "no-language").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of linked documents stays."""
-    rest = _without(docs, jaccard_components(docs).filter("component_id <> doc_id"), "near-copies")
-    repeated = written(rest.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    once = rest.join(repeated, "doc_id", "left_semi").withColumn("row", F.row_number().over(first)).filter("row = 1")
-    return rest.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    keyed = _keyed(docs)
+    return _without(keyed, jaccard_components(_asked(keyed)).filter("component_id <> doc_id"), "near-copies").select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go, and documents that are nothing else. A character cut in two by a removed byte goes too."""
-    out = remove_repeats(docs, keep=("lang", "source", "n_chars"), as_text=True).withColumnRenamed("kept", "text")
+    """Repeated passages go, and documents that are nothing else. A character cut in two by a removed byte goes too. ``n_chars``, where there is one, counts what is left."""
+    keyed = _keyed(docs)
+    rest = [c for c in docs.columns if c != "text"]
+    out = remove_repeats(_asked(keyed, F.struct(*rest).alias("rest")), keep=("rest",), as_text=True)
     changed = F.col("n_removed") > 0
-    return out.filter(~changed | (F.trim("text") != "")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select("doc_id", "text", "lang", "source", "n_chars")
+    text = F.when(changed, F.col("kept")).otherwise(F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("kept")))
+    columns = {c: F.col(f"rest.`{c}`") for c in rest} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.filter(~changed | (F.trim("kept") != "")).select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter(F.size("hit_words") > 0), "contaminated")
+    """Documents with a benchmark passage go."""
+    keyed = _keyed(docs)
+    found = decontaminate(_asked(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(keyed, found.filter(F.size("hit_words") > 0), "contaminated").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
