@@ -102,9 +102,11 @@ class Index:
             return step[:-1] > 0, []
         p = np.minimum(np.searchsorted(self.prefixes, w.hashes), len(self.prefixes) - 1)
         at = np.flatnonzero(self.prefixes[p] == w.hashes)
-        for low in range(0, len(at), 1 << 18):
-            i = at[low : low + (1 << 18)]
-            many = self.edge[p[i] + 1] - self.edge[p[i]]
+        every = self.edge[p[at] + 1] - self.edge[p[at]]
+        # Some 100,000 candidates at a time, so that common prefix words need no more memory than rare ones.
+        parts = np.searchsorted(np.cumsum(every) >> 17, np.arange(1 + int(every.sum() >> 17)))
+        for low, high in zip(parts, [*parts[1:], len(at)], strict=True):
+            i, many = at[low:high], every[low:high]
             c = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.edge[p[i]], many)
             i = np.repeat(i, many)
             start, length = i - self.place[c], self.length[c]
@@ -133,7 +135,7 @@ def _rarity(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nda
         v = shared.value
         total = np.zeros(len(v), np.int64)
         for batch in batches:
-            for _, _, raw, offsets in chunks(batch.column(0), 1 << 20):
+            for _, _, raw, offsets in chunks(batch.column(0), 1 << 19):
                 w = Words(raw, offsets)
                 at = np.minimum(np.searchsorted(v, w.hashes), len(v) - 1)
                 known = v[at] == w.hashes
@@ -207,7 +209,7 @@ def _search(docs: DataFrame, items: DataFrame, size: int, key: str) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for low, high, raw, offsets in chunks(batch.column(1), 1 << 20):
+            for low, high, raw, offsets in chunks(batch.column(1), 1 << 19):
                 w = Words(raw, offsets)
                 hit, found = index.matches(w)
                 at = np.flatnonzero(hit)
