@@ -7,48 +7,51 @@ from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in ``spark.checkpoint.dir``; a folder of our own only in a local session that names none (tests)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(named)
     return df.checkpoint()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(unit_id, component) with the smallest unit of each component; edges (src, dst) stand in both directions.
 
     Labels take the neighbours' smallest, then jump to their label's label, so paths halve each round.
     """
     label = _checkpointed(nodes.select("unit_id", F.col("unit_id").alias("component")))
-    for _ in range(rounds):
+    while True:
         heard = edges.join(label.withColumnRenamed("unit_id", "dst"), "dst").groupBy(F.col("src").alias("unit_id")).agg(F.min("component").alias("m"))
         low = label.join(heard, "unit_id", "left").select("unit_id", "component", F.least("component", "m").alias("now"))
         jump = label.select(F.col("unit_id").alias("now"), F.col("component").alias("next"))
         step = _checkpointed(low.join(jump, "now").select("unit_id", F.least("now", "next").alias("now"), F.col("component").alias("was")))
         label = step.select("unit_id", F.col("now").alias("component"))
         if step.filter("now <> was").isEmpty():
-            break
-    return label
+            return label
 
 
-def voronoi(roots: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def voronoi(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest paths from several roots: (unit_id, root, parent, km), the smallest (km, root, parent) for each reached unit.
 
     ``edges`` (src, dst, km) must have positive lengths: coincident points would make the order of settling matter.
     """
     state = _checkpointed(roots.select("unit_id", F.col("unit_id").alias("root"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("km")))
     fixed = roots.select("unit_id", F.lit(True).alias("is_root"))
-    for _ in range(rounds):
+    while True:
         offered = edges.join(state.select(F.col("unit_id").alias("src"), "root", F.col("km").alias("base")), "src").select(F.col("dst").alias("unit_id"), "root", F.col("src").alias("parent"), (F.col("base") + F.col("km")).alias("km"))
         offered = offered.join(fixed, "unit_id", "left_anti")
         best = state.union(offered).groupBy("unit_id").agg(F.min(F.struct("km", "root", F.coalesce("parent", F.lit(-1)).alias("parent"))).alias("b"))
         after = _checkpointed(best.select("unit_id", "b.root", F.nullif("b.parent", F.lit(-1)).alias("parent"), "b.km"))
-        same = after.join(state, ["unit_id", "root", "km"]).count() == after.count()
+        if after.join(state, ["unit_id", "root", "km"], "left_anti").isEmpty():
+            return after
         state = after
-        if same:
-            break
-    return state
 
 
 def fragmentation(assigned: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,30 +11,61 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, between_tables, in_ring
 
+#: A side of at most so many rows is broadcast.
 SMALL = 50_000
+WIDEST = 360.0
 
 
 def nearest(units: DataFrame, poles: DataFrame, within: list[str] | None = None, order: str = "pole_num") -> DataFrame:
     """Each unit with its nearest pole (ties by ``order``), in the same group if ``within`` names one.
 
-    Without a group this is every pair; poles are broadcast only if they are at most ``SMALL`` rows, and only the best per unit
-    survives the partial aggregation, so no pairs are shuffled.
+    Poles are sought in the grid cells around a unit, some two of them in a cell on average. What is found there counts if
+    nothing outside those cells can be nearer; the few units left look in cells eight times as wide, and so on to the whole
+    world. Units without coordinates, or without a pole of their group, are left out.
     """
-    p = poles.select("pole_id", F.col(order).alias("_o"), "lat", "lon", *(within or []))
-    if poles.limit(SMALL + 1).count() <= SMALL:
-        p = F.broadcast(p)
-    on = [F.col(f"u.{c}") == F.col(f"p.{c}") for c in within] if within else None
-    pairs = units.alias("u").join(p.alias("p"), on) if on else units.alias("u").crossJoin(p.alias("p"))
-    best = F.min(F.struct(between_tables("u", "p").alias("km"), F.col("p._o").alias("o"), F.col("p.pole_id").alias("pole_id")))
-    return pairs.groupBy("u.unit_id").agg(best.alias("b")).select("unit_id", "b.pole_id", "b.km")
+    keys = within or []
+    size = poles.agg(F.count("*").alias("n"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")).first()
+    cell = min(WIDEST, max(0.01, max(size.h or 0.0, size.w or 0.0) / math.sqrt(max(size.n, 1) / 2)))
+    p = poles.select("pole_id", F.col(order).alias("_o"), "lat", "lon", *keys)
+    open_, out = units.select("unit_id", "lat", "lon", *keys).filter("lat is not null and lon is not null"), []
+    while True:
+        last = cell >= WIDEST / 8
+        cell = WIDEST if last else cell
+        at = lambda c, cell=cell: F.floor(F.col(c) / cell)
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        cells = p.withColumn("_n", around).withColumn("_x", at("lon") + F.col("_n.i")).withColumn("_y", at("lat") + F.col("_n.j"))
+        cells = F.broadcast(cells) if size.n * 9 <= SMALL else cells
+        u = open_.withColumn("_x", at("lon")).withColumn("_y", at("lat"))
+        on = [F.col(f"u.{c}") == F.col(f"p.{c}") for c in [*keys, "_x", "_y"]]
+        met = u.alias("u").join(cells.alias("p"), on, "left")
+        best = F.min(F.when(F.col("p.pole_id").isNotNull(), F.struct(between_tables("u", "p").alias("km"), F.col("p._o").alias("o"), F.col("p.pole_id").alias("pole_id"))))
+        held = met.groupBy("u.unit_id", "u.lat", "u.lon", *[f"u.{c}" for c in keys]).agg(best.alias("b"))
+        if last:
+            break
+        # Outside the cells a pole is at least a cell away along one of the two axes, or beyond the date line.
+        aside = lambda d: EARTH_KM * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(d, F.lit(90.0)))))
+        bound = F.least(F.lit(EARTH_KM * math.radians(cell)), aside(F.lit(cell)), aside(F.greatest(180 - F.abs("lon"), F.lit(0.0))))
+        sure = F.coalesce(F.col("b.km") <= bound, F.lit(False))
+        out.append(held.filter(sure).select("unit_id", "b.pole_id", "b.km"))
+        open_, cell = held.filter(~sure).select("unit_id", "lat", "lon", *keys), cell * 8
+    out.append(held.filter("b is not null").select("unit_id", "b.pole_id", "b.km"))
+    return reduce(DataFrame.union, out)
 
 
 def within_km(left: DataFrame, right: DataFrame, km: float, keys: list[str]) -> DataFrame:
-    """Pairs (aliases a and b) of equal ``keys`` at most ``km`` apart, found by latitude strips of that height."""
+    """Pairs (aliases a and b) of equal ``keys`` at most ``km`` apart, found by latitude strips of that height, cut into cells that are at least as wide."""
     strip = math.degrees(km / EARTH_KM)
-    a = left.withColumn("_s", F.floor(F.col("lat") / strip))
+    # A cell's width in degrees follows from the latitude farthest from the equator that a strip's neighbours reach.
+    reach = F.least((F.greatest(F.abs(F.col("_s")), F.abs(F.col("_s") + 1)) + 1) * strip, F.lit(89.0))
+    ratio = math.sin(km / EARTH_KM / 2) * (1 + 1e-9) / F.cos(F.radians(reach))
+    wide = F.when((ratio >= 1) | (reach >= 89.0), F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))))
+    a = left.withColumn("_s", F.floor(F.col("lat") / strip)).withColumn("_l", F.floor(F.col("lon") / wide))
     b = right.withColumn("_s", F.explode(F.array(*[F.floor(F.col("lat") / strip) + d for d in (-1, 0, 1)])))
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_s"]]
+    # What lies near the date line stands on its other side too.
+    turned = F.when(F.abs("lon") > 180 - 2 * wide, F.array(F.col("lon"), F.col("lon") - 360 * F.signum("lon"))).otherwise(F.array("lon"))
+    cells = F.array_distinct(F.flatten(F.transform(turned, lambda x: F.array(*[F.floor(x / wide) + d for d in (-1, 0, 1)]))))
+    b = b.withColumn("_l", F.explode(cells))
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_s", "_l"]]
     return a.alias("a").join(b.alias("b"), on).withColumn("km", between_tables("a", "b")).filter(F.col("km") <= km)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import created_once
+
 SCHEMA = "id string, name string, base_scenario string, revision long, updated_at double, deleted boolean, data string"
 
 
@@ -34,12 +37,13 @@ def latest(all_revisions: DataFrame) -> DataFrame:
 def write(spark: SparkSession, path: str, id: str, revision: int | None, name: str = "", base_scenario: str = "", data: str = "{}", deleted: bool = False) -> int:
     """Append the revision after ``revision`` (None for a new draft) and return its number; raises Conflict if that is not the newest.
 
-    A row is one file, committed whole. Two writers at once may both append: ``latest`` then keeps the earlier one.
+    A writer first creates the claim ``<path>.claims/<id>/<revision>``, which the file system gives to one writer only, so
+    of two at once one gets the conflict. The row is one file, committed whole.
     """
-    now = latest(revisions(spark, path)).filter(F.col("id") == id).select("revision").first()
-    if (now.revision if now else None) != revision:
+    every = revisions(spark, path).filter(F.col("id") == id)
+    now, past = latest(every).select("revision").first(), every.agg(F.max("revision")).first()[0] or 0
+    if (now.revision if now else None) != revision or not created_once(spark, f"{path.rstrip('/')}.claims/{hashlib.sha256(id.encode()).hexdigest()}/{past + 1}"):
         raise Conflict(f"{id}: revision {revision} is not the newest")
-    past = revisions(spark, path).filter(F.col("id") == id).agg(F.max("revision")).first()[0] or 0
     spark.createDataFrame([(id, name, base_scenario, past + 1, time.time(), deleted, data)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return past + 1
 
