@@ -51,12 +51,12 @@ def _contracted(edges: DataFrame, limit: int = 100_000) -> DataFrame:
     return edges.mapInArrow(run, EDGES)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node of each component, for every node of the links (a, b). Links with a null end are ignored; an empty table gives an empty one."""
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().filter("a <> b")
     e = _contracted(e).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     state = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         e = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import importlib
+from . import context_tree, decontamination, jaccard_join, language_crf, packing, quality_fm, suffix_dedup, threshold_search, token_counts, url_trust
 
-MODULES = ("token_counts", "decontamination", "packing", "jaccard_join", "suffix_dedup", "context_tree", "threshold_search", "url_trust", "language_crf", "quality_fm")
+MODULES = (token_counts, decontamination, quality_fm, threshold_search, suffix_dedup, jaccard_join, url_trust, packing, context_tree, language_crf)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in importlib.import_module(f"{__package__}.{m}").QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in getattr(importlib.import_module(f"{__package__}.{m}"), "ORACLES", {}).items()}
+    return {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
