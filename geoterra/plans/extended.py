@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import records, shapes
 from ..functions import values as v
-from ..operators import graph, mesh, pipelines, scenario, siting
-from ..sources import files
+from ..operators import graph, mesh, pipelines, preparation, scenario, siting
+from ..sources import files, reports
 from .registry import pairs, query, r
 from .summaries import boxes
 from .views import Territory, hav
@@ -176,14 +176,12 @@ def g09_outlines(t):
 
 
 def _ring_areas(rings):
-    """Outer rings count, rings inside another one do not: by how many rings of the key hold a point beside the ring's first edge."""
-    a, b = rings.alias("a"), rings.alias("b")
-    inner = F.element_at("a.ring", 1)
-    point = shapes.representative_point(F.col("a.ring"))
-    depth = F.count_if((F.col("b.part") != F.col("a.part")) & shapes.in_ring(point["lon"], point["lat"], F.col("b.ring")))
-    sides = a.join(b, "city_code").groupBy("city_code", F.col("a.part"), F.col("a.ring")).agg(depth.alias("depth"), F.first(inner).alias("p"))
-    sign = F.when(F.col("depth") % 2 == 0, 1.0).otherwise(-1.0)
-    return sides.groupBy("city_code").agg(F.round(F.sum(sign * F.abs(shapes.signed_area(F.col("ring")))), 6).alias("area"))
+    """Outer rings count, rings inside another one do not: by how many rings of the key hold a point inside the ring."""
+    at = shapes.representative_point(F.col("ring"))
+    a = graph._checkpointed(rings.select("city_code", "part", at.alias("p"), F.abs(shapes.signed_area(F.col("ring"))).alias("size"), "ring"))
+    inside = (F.col("b.part") != F.col("a.part")) & (F.col("b.size") > F.col("a.size")) & shapes.in_ring(F.col("a.p.lon"), F.col("a.p.lat"), F.col("b.ring"))
+    depth = a.drop("ring").alias("a").join(a.alias("b"), (F.col("a.city_code") == F.col("b.city_code")) & inside, "left").groupBy("a.city_code", "a.part", "a.size").agg(F.count("b.part").alias("depth"))
+    return depth.groupBy("city_code").agg(F.round(F.sum(F.when(F.col("depth") % 2 == 0, F.col("size")).otherwise(-F.col("size"))), 6).alias("area"))
 
 
 @query(", a as (select 1) select lpad(cast(pole_num as varchar), 7, '0') as code, 'SOMENTE_REFERENCIA' as side from fx_pole where pole_num % 10 = 0 union all select lpad(cast(pole_num as varchar), 7, '0'), 'SOMENTE_MALHA' from fx_pole where pole_num % 11 = 0 and pole_num % 10 <> 0")
@@ -382,3 +380,86 @@ def r06_all_parents(t):
 @query(", a as (select 1) select unit_id, case when population is null then null else translate(format('{:,.1f}', population), ',.', '.,') end as text from fx_unit")
 def p32_one_decimal(t):
     return t.units.select("unit_id", v.brazilian(F.col("population"), 1).alias("text"))
+
+
+# --- Preparation ---------------------------------------------------------------------------------------------------
+@query(f", c as (select pole_num, {' '.join(['case pole_num % 27'] + [f'when {i} then {p!r}' for i, p in enumerate(PREFIXES)])} end as prefix, lon, lat from fx_pole), x as (select u.unit_id, c.pole_num, c.prefix, greatest(abs(u.lon - c.lon) - 2, 0) as dx, greatest(abs(u.lat - c.lat) - 2, 0) as dy, u.lon >= c.lon - 2 and u.lon < c.lon + 2 and u.lat >= c.lat - 2 and u.lat < c.lat + 2 as inside from fx_unit u cross join c where u.unit_id % 10 = 0), k as (select *, concat(prefix, lpad(cast(pole_num as varchar), 5, '0')) as code from x), r as (select *, row_number() over (partition by unit_id order by inside desc, case when inside then 0 else round(sqrt(dx * dx + dy * dy), 9) end, code) as i from k) select cast(unit_id as varchar) as office, code as municipality_code, case when inside then 'DENTRO' else 'MAIS_PROXIMO' end as method, case prefix {' '.join(f'when {p!r} then {s!r}' for p, s in records.STATE_OF_PREFIX.items())} end as state from r where i = 1")
+def d02_regional_points(t):
+    """Every tenth unit is an office; the poles' boxes are the municipalities."""
+    prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (F.col("pole_num") % 27 + 1).cast("int"))
+    cities = boxes(t).select(F.concat(prefix, F.lpad(F.col("pole_num").cast("string"), 5, "0")).alias("municipality_code"), "ring")
+    offices = t.units.filter("unit_id % 10 = 0").select(F.col("unit_id").cast("string").alias("office"), "name", "lat", "lon")
+    return preparation.regional_points(offices, cities, 4.0).select("office", "municipality_code", "method", "state")
+
+
+@query(", a as (select 1) select pole_id as supervision, 'SÃO PAULO' as area from fx_pole where pole_num % 9 <> 0")
+def d03_hierarchy(t):
+    rows = t.poles.select(F.when(F.col("pole_num") % 9 == 0, " ").otherwise(F.concat(F.lit(" "), "pole_id")).alias("supervision"), F.lit("sao  Paulo ").alias("area"), "state").withColumnRenamed("state", "coordination")
+    return preparation.hierarchy(rows.union(rows)).select("supervision", "area")
+
+
+@query(", a as (select unit_id, municipality_code, lat, lon from fx_unit where unit_id % 6 <> 0) select cast(s.store_id as varchar) as store, municipality_code from fx_store s join a using (unit_id) where store_id % 7 <> 0")
+def d03_prepared_stores(t):
+    """Every seventh store has no place, every sixth unit's code is missing from the reference; even stores carry six digits of their code."""
+    u = t.units.select("unit_id", "municipality_code", "lat", "lon")
+    s = t.stores.join(u, "unit_id")
+    # The reference's codes differ in their first six digits: they are the unit's number times ten.
+    ten = F.lpad((F.col("unit_id") * 10).cast("string"), 7, "0")
+    rows = s.select(F.concat("store_id", F.lit(" ")).alias("store"), F.when(F.col("store_id") % 2 == 0, F.substring(ten, 1, 6)).otherwise(ten).alias("code"), F.when(F.col("store_id") % 7 != 0, F.col("lat")).alias("lat"), "lon", F.lit("x").alias("supervision"))
+    known = t.units.filter("unit_id % 6 <> 0").select(ten.alias("code"))
+    out = preparation.stores(rows.union(rows), known)
+    return out.select("store", F.lpad((F.col("municipality_code").cast("long") / 10).cast("long").cast("string"), 7, "0").alias("municipality_code"))
+
+
+@query(
+    ", s as (select s.store_id, u.unit_id, u.municipality_code, u.unit_key, u.lat, u.lon, u.unit_id % 3 = 0 as split, store_id % 4 as k from fx_store s join fx_unit u using (unit_id))"
+    " select cast(store_id as varchar) as store, case when not split then unit_key when k = 0 then concat(unit_key, '/w') when k = 1 then concat(unit_key, '/e') when k = 2 then concat(unit_key, '/w') else concat(unit_key, '/e') end as unit_key, case when not split then 'CODIGO_MUNICIPIO' when k < 2 then 'PONTO_DENTRO_DISTRITO' else 'DISTRITO_MAIS_PROXIMO' end as method from s"
+)
+def d05_stores_to_units(t):
+    """Every third municipality has a western and an eastern district, a box of one tenth of a degree each; its stores lie in either or beside it."""
+    u = t.units
+    split = F.col("unit_id") % 3 == 0
+    whole = u.filter(~split).select("unit_key", "municipality_code", F.lit(None).cast("string").alias("district_code"), F.lit(False).alias("is_district"), "lat", "lon")
+    sides = u.filter(split).withColumn("side", F.explode(F.array(F.lit("w"), F.lit("e")))).withColumn("shift", F.when(F.col("side") == "w", -0.05).otherwise(0.05))
+    code = F.concat("municipality_code", "side")
+    parts = sides.select(F.concat("unit_key", F.lit("/"), "side").alias("unit_key"), "municipality_code", code.alias("district_code"), F.lit(True).alias("is_district"), "lat", (F.col("lon") + F.col("shift")).alias("lon"))
+    corner = lambda x, y: shapes.point(F.col("lon") + F.col("shift") + x, F.col("lat") + y)
+    rings = sides.select(code.alias("district_code"), "municipality_code", F.array(corner(-0.05, -0.05), corner(0.05, -0.05), corner(0.05, 0.05), corner(-0.05, 0.05)).alias("ring"))
+    k = F.col("store_id") % 4
+    away = F.when(k == 0, -0.03).when(k == 1, 0.03).when(k == 2, -0.3).otherwise(0.3)
+    s = t.stores.join(u.select("unit_id", "municipality_code", "lat", "lon"), "unit_id").select(F.col("store_id").cast("string").alias("store"), "municipality_code", "lat", (F.col("lon") + away).alias("lon"))
+    return preparation.stores_to_units(s, whole.union(parts), rings, 0.5)
+
+
+@query(", a as (select 1) select lpad(district_code, 9, '0') as district_code, case when cast(district_code as bigint) % 8 = 0 then null else cast(raw_population as bigint) end as population from fx_district")
+def d11_census(t):
+    text = F.when(F.col("district_code").cast("long") % 8 == 0, "X").otherwise(F.concat(F.lit(" "), F.col("raw_population").cast("long")))
+    return preparation.census(t.districts.select(F.col("district_code").alias("CD_DIST"), F.lit("1").alias("CD_MUN"), text.alias("V0001"))).select("district_code", "population")
+
+
+@query(", a as (select 1) select lpad(cast(pole_num as varchar), 7, '0') as code, round(lat, 6) as lat, round(lon, 6) as lon, case when pole_num % 3 = 0 then 'sql' else 'mesh' end as source from fx_pole where pole_num <> 0")
+def d12_municipality_centres(t):
+    code = F.col("pole_num").cast("string").alias("code")
+    places = t.poles.filter("pole_num % 3 = 0").select(code, "lat", "lon")
+    return preparation.municipality_centres(places, boxes(t).select(code, "ring")).select("code", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "source")
+
+
+@query(PRO + ", m as (select pole_id, count(*) as units, round(cast(sum(population) as double), 2) as population from x where side = 'o' group by 1) select pole_id, units, population from m")
+def d10_scenario_of_sheets(t):
+    """The current scenario as a workbook's sheets of text, and back; populations with a decimal comma."""
+    s = scenario_of(t, "current")
+    text = lambda c: F.col(c).cast("string")
+    poles = s.poles.select(F.col("position").alias("row"), F.col("pole_id").alias("GERENCIA_ID"), F.col("name").alias("NM_MUN_POLO"), F.lit("").alias("NM_DIST_POLO"), text("lat").alias("LATITUDE"), text("lon").alias("LONGITUDE"), F.col("area").alias("DESC_GERENCIA_AREA_PROPOSTA"))
+    comma = F.replace(F.col("population").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+    units = s.units.select(F.col("position").alias("row"), F.col("source_id").alias("DEMAND_ID"), F.lit("Municipio").alias("TIPO_UNIDADE"), F.col("municipality_code").alias("COD_IBGE"), F.lit(" ").alias("CD_DIST"), F.col("name").alias("NM_MUN"), F.col("state").alias("UF"), F.col("pole_id").alias("GERENCIA_ID"), comma.alias("POPULACAO_UNIDADE"), text("stores").alias("QTD_LOJAS"), text("lat").alias("LATITUDE"), text("lon").alias("LONGITUDE"))
+    rows = scenario.portfolio_rows(preparation.scenario_of_sheets(poles, units))
+    return rows.groupBy("pole_id").agg(F.count("*").alias("units"), F.round(F.sum("population"), 2).alias("population"))
+
+
+@query(", a as (select 1) select 'proposed' as layer, count(*) as features from fx_pole union all select 'services', count(*) from fx_pro union all select 'areas', count(*) from fx_pole union all select 'unattended', count(*) from fx_unit where unit_id % 5 = 0")
+def k18_map_layers(t):
+    ends = t.poles.select("pole_id", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    lines = t.proposed.join(t.units.select("unit_id", "lat", "lon"), "unit_id").join(ends, "pole_id")
+    served = t.units.select("unit_key", F.when(F.col("unit_id") % 5 != 0, "1").alias("pole_id"))
+    layers = reports.map_layers({"proposed": t.poles.withColumn("name", F.concat("name", F.lit("</script>"))), "unattended": reports.unattended(t.units, served)}, {"services": lines}, {"areas": boxes(t)}, {"proposed": ["pole_id", "name"], "unattended": ["unit_key"], "services": ["unit_id", "pole_id"], "areas": ["pole_num"]})
+    return layers.filter(~F.contains("feature", F.lit("<"))).groupBy("layer").agg(F.count("*").alias("features"))

@@ -160,12 +160,12 @@ def p31_surrogate_ids(t):
     return t.poles.select("pole_id", F.format_string("P-G%03d", F.row_number().over(Window.orderBy("pole_num"))).alias("site"))
 
 
-@query()
+@query(", a as (select 1) select unit_id, translate(format('{:,.2f}', population), ',.', '.,') as text from fx_unit")
 def p32_brazilian_numbers(t):
     return t.units.select("unit_id", v.brazilian(F.col("population"), 2).alias("text"))
 
 
-@query()
+@query(", a as (select 1) select pole_id, cast(65 as integer) as points, cast(0 as double) as error_km from fx_pole")
 def p35_circle(t):
     ring = geo.circle(F.col("lat"), F.col("lon"), F.lit(100.0))
     far = F.array_max(F.transform(ring, lambda q: F.abs(geo.haversine(F.col("lat"), F.col("lon"), q["lat"], q["lon"]) - 100.0)))
@@ -554,6 +554,6 @@ def k05_spreadsheet_rows(t):
     return tables.spreadsheet_rows(t.poles.select("pole_id", F.concat("name", F.lit(" <&>")).alias("name")))
 
 
-@query()
+@query(""", a as (select 1) select concat('{"type":"Feature","geometry":{"type":"Point","coordinates":[', cast(lon as varchar), ',', cast(lat as varchar), ']},"properties":{"pole_id":"', pole_id, '","name":"', name, '","area":"', area, '"}}') as feature from fx_pole""")
 def k07_point_geojson(t):
     return tables.point_features(t.poles, ["pole_id", "name", "area"])

@@ -14,7 +14,7 @@ def k06_markdown_rows(t):
     return reports.markdown_rows(t.poles.select("pole_id", F.concat("name", F.lit("|")).alias("name"), "area"))
 
 
-@query()
+@query(""", a as (select 1) select concat('{"type":"Feature","geometry":{"type":"LineString","coordinates":[[', cast(u.lon as varchar), ',', cast(u.lat as varchar), '],[', cast(p.lon as varchar), ',', cast(p.lat as varchar), ']]},"properties":{"unit_id":', cast(u.unit_id as varchar), ',"pole_id":"', p.pole_id, '"}}') as feature from fx_pro x join fx_unit u using (unit_id) join fx_pole p on p.pole_id = x.pole_id""")
 def k08_service_lines(t):
     ends = t.poles.select("pole_id", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
     return reports.line_features(t.proposed.join(t.units.select("unit_id", "lat", "lon"), "unit_id").join(ends, "pole_id"), ["unit_id", "pole_id"])

@@ -89,7 +89,7 @@ def j14_distance_matrix(t):
     return few.alias("u").join(t.poles.alias("p"), F.lit(True)).select(F.col("u.pole_id").alias("a"), F.col("p.pole_id").alias("b"), r(km()).alias("km"))
 
 
-@query()
+@query(f", a as (select 1) select u.pole_id as a, p.pole_id as b, round({hav('u', 'p')}, 4) as km from fx_pole u cross join fx_pole p")
 def j14_distance_matrix_all(t):
     """All poles against all poles."""
     return t.poles.alias("u").crossJoin(t.poles.alias("p")).select(F.col("u.pole_id").alias("a"), F.col("p.pole_id").alias("b"), r(km()).alias("km"))

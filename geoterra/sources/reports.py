@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import spreadsheet_rows
@@ -44,3 +46,23 @@ def workbook(sheets: dict[str, DataFrame], path: str) -> None:
         head = df.sparkSession.createDataFrame([("".join(f'<Cell><Data ss:Type="String">{c}</Data></Cell>' for c in df.columns),)], "row string")
         head.select(F.concat(F.lit("<Row>"), "row", F.lit("</Row>")).alias("row")).coalesce(1).write.mode("overwrite").text(f"{path}/{name}/header")
         spreadsheet_rows(df).write.mode("overwrite").text(f"{path}/{name}/rows")
+
+
+def script_safe(text: Column) -> Column:
+    """JSON text that may stand inside a script element: no tag can begin in it, and no line separator break it."""
+    for a, b in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def map_layers(points: dict[str, DataFrame], lines: dict[str, DataFrame], polygons: dict[str, DataFrame], properties: dict[str, list[str]]) -> DataFrame:
+    """(layer, feature) of a map: point, line and polygon tables by layer name as script-safe GeoJSON features, with the named properties of each layer. A layer without rows has none."""
+    from .tables import point_features
+
+    made = [(n, f(df, properties.get(n, []) or df.columns[:1])) for f, tables in ((point_features, points), (line_features, lines), (polygon_features, polygons)) for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("layer"), script_safe(F.col("feature")).alias("feature")) for n, df in made])
+
+
+def unattended(units: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The units that no pole serves, with a place to show them at."""
+    return units.join(assigned.filter("pole_id is not null").select("unit_key"), "unit_key", "left_anti").dropna(subset=["lat", "lon"])
