@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records, shapes
 from ..functions import values as v
-from ..operators import graph, mesh, pipelines, preparation, scenario, siting
+from ..operators import contracts, graph, mesh, pipelines, preparation, scenario, siting
 from ..sources import files, reports
 from .registry import pairs, query, r
 from .summaries import boxes
@@ -382,6 +382,25 @@ def p32_one_decimal(t):
     return t.units.select("unit_id", v.brazilian(F.col("population"), 1).alias("text"))
 
 
+@query(", a as (select count(*) as units, count(distinct pole_id) as poles, max(km) as far, avg(case when km <= 900 then 1.0 else 0.0 end) as near from fx_pro) select 'UNIDADES' as rule, cast(units as double) as value, case when units = 1500 then 'OK' else 'VIOLACAO' end as status from a union all select 'POLOS', poles, case when poles >= 50 then 'OK' else 'VIOLACAO' end from a union all select 'DISTANCIA', round(far, 4), case when far <= 2000 then 'OK' else 'VIOLACAO' end from a union all select 'COBERTURA', round(near, 6), case when near between 0 and 1 then 'OK' else 'VIOLACAO' end from a")
+def q03_rule_audit_table(t):
+    one = t.proposed.agg(F.count("*").alias("units"), F.count_distinct("pole_id").alias("poles"), F.max("km").alias("far"), F.avg(F.when(F.col("km") <= 900, 1.0).otherwise(0.0)).alias("near"))
+    audit = contracts.rule_audit(one, [("UNIDADES", "units", "=", 1500), ("POLOS", "poles", ">=", 50), ("DISTANCIA", "far", "<=", 2000), ("COBERTURA", "near", "share", 1)])
+    return audit.select("rule", F.when(F.col("rule") == "COBERTURA", F.round("value", 6)).otherwise(F.round("value", 4)).alias("value"), "status")
+
+
+@query(
+    ", p as (select unit_id, pole_id from fx_pro where unit_id % 11 <> 0), e as (select e.src, e.dst from fx_edge e join p a on a.unit_id = e.src join p b on b.unit_id = e.dst and a.pole_id = b.pole_id), reach as (select unit_id, unit_id as root from p union select e.dst, r.root from reach r join e on e.src = r.unit_id), c as (select unit_id, min(root) as component from reach group by 1), f as (select pole_id, count(distinct component) as parts from p join c using (unit_id) group by 1),"
+    " n as (select u.state as city, p.pole_id, count(*) as units from p join fx_unit u using (unit_id) where u.unit_id % 2 = 0 group by 1, 2), m as (select *, least(3, greatest(sum(units) over (partition by city) // count(*) over (partition by city), 1)) as minimum from n)"
+    " select 'CARTEIRA_DESCONTINUA' as rule, pole_id as entity, cast(parts as bigint) as value from f where parts > 1 union all select 'ESTRATEGICA_SEM_ATENDIMENTO', cast(unit_id as varchar), 1 from fx_unit where population >= 3000000 and unit_id % 11 = 0 union all select 'MINIMO_METROPOLITANO', concat(city, '/', pole_id), units from m where units < minimum union all select 'POLO_SEM_UNIDADES', pole_id, 0 from fx_pole where pole_id not in (select pole_id from p)",
+    recursive=True,
+)
+def q04_hard_violations(t):
+    """Every eleventh unit is left out; states stand for split cities, in which the units with even numbers count."""
+    units = t.units.select("unit_id", (F.col("population") >= 3_000_000).alias("strategic"), F.when(F.col("unit_id") % 2 == 0, F.col("state")).alias("city"))
+    return contracts.hard_violations(t.proposed.filter("unit_id % 11 <> 0").select("unit_id", "pole_id"), units, t.poles.select("pole_id"), t.edges, 3)
+
+
 # --- Preparation ---------------------------------------------------------------------------------------------------
 @query(f", c as (select pole_num, {' '.join(['case pole_num % 27'] + [f'when {i} then {p!r}' for i, p in enumerate(PREFIXES)])} end as prefix, lon, lat from fx_pole), x as (select u.unit_id, c.pole_num, c.prefix, greatest(abs(u.lon - c.lon) - 2, 0) as dx, greatest(abs(u.lat - c.lat) - 2, 0) as dy, u.lon >= c.lon - 2 and u.lon < c.lon + 2 and u.lat >= c.lat - 2 and u.lat < c.lat + 2 as inside from fx_unit u cross join c where u.unit_id % 10 = 0), k as (select *, concat(prefix, lpad(cast(pole_num as varchar), 5, '0')) as code from x), r as (select *, row_number() over (partition by unit_id order by inside desc, case when inside then 0 else round(sqrt(dx * dx + dy * dy), 9) end, code) as i from k) select cast(unit_id as varchar) as office, code as municipality_code, case when inside then 'DENTRO' else 'MAIS_PROXIMO' end as method, case prefix {' '.join(f'when {p!r} then {s!r}' for p, s in records.STATE_OF_PREFIX.items())} end as state from r where i = 1")
 def d02_regional_points(t):
