@@ -234,6 +234,15 @@ def _km():
     return geo.between_tables("u", "p")
 
 
+@query()
+def f05_metropolitan_seeds(t):
+    """States stand for split cities: each wants a seat for every 20 units, from its own units; 40 in all."""
+    u = t.units.select(F.col("state").alias("city"), "unit_id", "population", "lat", "lon")
+    cost = u.alias("u").join(u.alias("p"), F.col("u.city") == F.col("p.city")).select(F.col("u.city").alias("city"), F.col("u.unit_id").alias("unit_id"), F.col("p.unit_id").alias("candidate"), _km().alias("cost"), (F.col("u.population") / 1e6).alias("weight"), F.lit(0.0).alias("opening"))
+    wanted = u.groupBy("city").agg(F.ceil(F.count("*") / 20).cast("int").alias("seats"), F.sum("population").alias("load"))
+    return siting.metropolitan_seeds(cost, wanted, 40)[0]
+
+
 @query()
 def f10_refined_seats(t):
     """Per state the units are sites for each other; the two most populous begin as seats."""

@@ -278,3 +278,23 @@ def test_p_median_and_refinement(spark):
     c = spark.createDataFrame([(7, 0.0, 0.0, "a")], "candidate long, lat double, lon double, area string")
     found, short = siting.anchor_pairs(o, c, 50.0, ["area"])
     assert found.count() == 2 and {(r.office, r.reason) for r in short.collect()} == {(1, "HALL"), (2, "HALL"), (3, "SEM_CANDIDATO")}
+
+
+def test_metropolitan_seeds_follow_gap_and_pressure(spark):
+    from geoterra.operators import siting
+
+    wanted = {"a": (3, 90.0), "b": (2, 100.0), "c": (1, 5.0), "d": (3, 95.0)}
+    rows = [(city, i, j, abs(i - j) + 0.1 * i * j, 1.0, 0.0) for city in wanted for i in range(4) for j in range(4)]
+    pairs = spark.createDataFrame(rows, "city string, unit_id long, candidate long, cost double, weight double, opening double")
+    seats, lack = siting.metropolitan_seeds(pairs, spark.createDataFrame([(c, *x) for c, x in wanted.items()], "city string, seats int, load double"), 8)
+    have, order = dict.fromkeys(wanted, 0), []
+    for city in sorted(wanted):
+        have[city] += 1
+        order.append(city)
+    while len(order) < 8:
+        city = max((c for c in wanted if have[c] < wanted[c][0]), key=lambda c: (wanted[c][0] - have[c], wanted[c][1] / max(have[c], 1)))
+        have[city] += 1
+        order.append(city)
+    got = sorted(seats.collect())
+    assert [r.city for r in got] == order and len({(r.city, r.candidate) for r in got}) == 8
+    assert {r.city: r.missing for r in lack.collect()} == {c: n - have[c] for c, (n, _) in wanted.items() if n > have[c]}
