@@ -77,13 +77,15 @@ def bottleneck(cost: np.ndarray) -> tuple[np.ndarray, float]:
 def greedy_far(units: pd.DataFrame, count: int) -> list[int]:
     """Positions of ``count`` sites: the most relevant first, then always the largest relevance times distance to the nearest site (ties: population, then id)."""
     weight, pop, ids = units["relevance"].to_numpy(float), units["population"].to_numpy(float), units["unit_id"].to_numpy()
-    every = distances(units, units)
+    to = lambda i: distances(units, units.iloc[[i]])[:, 0]
     chosen = [min(range(len(units)), key=lambda i: (-weight[i], -pop[i], ids[i]))] if len(units) else []
+    nearest = to(chosen[0]) if chosen else None
     while len(chosen) < min(count, len(units)):
-        score = weight * every[chosen].min(0)
+        score = weight * nearest
         score[chosen] = -np.inf
         tied = np.flatnonzero(np.isclose(score, score.max(), rtol=0, atol=1e-15))
         chosen.append(min(tied.tolist(), key=lambda i: (-pop[i], ids[i])))
+        nearest = np.minimum(nearest, to(chosen[-1]))
     return chosen
 
 
