@@ -149,7 +149,8 @@ def test_trust_equals_iterated_pagerank(spark):
         links = "".join(f"<a href='https://{RNG.choice(hosts).upper()}/x'>" for _ in range(int(RNG.integers(0, 5))))
         rows += [(i, f"http://{h}/{'es' if h == 'bad.org' else 'de' if h == 'good.net' else 'fr'}/1", links, "x")] * (1 + i % 2)
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
-    got = {r.host: r for r in judge(df).collect()}
+    judged = judge(df, tolerance=1e-4).checkpoint()
+    got = {r.host: r for r in judged.collect()}
     at = {h: i for i, h in enumerate(hosts)}
     count = np.zeros((len(hosts), len(hosts)))
     for _, url, html, _ in rows:
@@ -164,10 +165,10 @@ def test_trust_equals_iterated_pagerank(spark):
         for _ in range(400):
             x = own * 0.15 + 0.85 * x @ share
         for h in hosts:
-            assert getattr(got[h], kind) == pytest.approx(x[at[h]], rel=1e-6, abs=1e-12)
+            assert getattr(got[h], kind) == pytest.approx(x[at[h]], rel=2e-3, abs=1e-12)
             if h not in ("bad.org", "good.net"):
                 assert got[h].verdict == ("block" if got[h].distrust > got[h].trust else "allow")
-    assert judge(df.limit(0)).count() == 0 and judge(df).count() == len(rows)
+    assert judge(df.limit(0)).count() == 0 and judged.count() == len(rows)
 
 
 def test_quality_on_odd_tables(spark):
