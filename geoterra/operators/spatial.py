@@ -19,13 +19,14 @@ WIDEST = 360.0
 def nearest(units: DataFrame, poles: DataFrame, within: list[str] | None = None, order: str = "pole_num") -> DataFrame:
     """Each unit with its nearest pole (ties by ``order``), in the same group if ``within`` names one.
 
-    Poles are sought in the grid cells around a unit, some two of them in a cell on average. What is found there counts if
+    Poles are sought in the grid cells around a unit, some two of them (of a group) in a cell on average. What is found there counts if
     nothing outside those cells can be nearer; the few units left look in cells eight times as wide, and so on to the whole
     world. Units without coordinates, or without a pole of their group, are left out.
     """
     keys = within or []
-    size = poles.agg(F.count("*").alias("n"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")).first()
-    cell = min(WIDEST, max(0.01, max(size.h or 0.0, size.w or 0.0) / math.sqrt(max(size.n, 1) / 2)))
+    groups = F.count_distinct(*keys) if keys else F.lit(1)
+    size = poles.agg(F.count("*").alias("n"), groups.alias("g"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")).first()
+    cell = min(WIDEST, max(0.01, max(size.h or 0.0, size.w or 0.0) / math.sqrt(max(size.n / max(size.g, 1), 1) / 2)))
     p = poles.select("pole_id", F.col(order).alias("_o"), "lat", "lon", *keys)
     open_, out = units.select("unit_id", "lat", "lon", *keys).filter("lat is not null and lon is not null"), []
     while True:
