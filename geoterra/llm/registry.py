@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontamination, jaccard_join, language_crf, packing, quality_fm, suffix_dedup, threshold_search, token_counts, url_trust
+from . import context_tree, decontamination, jaccard_join, language_crf, merkle_manifest, packing, quality_fm, suffix_dedup, threshold_search, token_counts, url_trust
 
-MODULES = (token_counts, decontamination, quality_fm, threshold_search, suffix_dedup, jaccard_join, url_trust, packing, context_tree, language_crf)
+MODULES = (token_counts, decontamination, quality_fm, threshold_search, suffix_dedup, jaccard_join, url_trust, packing, context_tree, language_crf, merkle_manifest)
 
 
 def queries() -> dict:
