@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import placed
+from .sqlparts import CRC_TABLE, crc32
 from .store import written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -118,13 +119,6 @@ def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     return manifest(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 0).drop("path")
 
 
-#: crc32 by its bitwise definition: a table of 256 values, then one step for each byte.
-_CRC = """
-bits(b, k, v) as (select b, 0, cast(b as bigint) from range(256) r(b)
-  union all select b, k + 1, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
-tab as (select list(v order by b) as t from bits where k = 8)"""
-
-
 def _value(column: str) -> str:
     return f"coalesce(octet_length(encode(cast({column} as varchar))) || ':' || cast({column} as varchar), '-')"
 
@@ -141,12 +135,8 @@ path{k} as (select grp, idx, list({{'sib': sib, 'is_left': is_left}} order by lv
 top{k} as (select grp, node as top from up{k} where n = 1)"""
     fold = "list_reduce(list_prepend({'sib': %s, 'is_left': false}, steps), lambda a, s: {'sib': sha256(case when s.is_left then s.sib || a.sib else a.sib || s.sib end), 'is_left': false}).sib"
     return f"""
-with recursive {_CRC},
-d as (select doc_id, lang as grp, sha256({before}) as node,
-  case when list_reduce(list_prepend(4294967295, list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda i: cast(ascii(substr(cast(doc_id as varchar), i, 1)) as bigint))),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) is null then sha256({before})
-    when xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda i: cast(ascii(substr(cast(doc_id as varchar), i, 1)) as bigint))),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 then sha256({after}) else sha256({before}) end as now
+with recursive {CRC_TABLE},
+d as (select doc_id, lang as grp, sha256({before}) as node, sha256(case when doc_id is not null and {crc32("cast(doc_id as varchar)")} % 7 = 0 then {after} else {before} end) as now
   from documents, tab),
 leaf1 as (select *, row_number() over (partition by grp order by doc_id nulls first, node) - 1 as idx, count(*) over (partition by grp) as n from d),
 {tree.format(k=1)},
