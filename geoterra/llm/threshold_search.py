@@ -23,9 +23,11 @@ class Lists:
         self.rows, self.ids = rows, ids
         self.up = np.argsort(rows, axis=0, kind="stable").astype(np.int32) if up is None else up
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
+    def top(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, id), best first, ties by smaller id, without ``own``; and how many rows were scored.
 
+        With a ``floor`` only rows of at least that score are wanted, so that a block may stop before it has k of them.
+
         Each step goes down all lists, at first 2 entries, then half as far again.
         No row unread in every list can score more than the products at the lists' present depth add up to; once
         that is below the kth score, the rest cannot matter (an equal one might, by its id).
@@ -50,8 +52,9 @@ class Lists:
             scored += len(rows)
             got = (self.rows[rows] @ query).astype(np.int64)
             keep = self.ids[rows] != own
-            if len(best) == k:
-                keep &= got >= best[-1]
+            least = best[-1] if len(best) == k else floor
+            if least is not None:
+                keep &= got >= least
             best_ids, best = np.append(best_ids, self.ids[rows][keep]), np.append(best, got[keep])
             if len(best) > 4 * k:
                 near = best >= np.partition(best, len(best) - k)[len(best) - k]
@@ -59,12 +62,17 @@ class Lists:
             top = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[top], best[top]
             depth, step = after, max(2, after // 2)
-            if len(best) == k and depth < count and len(dims):
-                bound = self.rows[self.up[depth - 1, rising], rising] @ query[rising] + self.rows[self.up[count - depth, falling], falling] @ query[falling]
-                if bound < best[-1]:
-                    break
+            least = max([x for x in (int(best[-1]) if len(best) == k else None, floor) if x is not None], default=None)
+            if least is not None and depth < count and len(dims) and self._bound(query, rising, falling, depth, count) < least:
+                break
         return list(zip(best.tolist(), best_ids.tolist(), strict=True)), scored
 
+    def _bound(self, query: np.ndarray, rising: np.ndarray, falling: np.ndarray, depth: int, count: int) -> int:
+        """At least what a row unread at this depth can score: no row need have all these components, so their sum may leave the scores' type. It is taken in doubles and rounded up by their greatest error."""
+        ends = np.append(self.rows[self.up[depth - 1, rising], rising], self.rows[self.up[count - depth, falling], falling]).astype(np.float64)
+        terms = ends * np.append(query[rising], query[falling]).astype(np.float64)
+        return math.ceil(terms.sum() + np.abs(terms).sum() * (len(terms) + 4) * 2.0**-52)
+
 
 #: A block as one row: its rows, ids and lists as bytes.
 BLOCK = "block int, n int, rows binary, ids binary, up binary"
@@ -81,7 +89,7 @@ def _matrix(t: pa.Table, width: int, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 16384, query_block: int = 4096, counted: bool = False) -> DataFrame:
+def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 16384, query_block: int = 16384, counted: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k highest integer inner products with other rows.
 
     Both tables have (vec_id, embedding); a component x counts as floor(1024 * x). Rows with a null vec_id, a null
@@ -89,7 +97,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     rows are one query; a query's own vec_id is never among its results; a repeated row of the vectors is found as often as it
     stands. Vectors so long that a score could leave a 64-bit integer end the job. Other columns are ignored; empty tables give
     an empty one. Vectors are dealt into blocks of about ``block`` rows by a hash of the row, queries into blocks of
-    ``query_block``; each pair of blocks is one bounded task, and the blocks' k best meet in a window. With ``counted`` the rows are
+    ``query_block``; each pair of blocks is one bounded task, and the blocks' k best meet in a window. The first block is searched before
+    the others, and what a query's kth row scores there is the floor of its search in them. With ``counted`` the rows are
     instead (query_id, scored): how many rows each query scored.
     """
 
@@ -120,31 +129,39 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
         return pa.table({"block": t.column("block").slice(0, 1), "n": pa.array([len(x.ids)], pa.int32()), "rows": pa.array([x.rows.tobytes()], pa.binary()), "ids": pa.array([x.ids.tobytes()], pa.binary()), "up": pa.array([x.up.tobytes()], pa.binary())})
 
     def pack(t: pa.Table) -> pa.Table:
-        return pa.table({"asked": t.column("asked").slice(0, 1), "uids": pa.array([t.column("uid").to_numpy().tobytes()], pa.binary()), "own": pa.array([t.column("vec_id").to_numpy().tobytes()], pa.binary()), "wanted": pa.array([_matrix(t, width, kind).tobytes()], pa.binary())})
+        floors = t.column("floor").fill_null(-(2**63)).to_numpy()
+        return pa.table({"asked": t.column("asked").slice(0, 1), "uids": pa.array([t.column("uid").to_numpy().tobytes()], pa.binary()), "own": pa.array([t.column("vec_id").to_numpy().tobytes()], pa.binary()), "wanted": pa.array([_matrix(t, width, kind).tobytes()], pa.binary()), "floors": pa.array([floors.tobytes()], pa.binary())})
 
     lists = written(left.groupBy("block").applyInArrow(build, BLOCK), "search-lists")
-    wanted = written(right.groupBy("asked").applyInArrow(pack, "asked int, uids binary, own binary, wanted binary"), "search-queries")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = lists.select("*", every(asked).alias("asked"))
-    b = wanted.select("*", every(blocks).alias("block"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple[int, ...]] = []
         for x in a.to_pylist():
             held = Lists(np.frombuffer(x["rows"], kind).reshape(x["n"], width), np.frombuffer(x["ids"], np.int64), np.frombuffer(x["up"], np.int32).reshape(x["n"], width))
             for y in b.to_pylist():
-                own = np.frombuffer(y["own"], np.int64)
-                for uid, mine, q in zip(np.frombuffer(y["uids"], np.int64).tolist(), own.tolist(), np.frombuffer(y["wanted"], kind).reshape(len(own), width), strict=True):
-                    best, scored = held.top(q, mine, k)
-                    out += [(x["block"], uid, mine, i, s, scored) for s, i in best]
+                uids, own, floors = (np.frombuffer(y[c], np.int64).tolist() for c in ("uids", "own", "floors"))
+                for uid, mine, floor, q in zip(uids, own, floors, np.frombuffer(y["wanted"], kind).reshape(len(own), width), strict=True):
+                    best, scored = held.top(q, mine, k, None if floor == -(2**63) else floor)
+                    out += [(x["block"], uid, mine, i, s, scored) for s, i in best or [(None, None)]]
         cols = list(zip(*out, strict=True)) or [[]] * 6
         return pa.table({n: pa.array(list(c), pa.int32() if n == "block" else pa.int64()) for n, c in zip(("block", "uid", "query_id", "vec_id", "score", "scored"), cols, strict=True)})
 
-    best = a.groupBy("block", "asked").cogroup(b.groupBy("block", "asked")).applyInArrow(run, FOUND)
+    def searched(lists: DataFrame, right: DataFrame, first: int, last: int) -> DataFrame:
+        """Blocks ``first`` to ``last`` against all queries, as ``FOUND`` rows; without a result one row that has none."""
+        wanted = written(right.groupBy("asked").applyInArrow(pack, "asked int, uids binary, own binary, wanted binary, floors binary"), "search-queries")
+        a = lists.select("*", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("asked"))
+        b = wanted.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("block"))
+        return a.groupBy("block", "asked").cogroup(b.groupBy("block", "asked")).applyInArrow(run, FOUND)
+
+    best = written(searched(lists.filter("block = 0"), right.withColumn("floor", F.lit(None).cast("long")), 0, 0), "search-first")
+    if blocks > 1:
+        full = best.filter("score is not null").groupBy("uid", "query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k)
+        floors = full.select("uid", F.col("query_id").alias("vec_id"), "floor")
+        best = best.union(searched(lists.filter("block > 0"), right.join(floors, ["uid", "vec_id"], "left"), 1, blocks - 1))
     if counted:
         return best.select("block", "uid", "query_id", "scored").distinct().groupBy("query_id").agg(F.sum("scored").alias("scored"))
     order = Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.filter("score is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_threshold_search(spark, sf_dir: str) -> DataFrame:
