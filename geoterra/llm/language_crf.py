@@ -7,7 +7,7 @@ word the probability of every language, so code-switched text is labelled word b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,12 @@ def emissions(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np
     return np.add.reduceat(weights[f], np.cumsum(count) - count, axis=0)[back]
 
 
-def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Probabilities of the labels at each position of several chains (chain i: positions first[i] to first[i + 1])."""
+def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the labels at each position of several chains (chain i: positions first[i] to first[i + 1]).
+
+    With ``pairs`` also how many transitions from label to label all chains are expected to make: the sum over neighbours of
+    the pair's probability, forward(t, i) * step(i, j) * emission(t + 1, j) * backward(t + 1, j), brought to a sum of 1.
+    """
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     length, begin, last = length[order], first[:-1][order], first[1:][order] - 1
@@ -66,33 +70,38 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndar
         state = here / here.sum(1, keepdims=True)
         out[begin[:m] + t] = state
     state = np.ones((0, e.shape[1]), e.dtype)
+    forward, expected = out.copy() if pairs else out, np.zeros(step.shape)
     # From the ends: chains of equal distance to their end move together.
     for t, m in enumerate(active):
         at = last[:m] - t
         if t == 0:
             state = np.ones((m, e.shape[1]), e.dtype)
         else:
-            state = (state[:m] * e[at + 1]) @ step.T
+            after = state[:m] * e[at + 1]
+            if pairs:
+                pair = forward[at][:, :, None] * step[None] * after[:, None, :]
+                expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            state = after @ step.T
             state /= state.sum(1, keepdims=True)
         both = out[at] * state
         out[at] = both / both.sum(1, keepdims=True)
-    return out
+    return (out, expected) if pairs else out
 
 
-def train(texts: list[bytes], labels: np.ndarray, count: int, bits: int = 16, epochs: int = 2, segment: int = 48, batch: int = 64, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions that raise the log-likelihood of the labels, by AdaGrad over batches of segments of the texts."""
+def train(texts: list[bytes], labels: Sequence, count: int, bits: int = 16, epochs: int = 2, segment: int = 48, batch: int = 64, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions that raise the log-likelihood of the labels (one for a text, or one for each of its words), by AdaGrad over batches of segments of the texts."""
     weights, transitions = np.zeros((1 << bits, count)), np.zeros((count, count))
     squares, squares_t = np.full(weights.shape, 1e-6), np.full(transitions.shape, 1e-6)
-    parts: list[tuple[np.ndarray, np.ndarray, int]] = []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for text, label in zip(texts, labels, strict=True):
         buf = LOWER[np.frombuffer(text, np.uint8)]
         starts, ends, _ = word_spans(buf, np.array([0, len(buf)]), SPACE)
         if len(starts):
             f, n = features(buf, starts, ends, bits)
-            edge = np.append(0, np.cumsum(n))
+            edge, label = np.append(0, np.cumsum(n)), np.broadcast_to(label, len(starts))
             for low in range(0, len(starts), segment):
                 high = min(low + segment, len(starts))
-                parts.append((f[edge[low] : edge[high]], n[low:high], int(label)))
+                parts.append((f[edge[low] : edge[high]], n[low:high], label[low:high]))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         shuffled = rng.permutation(len(parts))
@@ -100,11 +109,11 @@ def train(texts: list[bytes], labels: np.ndarray, count: int, bits: int = 16, ep
             some = [parts[i] for i in shuffled[low : low + batch]]
             f, n = np.concatenate([p[0] for p in some]), np.concatenate([p[1] for p in some])
             first = np.append(0, np.cumsum([len(p[1]) for p in some]))
-            y = np.repeat([p[2] for p in some], np.diff(first))
+            y = np.concatenate([p[2] for p in some])
             gold = np.zeros((len(n), count))
             gold[np.arange(len(n)), y] = 1
             scores = np.add.reduceat(weights[f], np.cumsum(n) - n, axis=0)
-            p = forward_backward(scores, first, transitions)
+            p, expected = forward_backward(scores, first, transitions, pairs=True)
             g = (p - gold) / batch
             used, back = np.unique(f, return_inverse=True)
             per = np.repeat(g, n, axis=0)
@@ -113,11 +122,7 @@ def train(texts: list[bytes], labels: np.ndarray, count: int, bits: int = 16, ep
             weights[used] -= rate * grad / np.sqrt(squares[used])
             inner = np.ones(len(n) - 1, bool)
             inner[first[1:-1] - 1] = False
-            a, b = p[:-1][inner], p[1:][inner]
-            # Expected transitions, by the neighbours' probabilities weighted with the transition itself.
-            pair = a[:, :, None] * np.exp(transitions - transitions.max())[None] * b[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            grad_t = (pair.sum(0) - gold[:-1][inner].T @ gold[1:][inner]) / batch
+            grad_t = (expected - gold[:-1][inner].T @ gold[1:][inner]) / batch
             squares_t += grad_t**2
             transitions -= 0.1 * grad_t / np.sqrt(squares_t)
     return weights.astype(np.float32), np.maximum(transitions, -6.0)
@@ -147,7 +152,8 @@ def stratified(rows: DataFrame, sample: int, sample_bytes: int = 64 << 20) -> Da
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 1500, sample_bytes: int = 64 << 20, bits: int = 16) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, weights and transitions, from about ``sample`` labelled documents (of each language those with the smallest hash of doc_id) of at most about ``sample_bytes`` of text, whole, in one task.
 
-    Only text and non-null lang of documents whose crc32(doc_id) mod ``folds`` is not ``held`` are used.
+    Only text and non-null lang of documents whose crc32(doc_id) mod ``folds`` is not ``held`` are used. Repeated rows count as often as they
+    stand; with one language alone every word has it; without any the model is empty.
     """
     text_id = F.col("doc_id").cast("long").cast("string")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.pmod(F.crc32(text_id.cast("binary")), F.lit(folds)) != held, F.lit(True)))
