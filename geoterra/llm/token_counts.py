@@ -7,10 +7,12 @@ summaries then tells each block where the document that it starts in began and h
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,23 +21,34 @@ from .store import written
 from .tokens import default_vocabulary, encode, width
 
 BLOCKS = "stream string, block long, first long, ids binary, doc_ids binary"
+#: A document's name in the manifest: whether its id is not null, and the id.
+NAMED = np.dtype([("known", "u1"), ("id", "<i8")])
 KINDS = {"uint16": np.dtype("<u2"), "uint32": np.dtype("<u4")}
 
 
-def read_token_files(spark: SparkSession, path: str, kind: str = "uint16", block_tokens: int = 1 << 20) -> DataFrame:
-    """Blocks of flat token files (little-endian ids, one file one stream, each of under 2 GB)."""
+def read_token_files(spark: SparkSession, path: str, kind: str = "uint16", block_tokens: int = 1 << 20, task_blocks: int = 64) -> DataFrame:
+    """Blocks of flat token files of any length (little-endian ids, one file one stream).
+
+    Only names and lengths are listed first; then each task reads its own range of ``task_blocks`` blocks of a file, seeking to it. Files must lie where
+    Arrow's file systems reach (local, hdfs, s3, gs). An empty file is one block without ids; a length that is no whole number of ids ends the job.
+    """
     size = KINDS[kind].itemsize
+    step = block_tokens * size * task_blocks
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw, step = memoryview(content.as_buffer()), block_tokens * size
-                if len(raw) % size:
-                    raise ValueError(f"{name}: {len(raw)} bytes are no whole number of ids")
-                for k in range(0, max(len(raw), 1), step):
-                    yield pa.RecordBatch.from_pydict({"stream": [name], "block": pa.array([k // step], pa.int64()), "first": pa.array([k // size], pa.int64()), "ids": pa.array([bytes(raw[k : k + step])], pa.binary()), "doc_ids": pa.array([None], pa.binary())})
+            for name, length, start in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                if length % size:
+                    raise ValueError(f"{name}: {length} bytes are no whole number of ids")
+                system, place = FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with system.open_input_file(place) as file:
+                    for k in range(start, max(min(start + step, length), start + 1), block_tokens * size):
+                        ids = file.read_at(min(block_tokens * size, length - k), k) if length else b""
+                        yield pa.RecordBatch.from_pydict({"stream": [name], "block": pa.array([k // (block_tokens * size)], pa.int64()), "first": pa.array([k // size], pa.int64()), "ids": pa.array([ids], pa.binary()), "doc_ids": pa.array([None], pa.binary())})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCKS)
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").cast("long").alias("length"))
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(step).cast("long"))).alias("start"))
+    return ranges.repartition("path", "start").mapInArrow(cut, BLOCKS)
 
 
 def stream_kind(end_id: int, vocabulary: str | None = None) -> str:
@@ -49,7 +62,8 @@ def write_token_stream(docs: DataFrame, end_id: int, vocabulary: str | None = No
 
     Strings of special tokens are ordinary text, so ``end_id`` stands at the ends of documents alone if the vocabulary gives
     it to no ordinary text; else the job fails. ``doc_ids`` (the ids of the documents whose end a block holds) is a manifest
-    that the scan never reads; it only names the counts afterwards.
+    that the scan never reads; it only names the counts afterwards. Null and empty texts are documents without tokens, a null doc_id
+    stays null, repeated rows are documents of their own, other columns are ignored.
     """
     vocabulary = vocabulary or default_vocabulary()
     kind = KINDS[stream_kind(end_id, vocabulary)]
@@ -61,8 +75,7 @@ def write_token_stream(docs: DataFrame, end_id: int, vocabulary: str | None = No
         n = 0
 
         def emit(ids: np.ndarray, block: int, first: int, ended: list) -> pa.RecordBatch:
-            # A null id is written as the smallest long.
-            ended_ids = np.array([-(2**63) if d is None else d for _, d in ended], np.int64).tobytes()
+            ended_ids = np.array([(d is not None, d or 0) for _, d in ended], NAMED).tobytes()
             return pa.RecordBatch.from_pydict({"stream": [stream], "block": pa.array([block], pa.int64()), "first": pa.array([first], pa.int64()), "ids": pa.array([ids.astype(kind).tobytes()], pa.binary()), "doc_ids": pa.array([ended_ids], pa.binary())})
 
         for batch in batches:
@@ -125,8 +138,8 @@ def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stream, block, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                a = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([stream] * len(a)), pa.array([block] * len(a), pa.int64()), pa.array(np.arange(len(a))), pa.array(a, mask=a == -(2**63))], ["stream", "block", "i", "doc_id"])
+                a = np.frombuffer(ids, NAMED)
+                yield pa.RecordBatch.from_arrays([pa.array([stream] * len(a)), pa.array([block] * len(a), pa.int64()), pa.array(np.arange(len(a))), pa.array(a["id"].copy(), mask=a["known"] == 0)], ["stream", "block", "i", "doc_id"])
 
     named = blocks.select("stream", "block", "doc_ids").mapInArrow(name, "stream string, block long, i long, doc_id long")
     return scan(blocks, 50256, stream_kind(50256)).join(named, ["stream", "block", "i"]).select("doc_id", "stream", "doc_no", "start", "n_tokens")
