@@ -165,7 +165,7 @@ def _segments(benchmark: DataFrame, size: int, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.binary())], ["item_id", "part", "text"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).dropna()
-    return written(items.mapInArrow(cut, "item_id string, part long, text binary"), "benchmark-items")
+    return written(items.mapInArrow(cut, "item_id string, part long, text binary").distinct(), "benchmark-items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
@@ -188,7 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
     found = None
     for block in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == block)
+        some = items.filter(F.pmod(F.xxhash64("item_id", "part", "text"), F.lit(blocks)) == block)
         hits = written(_search(rows, some, size, "row").filter(F.size("items") > 0).drop("n_words"), "benchmark-hits")
         found = hits if found is None else found.union(hits)
     every = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # at most one row for each block
