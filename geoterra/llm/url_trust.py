@@ -90,17 +90,11 @@ def op7_url_trust(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _oracle(rounds: int = 10) -> str:
+def _oracle() -> str:
     link = LINK.replace("'", "''")
     fits = "\n".join(f"    when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{v} {h}{p}'" for v, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]))))
-    steps, last = [], "seed"
-    for k in range(rounds):
-        steps.append(f"""s{k} as (select kind, host, sum(score) as score from (
-    select s.kind, e.dst as host, s.score * e.share * 0.85 as score from {last} s join edge e on s.kind = e.kind and s.host = e.src
-    union all select kind, host, score * 0.15 from seed) group by kind, host)""")
-        last = f"s{k}"
     return f"""
-with u as (select page_id, html, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+with recursive u as (select page_id, html, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 f as (select *, case
 {fits} end as fit from h),
@@ -110,8 +104,14 @@ l0 as (select host as src, translate(unnest(regexp_extract_all(html, '{link}', 1
 l as (select src, dst, cast(count(*) as double) as n from l0 where src <> dst group by 1, 2),
 e as (select 'allow' as kind, src, dst, n from l union all select 'block', dst, src, n from l),
 edge as (select kind, src, dst, n / sum(n) over (partition by kind, src) as share from e),
-{",\n".join(steps)},
-t as (select host, coalesce(sum(score) filter (kind = 'allow'), 0) as trust, coalesce(sum(score) filter (kind = 'block'), 0) as distrust from {last} group by host)
+s(kind, host, score, gain) as (select kind, host, score * 0.15, score * 0.15 from seed
+  union all
+  select kind, host, sum(score) + sum(gain), sum(gain) from (
+    select kind, host, score, 0.0::double as gain from s union all
+    select s.kind, e.dst, 0.0::double, s.gain * e.share * 0.85 from s join edge e on s.kind = e.kind and s.host = e.src where s.gain > 0)
+  where (select max(gain - score * 1e-9) from s) > 0 group by kind, host),
+last as (select kind, host, max(score) as score from s group by kind, host),
+t as (select host, coalesce(sum(score) filter (kind = 'allow'), 0) as trust, coalesce(sum(score) filter (kind = 'block'), 0) as distrust from last group by host)
 select page_id, f.host, path, substr(fit, 7) as rule,
   coalesce(split_part(fit, ' ', 1), case when coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) as verdict
 from f left join t on f.host = t.host"""
