@@ -217,7 +217,7 @@ def repair(rows: DataFrame, run: int = 256) -> tuple[DataFrame, DataFrame]:
     summary = summary.select("key", known, "gaps", "blank", "duplicate", "truncated", illegal, "cost", F.translate("plan", *AUDIT).alias("audit"))
 
     ops = best.select("key", "plan").mapInArrow(_dealt, "key string, idx long, ops string")
-    lines = table.join(ops, ["key", "idx"])
+    lines = table.join(ops.hint("merge"), ["key", "idx"])  # plans are far smaller packed than dealt out: their size says nothing of the ops
     role = "case op when 'K' then role when 'I' then 'user' when 'R' then 'user' else 'assistant' end"
     lines = lines.select("*", F.posexplode(F.split("ops", "")).alias("sub", "op")).filter("op not in ('', 'D')")
     return summary, lines.select("key", known, "idx", "sub", F.expr(role).alias("role"), F.expr("if(op in ('I', 'J'), '', text)").alias("text"))
