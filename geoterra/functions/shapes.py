@@ -32,6 +32,21 @@ def left_turning(ring: Column) -> Column:
     return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
 
 
+def canonical(ring: Column) -> Column:
+    """One form of a ring however it is turned, directed or closed: repeated points once, to the left, from the smallest point on. A ring without area goes the way that sorts first."""
+    points = F.transform(ring, lambda p: point(p["lon"] + 0.0, p["lat"] + 0.0))
+    fresh = F.filter(points, lambda p, i: (i == 0) | (p != F.element_at(points, F.greatest(i, F.lit(1)))))
+    open_ = F.when((F.size(fresh) > 1) & (F.element_at(fresh, 1) == F.element_at(fresh, -1)), F.slice(fresh, 1, F.size(fresh) - 1)).otherwise(fresh)
+
+    def turned(r: Column) -> Column:
+        at = F.array_position(r, F.array_min(r)).cast("int")
+        return F.concat(F.slice(r, at, F.size(r)), F.slice(r, 1, at - 1))
+
+    area = signed_area(open_)
+    there, back = turned(open_), turned(F.reverse(open_))
+    return F.when(F.size(open_) < 2, open_).when(area > 0, there).when(area < 0, back).otherwise(F.least(there, back))
+
+
 def _side(a: Column, b: Column, p: Column) -> Column:
     return (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (p["lon"] - a["lon"])
 

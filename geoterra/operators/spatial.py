@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, between_tables, in_ring
+from ..functions.shapes import canonical
 
 #: A side of at most so many rows is broadcast.
 SMALL = 50_000
@@ -80,10 +81,10 @@ def dissolved(polygons: DataFrame, key: str) -> DataFrame:
     """The outline of the union of each key's polygons, as boundary edges (key, x1, y1, x2, y2).
 
     ``polygons`` has (key, ring), a ring being an array of (lon, lat) structs that need not repeat its first point.
-    Equal rings count once; polygons must meet in whole edges, as those of one mesh do. An edge that an even number of
+    Equal rings count once, however they are turned, directed or closed; polygons must meet in whole edges, as those of one mesh do. An edge that an even number of
     polygons share lies inside and goes. Null and empty rings have no edges, and a repeated point makes none.
     """
-    once = polygons.select(key, "ring").filter("size(ring) > 0").distinct()
+    once = polygons.filter("size(ring) > 0").select(key, canonical(F.col("ring")).alias("ring")).distinct()
     corner = lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))
     edge = F.transform("ring", lambda p, i: F.struct(corner(p).alias("p"), corner(F.element_at("ring", ((i + 1) % F.size("ring") + 1).cast("int"))).alias("q")))
     edges = once.select(key, F.explode(edge).alias("e")).filter("e.p <> e.q")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records, shapes
 from ..functions import values as v
-from ..operators import contracts, graph, mesh, pipelines, preparation, scenario, siting
+from ..operators import contracts, graph, mesh, overlay, pipelines, preparation, scenario, siting, spatial
 from ..sources import files, reports
 from .registry import pairs, query, r
 from .summaries import boxes
@@ -149,6 +149,71 @@ def g06_reconciled_rings(t):
     return mesh.reconciled(_moved(t), parents)[0].select("district", F.round(F.abs(shapes.signed_area(F.col("ring"))), 6).alias("area"))
 
 
+BENT = ", a as (select pole_num, pole_num % 5 as dx, pole_num % 3 as dy, pole_num % 2 = 0 as u from fx_pole), b as (select *, unnest(case when u then [[-2, -2, 2, -1], [-2, -1, -1, 2], [1, -1, 2, 2]] else [[-2, -2, 2, -1], [-2, -1, -1, 2]] end) as r from a), c as (select pole_num, sum(greatest(least(r[3], dx + 2) - greatest(r[1], dx - 2), 0) * greatest(least(r[4], dy + 2) - greatest(r[2], dy - 2), 0)) as area from b group by 1)"
+
+
+def _bent(t: Territory):
+    """Parents in the form of an L or, with even numbers, of a U, around every pole."""
+    corner = lambda x, y: shapes.point(F.col("lon") + x, F.col("lat") + y)
+    form = lambda points: F.array(*[corner(x, y) for x, y in points])
+    tail, low = [(-1, -1), (-1, 2), (-2, 2)], [(-2, -2), (2, -2)]
+    return t.poles.select(F.col("pole_num").alias("parent"), F.when(F.col("pole_num") % 2 == 0, form([*low, (2, 2), (1, 2), (1, -1), *tail])).otherwise(form([*low, (2, -1), *tail])).alias("ring"))
+
+
+@query(BENT + " select pole_num as district, cast(round(area, 5) as double) as area from c where area > 0")
+def g06_bent_parents(t):
+    """Moved boxes cut to parents that bend, holes and several parts added up."""
+    cut = mesh.reconciled(_moved(t), _bent(t))[0].groupBy("district").agg(F.sum(shapes.signed_area(F.col("ring"))).alias("area"))
+    return cut.select("district", F.round(F.abs("area"), 5).alias("area"))
+
+
+def _faulty(t: Territory):
+    """By number: a sound box, a bow tie, a box with a spike, one with repeated points, one that touches itself, a line."""
+    corner = lambda x, y: shapes.point(F.col("lon") + x, F.col("lat") + y)
+    forms = [[(0, 0), (2, 0), (2, 2), (0, 2)], [(0, 0), (2, 2), (2, 0), (0, 2)], [(0, 0), (2, 0), (2, 2), (2, 5), (2, 2), (0, 2)], [(0, 0), (0, 0), (2, 0), (2, 2), (2, 2), (0, 2), (0, 0)], [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)], [(0, 0), (1, 1), (2, 2)]]
+    ring = F.element_at(F.array(*[F.array(*[corner(x, y) for x, y in f]) for f in forms]), (F.col("pole_num") % 6 + 1).cast("int"))
+    return t.poles.select("pole_num", ring.alias("ring"))
+
+
+FAULTY = ", a as (select pole_num, cast(pole_num % 6 as int) + 1 as k from fx_pole)"
+
+
+@query(FAULTY + " select pole_num, [1, 2, 1, 1, 2, 0][k] as valid_rings, [4, 4, 6, 7, 5, 3][k] as points, [0, 1, 0, 0, 0, 0][k] as cuts, cast([4, 2, 4, 4, 8, 0][k] as double) as area, ['VALIDO', 'CORRIGIDO', 'CORRIGIDO', 'VALIDO', 'CORRIGIDO', 'VAZIO'][k] as status from a")
+def g04_validity_audit(t):
+    return overlay.made_valid(_faulty(t), "pole_num")[1].select("pole_num", "valid_rings", "points", "cuts", F.round("area", 5).alias("area"), "status")
+
+
+@query(FAULTY + " select pole_num, unnest(case k when 1 then [4] when 2 then [3, 3] when 3 then [4] when 4 then [4] when 5 then [3, 3] else [] end) as corners from a where k < 6")
+def g04_valid_rings(t):
+    """The corners of each valid ring."""
+    return overlay.made_valid(_faulty(t), "pole_num")[0].select("pole_num", F.size("ring").alias("corners"))
+
+
+@query(", a as (select pole_num, round(lon, 6) as x, round(lat, 6) as y from fx_pole) select pole_num, round(x - 2, 6) as west, round(y - 2, 6) as south, cast(4 as bigint) as edges from a")
+def g05_distinct_rings(t):
+    """Boxes and their turned, reversed and closed copies count once: dissolved they leave one outline each."""
+    ring, n = F.col("ring"), (F.col("pole_num") % 3 + 1).cast("int")
+    turned = F.concat(F.slice(ring, n + 1, 4), F.slice(ring, 1, n))
+    b = boxes(t)
+    copies = b.union(b.select("pole_num", turned)).union(b.select("pole_num", F.reverse(turned))).union(b.select("pole_num", F.concat(turned, F.slice(turned, 1, 1))))
+    rounded = copies.select("pole_num", F.transform("ring", lambda p: shapes.point(F.round(p["lon"], 6), F.round(p["lat"], 6))).alias("ring"))
+    out = spatial.dissolved(rounded, "pole_num").groupBy("pole_num")
+    return out.agg(F.round(F.min("x1"), 6).alias("west"), F.round(F.min(F.least("y1", "y2")), 6).alias("south"), F.count("*").alias("edges"))
+
+
+@query(", a as (select pole_num, unnest(range(9)) as cell from fx_pole) select pole_num, cell, cast(1.0 as double) as area, cast(4 as bigint) as corners from a")
+def g08_simplified_mesh(t):
+    """Nine cells for each pole, each side bent by up to a hundredth in its middle, are squares again at a tolerance of a twentieth."""
+    cells = t.poles.select("pole_num", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("cell"))
+    cells = cells.withColumn("x", (F.col("cell") % 3).cast("double")).withColumn("y", F.floor(F.col("cell") / 3).cast("double"))
+    corner = lambda i, j: shapes.point(F.col("pole_num") * 10.0 + F.col("x") + i, F.col("y") + j)
+    # A side's bend depends on where it lies, so that both neighbours have the same.
+    bend = lambda dx, dy: (((F.col("x") + dx) * 7 + (F.col("y") + dy) * 5) % 3 - 1) * 0.01
+    ring = F.array(corner(0, 0), corner(0.5, bend(0, 0)), corner(1, 0), corner(1 + bend(1, 0), 0.5), corner(1, 1), corner(0.5, 1 + bend(0, 1)), corner(0, 1), corner(bend(0, 0), 0.5))
+    found = overlay.simplified(cells.select(F.struct("pole_num", "cell").alias("k"), F.lit(0).alias("ring_no"), ring.alias("ring")), "k", 0.05, 1e6)
+    return found.select("k.pole_num", "k.cell", F.round(F.abs(shapes.signed_area(F.col("ring"))), 6).alias("area"), F.size("ring").cast("long").alias("corners"))
+
+
 @query(", a as (select a.pole_num as a, b.pole_num as b, (least(a.lon, b.lon) + 2 - greatest(a.lon, b.lon) + 2) * (least(a.lat, b.lat) + 2 - greatest(a.lat, b.lat) + 2) as overlap from fx_pole a join fx_pole b on a.pole_num < b.pole_num and abs(a.lon - b.lon) < 4 and abs(a.lat - b.lat) < 4) select a, b, round(overlap, 4) as overlap, case when overlap > 0.01 then 'VIOLACAO_SOBREPOSICAO' else 'TOLERANCIA_NUMERICA' end as status from a where overlap > 1e-9")
 def g13_overlap_audit(t):
     return mesh.overlaps(boxes(t).withColumnRenamed("pole_num", "unit"), 4.0).filter("overlap > 1e-9").select("a", "b", F.round("overlap", 4).alias("overlap"), "status")

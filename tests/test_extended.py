@@ -81,22 +81,28 @@ def test_shapes(spark):
     assert abs(cut) == pytest.approx(3)
 
 
-def test_parents_that_bend_are_refused_for_cutting(spark):
+def test_parents_that_bend(spark):
+    from geoterra.functions import shapes
     from geoterra.operators.mesh import reconciled
 
     kind = "array<struct<lon:double,lat:double>>"
     parent = spark.createDataFrame([("m", ring(L_SHAPE))], f"parent string, ring {kind}")
     one = lambda name, points: spark.createDataFrame([(name, "m", ring(points))], f"district string, parent string, ring {kind}")
+    area = lambda df: df.select(F.sum(shapes.signed_area(F.col("ring"))), F.count("*")).first()
     cut, audit = reconciled(one("d", [(0, 0), (2, 0), (2, 2), (0, 2)]), parent)
     assert audit.first().outside == pytest.approx(1) and audit.first().status == "AJUSTADO"
-    with pytest.raises(Exception, match="not convex"):
-        cut.collect()
+    assert tuple(area(cut)) == (pytest.approx(3), 1)
+    assert tuple(area(reconciled(one("d", [(0.5, 3), (3, 0.5), (4, 0.5), (0.5, 4)]), parent)[0])) == (pytest.approx(audit_of(reconciled(one("d", [(0.5, 3), (3, 0.5), (4, 0.5), (0.5, 4)]), parent))), 2)
     assert reconciled(one("d", [(0, 0), (1, 0), (1, 1), (0, 1)]), parent)[0].count() == 1
     wide = spark.createDataFrame([("m", ring([(0, 0), (1000, 0), (1000, 1000), (0, 1000)]))], f"parent string, ring {kind}")
     got = reconciled(one("d", [(0, 0), (1100, 0), (1100, 1000), (0, 1000)]), wide)[1].first()
     assert (got.inside, got.outside) == (pytest.approx(1e6), pytest.approx(1e5))
 
 
+def audit_of(found):
+    return found[1].first().inside
+
+
 def test_outlines_and_mask(spark):
     from geoterra.operators.mesh import mask, outlines
 
