@@ -1,0 +1,140 @@
+"""Trees of cells built from counts, and joins that walk them: no cell and no key holds more rows than a bound, however points crowd.
+
+A level's cells are a quarter as wide along each axis as the level's above. A cell with at most ``limit`` points is a leaf. Points on the
+globe are taken as points of the unit sphere, where straight distances order as those along the ground do, so neither the date
+line nor the poles are special.
+"""
+
+from __future__ import annotations
+
+import math
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.geo import EARTH_KM
+from .graph import _checkpointed
+
+#: The finest level: cells of a fifth of a metre on the ground.
+LEVELS = 13
+
+
+def on_sphere(df: DataFrame) -> DataFrame:
+    """``df`` (lat, lon) with ``_c``: the point of the unit sphere, each axis brought to 0 to 1."""
+    la, lo = F.radians("lat"), F.radians("lon")
+    return df.withColumn("_c", F.array(*[(v + 1) / 2 for v in (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))]))
+
+
+def in_plane(df: DataFrame, x: str, y: str, box: tuple[float, float, float]) -> DataFrame:
+    """``df`` with ``_c``: (x, y) brought to 0 to 1 by the box's (west, south, side)."""
+    west, south, side = box
+    return df.withColumn("_c", F.array((F.col(x) - west) / side, (F.col(y) - south) / side))
+
+
+def _at(c: Column, level: int) -> Column:
+    return F.transform(c, lambda v: F.least(F.greatest(F.floor(v * 4.0**level), F.lit(0)), F.lit(4**level - 1)).cast("long"))
+
+
+def _cell(level: Column, at: Column) -> Column:
+    return F.struct(level.cast("int").alias("level"), at.alias("at"))
+
+
+def tree(points: DataFrame, groups: list[str], limit: int) -> DataFrame:
+    """(groups, cell, parent, n, low, high, leaf): all cells with points (``_c``) in them, with the box of what they hold."""
+    axes = range(2 if points.select(F.size("_c")).first() == (2,) else 3)
+    fine = points.groupBy(*groups, _at(F.col("_c"), LEVELS).alias("fine")).agg(F.count("*").alias("n"), F.array(*[F.min(F.col("_c")[i]) for i in axes]).alias("low"), F.array(*[F.max(F.col("_c")[i]) for i in axes]).alias("high"))
+    levels = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    at = F.transform("fine", lambda k: F.call_function("shiftright", k, 2 * (LEVELS - F.col("level"))))
+    cells = levels.groupBy(*groups, _cell(F.col("level"), at).alias("cell")).agg(F.sum("n").alias("n"), F.array(*[F.min(F.col("low")[i]) for i in axes]).alias("low"), F.array(*[F.max(F.col("high")[i]) for i in axes]).alias("high"))
+    parent = _cell(F.col("cell.level") - 1, F.transform("cell.at", lambda k: F.shiftright(k, 2)))
+    return _checkpointed(cells.select(*groups, "cell", parent.alias("parent"), "n", "low", "high", ((F.col("n") <= limit) | (F.col("cell.level") == LEVELS)).alias("leaf")))
+
+
+def placed(points: DataFrame, cells: DataFrame, groups: list[str], limit: int) -> DataFrame:
+    """``points`` with ``_leaf``, the cell that holds them, and ``_part``: leaves of more than ``limit`` points at one place are dealt to as many parts as they need."""
+    leaves = cells.filter("leaf").select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("cell").alias("_leaf"), F.col("n").alias("_n"))
+    fine = _at(F.col("_c"), LEVELS)
+    every = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda l: _cell(l, F.transform(fine, lambda k: F.call_function("shiftright", k, 2 * (LEVELS - l)))))
+    # Above a leaf no cell is one; below it all are: the first is meant.
+    tops = leaves.withColumn("_level", F.col("_leaf.level"))
+    inner = cells.filter("not leaf").select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("cell").alias("_up"))
+    up = _cell(F.col("_leaf.level") - 1, F.transform("_leaf.at", lambda k: F.shiftright(k, 2)))
+    tops = tops.withColumn("_up", up).join(inner, [*[f"_{g}" for g in groups], "_up"], "left_semi").union(tops.filter("_level = 0").withColumn("_up", up).select(*[f"_{g}" for g in groups], "_up", "_leaf", "_n", "_level"))
+    same = reduce(and_, [F.col(g) == F.col(f"_{g}") for g in groups], F.col("_at_") == F.col("_leaf"))
+    rows = points.withColumn("_at_", F.explode(every)).join(tops, same)
+    part = F.pmod(F.xxhash64(*[c for c in points.columns if c != "_c"]), F.ceil(F.col("_n") / limit)).cast("int")
+    return rows.withColumn("_part", part).select(*points.columns, "_leaf", "_part")
+
+
+def _bounds(low_a: str, high_a: str, low_b: str, high_b: str) -> tuple[Column, Column]:
+    """The least and greatest distance that points of two boxes can have."""
+    gap = F.zip_with(F.zip_with(low_b, high_a, lambda x, y: x - y), F.zip_with(low_a, high_b, lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    far = F.zip_with(F.zip_with(high_b, low_a, lambda x, y: x - y), F.zip_with(high_a, low_b, lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return norm(gap), norm(far)
+
+
+def walk(blocks: DataFrame, cells: DataFrame, groups: list[str], k: int | None = None, reach: float | None = None) -> DataFrame:
+    """(groups, block, cell): for each block (groups, block, low, high) the leaves that may hold one of its points' ``k`` nearest, or points within ``reach``.
+
+    All blocks go down together, a level each round. A leaf or cell stays if its least distance is within reach, or not above the distance within which
+    cells that must hold ``k`` points lie.
+    """
+    c = cells.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("cell").alias("_cell"), "parent", "n", F.col("low").alias("cl"), F.col("high").alias("ch"), "leaf")
+    same = lambda on: reduce(and_, [F.col(g) == F.col(f"_{g}") for g in groups], on)
+
+    def kept(met: DataFrame) -> DataFrame:
+        least, most = _bounds("low", "high", "cl", "ch")
+        met = met.withColumn("least", least).withColumn("most", most)
+        if reach is not None:
+            return met.filter(F.col("least") <= reach)
+        by = Window.partitionBy(*groups, "block")
+        met = met.withColumn("sum", F.sum("n").over(by.orderBy("most").rowsBetween(Window.unboundedPreceding, 0)))
+        bound = F.min(F.when(F.col("sum") >= k, F.col("most"))).over(by)
+        return met.withColumn("bound", bound).filter(F.col("bound").isNull() | (F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-12))
+
+    held = [*groups, "block", "low", "high", "cell", "n", "cl", "ch", "leaf"]
+    state = _checkpointed(kept(blocks.join(c.filter("_cell.level = 0"), same(F.lit(True)))).withColumn("cell", F.col("_cell")).select(*held))
+    while not state.filter("not leaf").isEmpty():
+        open_ = state.filter("not leaf").select(*groups, "block", "low", "high", F.col("cell").alias("of"))
+        down = open_.join(c, same(F.col("of") == F.col("parent"))).withColumn("cell", F.col("_cell")).select(*held)
+        state = _checkpointed(kept(down.union(state.filter("leaf"))).select(*held))
+    return state.select(*groups, "block", "cell")
+
+
+def _blocks(points: DataFrame, groups: list[str]) -> DataFrame:
+    axes = range(3) if points.select(F.size("_c")).first() != (2,) else range(2)
+    return points.groupBy(*groups, F.struct("_leaf", "_part").alias("block")).agg(F.array(*[F.min(F.col("_c")[i]) for i in axes]).alias("low"), F.array(*[F.max(F.col("_c")[i]) for i in axes]).alias("high"))
+
+
+def candidates(left: DataFrame, right: DataFrame, groups: list[str], k: int | None = None, reach: float | None = None, block: int = 256, leaf: int = 16, most: int = 48) -> DataFrame:
+    """Pairs of structs (a, b) of ``left`` and ``right`` rows (both with ``_c``) that may be among the ``k`` nearest or within ``reach``, rows of equal ``groups`` only.
+
+    Left rows are taken in blocks of at most ``block``, right rows in leaves of at most ``leaf`` (more only where they lie in one place), so the last join's keys are bounded.
+    A block that is wide against what is near it meets many leaves; one with more than ``most`` is dealt again to smaller ones, in the end to single rows.
+    """
+    if left.isEmpty() or right.isEmpty():
+        return left.select(F.struct(*[c for c in left.columns if c != "_c"]).alias("a")).join(right.select(F.struct(*[c for c in right.columns if c != "_c"]).alias("b")), F.lit(False))
+    cells = tree(right, groups, leaf)
+    held = placed(right, cells, groups, leaf).select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_leaf").alias("_cell"), F.struct(*[c for c in right.columns if c != "_c"]).alias("b"))
+    same = lambda on: reduce(and_, [F.col(g) == F.col(f"_{g}") for g in groups], on)
+    out = None
+    while True:
+        own = placed(left, tree(left, groups, block), groups, block).withColumn("block", F.struct("_leaf", "_part"))
+        met = walk(_blocks(own, groups), cells, groups, k, reach)
+        heavy = _checkpointed(met.groupBy(*groups, "block").agg(F.count("*").alias("n")).filter(F.col("n") > (most if block > 1 else 2**62)).drop("n"))
+        light = met.join(heavy, [*groups, "block"], "left_anti")
+        near = light.join(held, same(F.col("cell") == F.col("_cell"))).select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("block").alias("_block"), "b")
+        mine = own.select(*groups, "block", F.struct(*[c for c in left.columns if c != "_c"]).alias("a"))
+        pairs = mine.join(near, same(F.col("block") == F.col("_block"))).select("a", "b")
+        out = pairs if out is None else out.union(pairs)
+        if heavy.isEmpty():
+            return out
+        left, block = _checkpointed(own.join(heavy, [*groups, "block"], "left_semi").select(*left.columns)), max(1, block // 16)
+
+
+def chord(km: float) -> float:
+    """Kilometres on the ground as a distance of ``on_sphere`` coordinates, a trifle more."""
+    return math.sin(min(km / EARTH_KM / 2, math.pi / 2)) * (1 + 1e-9) + 1e-12

@@ -9,49 +9,37 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_KM, between_tables, in_ring
+from ..functions.geo import EARTH_KM, between_tables, haversine, in_ring
 from ..functions.shapes import canonical
+from . import quadtree
 
-#: A side of at most so many rows is broadcast.
-SMALL = 50_000
-WIDEST = 360.0
 
+def _known(df: DataFrame) -> DataFrame:
+    return df.filter("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
 
-def nearest(units: DataFrame, poles: DataFrame, within: list[str] | None = None, order: str = "pole_num") -> DataFrame:
-    """Each unit with its nearest pole (ties by ``order``), in the same group if ``within`` names one.
 
-    Poles are sought in the grid cells around a unit, some two of them (of a group) in a cell on average. What is found there counts if
-    nothing outside those cells can be nearer; the few units left look in cells eight times as wide, and so on to the whole
-    world. Units without coordinates, or without a pole of their group, are left out.
+def nearest_k(units: DataFrame, poles: DataFrame, k: int, within: list[str] | None = None, order: str = "pole_num") -> DataFrame:
+    """(unit_id, pole_id, km, rank): the ``k`` nearest poles of each unit (ties by ``order``), in the same group if ``within`` names one.
+
+    Blocks of units walk down a tree of cells with poles (``quadtree``). Units without coordinates, or without a pole of their group, are left
+    out; a unit with fewer poles in reach has them all; where poles of a group share a place only the first ``k`` of it are looked at.
     """
     keys = within or []
-    groups = F.count_distinct(*keys) if keys else F.lit(1)
-    size = poles.agg(F.count("*").alias("n"), groups.alias("g"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")).first()
-    cell = min(WIDEST, max(0.01, max(size.h or 0.0, size.w or 0.0) / math.sqrt(max(size.n / max(size.g, 1), 1) / 2)))
-    p = poles.select("pole_id", F.col(order).alias("_o"), "lat", "lon", *keys)
-    open_, out = units.select("unit_id", "lat", "lon", *keys).filter("lat is not null and lon is not null"), []
-    while True:
-        last = cell >= WIDEST / 8
-        cell = WIDEST if last else cell
-        at = lambda c, cell=cell: F.floor(F.col(c) / cell)
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        cells = p.withColumn("_n", around).withColumn("_x", at("lon") + F.col("_n.i")).withColumn("_y", at("lat") + F.col("_n.j"))
-        cells = F.broadcast(cells) if size.n * 9 <= SMALL else cells
-        u = open_.withColumn("_x", at("lon")).withColumn("_y", at("lat"))
-        on = [F.col(f"u.{c}") == F.col(f"p.{c}") for c in [*keys, "_x", "_y"]]
-        met = u.alias("u").join(cells.alias("p"), on, "left")
-        best = F.min(F.when(F.col("p.pole_id").isNotNull(), F.struct(between_tables("u", "p").alias("km"), F.col("p._o").alias("o"), F.col("p.pole_id").alias("pole_id"))))
-        held = met.groupBy("u.unit_id", "u.lat", "u.lon", *[f"u.{c}" for c in keys]).agg(best.alias("b"))
-        if last:
-            break
-        # Outside the cells a pole is at least a cell away along one of the two axes, or beyond the date line.
-        aside = lambda d: EARTH_KM * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(d, F.lit(90.0)))))
-        bound = F.least(F.lit(EARTH_KM * math.radians(cell)), aside(F.lit(cell)), aside(F.greatest(180 - F.abs("lon"), F.lit(0.0))))
-        sure = F.coalesce(F.col("b.km") <= bound, F.lit(False))
-        out.append(held.filter(sure).select("unit_id", "b.pole_id", "b.km"))
-        open_, cell = held.filter(~sure).select("unit_id", "lat", "lon", *keys), cell * 8
-    out.append(held.filter("b is not null").select("unit_id", "b.pole_id", "b.km"))
-    return reduce(DataFrame.union, out)
+    p = _known(poles).select("pole_id", F.col(order).alias("_o"), "lat", "lon", *keys)
+    p = p.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "lat", "lon").orderBy("_o", "pole_id"))).filter(F.col("_r") <= k).drop("_r")
+    u = _known(units).select("unit_id", "lat", "lon", *keys)
+    pairs = quadtree.candidates(quadtree.on_sphere(u), quadtree.on_sphere(p), keys, k=k)
+    far = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    scored = pairs.select(F.col("a.unit_id").alias("unit_id"), F.struct(far.alias("km"), F.col("b._o").alias("o"), F.col("b.pole_id").alias("pole_id")).alias("s"))
+    if k == 1:
+        return scored.groupBy("unit_id").agg(F.min("s").alias("s")).select("unit_id", "s.pole_id", "s.km", F.lit(1).alias("rank"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy("s"))).filter(F.col("rank") <= k)
+    return ranked.select("unit_id", "s.pole_id", "s.km", "rank")
+
+
+def nearest(units: DataFrame, poles: DataFrame, within: list[str] | None = None, order: str = "pole_num") -> DataFrame:
+    """(unit_id, pole_id, km): each unit's nearest pole, see ``nearest_k``."""
+    return nearest_k(units, poles, 1, within, order).select("unit_id", "pole_id", "km")
 
 
 def within_km(left: DataFrame, right: DataFrame, km: float, keys: list[str]) -> DataFrame:
@@ -101,14 +89,35 @@ def _boxed(polygons: DataFrame, cell: float) -> DataFrame:
     return boxed.withColumn("_x", F.explode(F.sequence(at("_w"), at("_e")))).withColumn("_y", F.explode(F.sequence(at("_s"), at("_n"))))
 
 
-def containing(points: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
-    """Points (unit_id, lat, lon) with the smallest ``key`` of the polygons (key, ring) that hold them; points in none are left out.
+def inside(points: DataFrame, polygons: DataFrame, key: str, within: list[str] | None = None) -> DataFrame:
+    """(unit_id, key) of all pairs of a point (unit_id, lat, lon) and a polygon (key, ring) that holds it, of equal ``within`` columns.
 
-    Both sides meet in grid cells of ``cell`` degrees, so no pair is tested twice and none outside a box's cells is formed.
+    Points lie in the leaves of a tree of cells; polygons' boxes walk down it. So a leaf has a bounded number of points however dense they are, and a
+    polygon, however large, goes to the leaves that it touches, once each. Points without coordinates and polygons without a ring meet nothing.
     """
-    p = points.select("unit_id", "lat", "lon", F.floor(F.col("lon") / cell).alias("_x"), F.floor(F.col("lat") / cell).alias("_y"))
-    hits = p.join(_boxed(polygons.select(key, "ring"), cell), ["_x", "_y"]).filter((F.col("lon").between(F.col("_w"), F.col("_e"))) & (F.col("lat").between(F.col("_s"), F.col("_n"))))
-    return hits.filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("unit_id").agg(F.min(key).alias(key))
+    keys = within or []
+    p = _known(points).select("unit_id", "lat", "lon", *keys)
+    side = lambda f, low: (F.array_min if low else F.array_max)(F.transform("ring", lambda q: q[f]))
+    boxed = polygons.select(F.col(key).alias("_key"), *keys, "ring", F.array(side("lon", True), side("lat", True)).alias("low"), F.array(side("lon", False), side("lat", False)).alias("high")).filter("low[0] is not null")
+    size = p.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    if size[0] is None:
+        return p.select("unit_id").join(polygons.select(key), F.lit(False))
+    box = (size[0], size[1], max(size[2] - size[0], size[3] - size[1], 1e-9) * (1 + 1e-9))
+    fit = lambda c: F.array((F.col(c)[0] - box[0]) / box[2], (F.col(c)[1] - box[1]) / box[2])
+    p = quadtree.in_plane(p, "lon", "lat", box)
+    cells = quadtree.tree(p, keys, 256)
+    # Boxes are told apart by themselves, so equal ones walk once; a trifle keeps points on the edge.
+    walkers = boxed.select(*keys, F.struct("low", "high").alias("block"), fit("low").alias("low"), fit("high").alias("high")).distinct()
+    met = quadtree.walk(walkers, cells, keys, reach=1e-9).withColumnRenamed("cell", "_leaf")
+    rings = met.join(boxed.withColumn("block", F.struct("low", "high")), [*keys, "block"]).select(*keys, "_leaf", "_key", "ring")
+    held = quadtree.placed(p, cells, keys, 256)
+    hits = held.join(rings, [*keys, "_leaf"]).filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    return hits.select("unit_id", F.col("_key").alias(key))
+
+
+def containing(points: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
+    """Points (unit_id, lat, lon) with the smallest ``key`` of the polygons (key, ring) that hold them; points in none are left out."""
+    return inside(points, polygons, key).groupBy("unit_id").agg(F.min(key).alias(key))
 
 
 def box_pairs(polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records, shapes
 from ..functions import values as v
 from ..operators import contracts, graph, mesh, overlay, pipelines, preparation, scenario, siting, spatial
+from ..operators.ranks import ordered
 from ..sources import files, reports
 from .registry import pairs, query, r
 from .summaries import boxes
@@ -95,7 +96,7 @@ def p45_strict_float(t):
 @query(", a as (select pole_num, pole_id, name, case when pole_num % 10 = 0 then null else pole_num % 7 end as m from fx_pole) select pole_id, m, row_number() over (order by m desc nulls last, name, pole_num) as place from a")
 def t02_sorted_poles(t):
     s = records.sorted_by(t.poles.withColumn("m", F.when(F.col("pole_num") % 10 != 0, F.col("pole_num") % 7)), "m").select("pole_id", "m", "name", "pole_num")
-    return s.select("pole_id", "m", F.row_number().over(Window.orderBy(F.col("m").desc_nulls_last(), "name", "pole_num")).alias("place"))
+    return ordered(s, [F.col("m").desc_nulls_last(), "name", "pole_num"]).select("pole_id", "m", (F.col("idx") + 1).cast("int").alias("place"))
 
 
 @query(", a as (select store_id, u.state, case when store_id % 50 = 0 then null else store_id % 900 end as n from fx_store s join fx_unit u using (unit_id)) select state, count(n) as stores, coalesce(sum(n), 0) as total from a where n is not null group by 1")
@@ -269,9 +270,8 @@ def g12_hybrid_units(t):
 def r01_adjacency_with_gaps(t):
     """Cells of one city that share an edge, or, where one has an even number, touch in a corner (a gap of nothing); cities lie far apart."""
     g = _grid(t)
-    city = F.dense_rank().over(Window.orderBy("city_code")) * 1000.0
-    k = F.row_number().over(Window.orderBy("city_code", "x", "y")).cast("long")
-    units = g.withColumn("c", city).select(k.alias("unit"), F.transform("ring", lambda p: shapes.point(p["lon"] + F.col("c"), p["lat"])).alias("ring"))
+    city = ordered(g.select("city_code").distinct(), ["city_code"], place="city").select("city_code", (F.col("city") * 1000.0).alias("c"))
+    units = ordered(g, ["city_code", "x", "y"]).join(city, "city_code").select((F.col("idx") + 1).alias("unit"), F.transform("ring", lambda p: shapes.point(p["lon"] + F.col("c"), p["lat"])).alias("ring"))
     return mesh.adjacency(units.withColumn("is_district", F.col("unit") % 2 == 0), 8.0, 0.5, 1e-9)
 
 
@@ -341,7 +341,7 @@ NEAR = f", f as (select u.unit_id, p.pole_num as candidate, {hav('u', 'p')} as k
 
 
 def _feasible(t: Territory):
-    pairs_ = pairs(t, "area").select("unit_id", F.col("p.pole_num").alias("candidate"), _km().alias("km")).filter("km <= 800")
+    pairs_ = spatial.within_km(t.units.select("unit_id", "area", "lat", "lon"), t.poles.select("pole_num", "area", "lat", "lon"), 800.0, ["area"]).select("a.unit_id", F.col("b.pole_num").alias("candidate"), "km")
     return pairs_, t.poles.filter("pole_num % 3 = 0").select(F.col("pole_num").alias("candidate"), (-1 - F.col("pole_num")).alias("seat_unit"))
 
 

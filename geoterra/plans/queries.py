@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import values as v
 from ..operators import graph, portfolio, solvers, spatial, stats
+from ..operators.ranks import ordered
 from ..sources import tables
 from .registry import km, pairs, query, r, rows
 from .views import Territory, hav
@@ -157,7 +158,7 @@ def p29_service_cost(t):
 
 @query(", a as (select 1) select pole_id, printf('P-G%03d', row_number() over (order by pole_num)) as site from fx_pole")
 def p31_surrogate_ids(t):
-    return t.poles.select("pole_id", F.format_string("P-G%03d", F.row_number().over(Window.orderBy("pole_num"))).alias("site"))
+    return ordered(t.poles.select("pole_id", "pole_num"), ["pole_num"]).select("pole_id", F.format_string("P-G%03d", F.col("idx") + 1).alias("site"))
 
 
 @query(", a as (select 1) select unit_id, translate(format('{:,.2f}', population), ',.', '.,') as text from fx_unit")
@@ -174,10 +175,11 @@ def p35_circle(t):
 
 @query(", a as (select 1) select unit_id, pole_id from fx_unit u join fx_pole p on u.area = p.area where u.lon >= p.lon - 2 and u.lon < p.lon + 2 and u.lat >= p.lat - 2 and u.lat < p.lat + 2")
 def p40_point_in_ring(t):
-    corner = lambda x, y: F.struct((F.col("p.lon") + x).alias("lon"), (F.col("p.lat") + y).alias("lat"))
+    corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
     ring = F.array(corner(-2, -2), corner(2, -2), corner(2, 2), corner(-2, 2))
     # The ray cast takes the lower and left edges as inside, the upper and right ones as outside.
-    return pairs(t, "area").filter(geo.in_ring(F.col("u.lon"), F.col("u.lat"), ring)).select("unit_id", "pole_id")
+    boxes = t.poles.select("pole_id", "area", ring.alias("ring"))
+    return spatial.inside(t.units.select("unit_id", "area", "lat", "lon"), boxes, "pole_id", ["area"]).select("unit_id", "pole_id")
 
 
 @query(", a as (select 1) select unit_id, round(coalesce(population / nullif(sum(population) over (partition by area), 0) * 100, 0), 6) as share from fx_unit")
@@ -229,8 +231,12 @@ def j17_range_join(t):
 @query(f", a as (select u.unit_id, p.pole_id, {hav('u', 'p')} as km, row_number() over (partition by u.unit_id order by coalesce(o.pole_id = p.pole_id, false) desc, {hav('u', 'p')}, p.pole_num) as rank from fx_unit u join fx_pole p on u.area = p.area left join fx_own o on o.unit_id = u.unit_id) select unit_id, pole_id, cast(rank as integer) as rank, round(km, 4) as km from a where rank <= 4")
 def j18_topk_shortlist(t):
     own = portfolio.dominant(t.counts).select(F.col("unit_id").alias("o_unit"), F.col("pole_id").alias("o_pole"))
-    p = pairs(t, "area").select("u.unit_id", "p.pole_id", "p.pole_num", km().alias("km")).join(own, F.col("unit_id") == F.col("o_unit"), "left")
-    p = p.withColumn("is_own", F.coalesce(F.col("o_pole") == F.col("pole_id"), F.lit(False)))
+    near = spatial.nearest_k(t.units, t.poles, 4, ["area"]).select("unit_id", "pole_id", "km")
+    # The own pole stands first if it is of the unit's area, among the four nearest or not.
+    mine = own.join(t.poles.select("pole_id", "pole_num", F.col("area").alias("p_area"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), F.col("o_pole") == F.col("pole_id")).join(t.units.select("unit_id", "area", "lat", "lon"), F.col("o_unit") == F.col("unit_id")).filter("area = p_area")
+    mine = mine.select("unit_id", "pole_id", "pole_num", geo.haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")).alias("km"), F.lit(True).alias("is_own"))
+    rest = near.join(mine.select("unit_id", "pole_id"), ["unit_id", "pole_id"], "left_anti").join(t.poles.select("pole_id", "pole_num"), "pole_id")
+    p = mine.unionByName(rest.withColumn("is_own", F.lit(False)))
     return spatial.shortlist(p, 4).select("unit_id", "pole_id", "rank", r("km").alias("km"))
 
 
@@ -306,6 +312,19 @@ def a12_percentile_linear(t):
     return t.current.groupBy("pole_id").agg(r(F.percentile("km", 0.75)).alias("p75"), r(F.median("km")).alias("p50"))
 
 
+@query(", v as (select c.km as val, u.population as w, sum(u.population) over (order by c.km rows unbounded preceding) as cw, sum(u.population) over () as tw from fx_pro c join fx_unit u using (unit_id) where u.population > 0) select round(min(val) filter (cw >= 0.9 * tw), 4) as p90 from v")
+def a10_national_p90(t):
+    """The weighted percentile of the whole table, which no task holds."""
+    return stats.weighted_percentile(rows(t), [], "km", "population", 0.9, "p90").select(r("p90").alias("p90"))
+
+
+@query(", a as (select area, km from fx_cur join fx_unit using (unit_id)) select area, round(quantile_cont(km, 0.75), 4) as p75, round(median(km), 4) as p50, round(quantile_cont(km, 0.1), 4) as p10 from a group by 1")
+def a12_area_percentiles(t):
+    """Percentiles of few, large groups."""
+    found = stats.percentiles(t.current.join(t.units.select("unit_id", "area"), "unit_id"), ["area"], "km", {"p75": 0.75, "p50": 0.5, "p10": 0.1})
+    return found.select("area", *[r(c).alias(c) for c in ("p75", "p50", "p10")])
+
+
 @query(", a as (select 1) select c.pole_id, round(sum(km * population) filter (population > 0) / sum(population) filter (population > 0), 4) as mean, round(sum(km * greatest(population, 1)) / sum(greatest(population, 1)), 4) as floored from fx_cur c join fx_unit u using (unit_id) group by 1")
 def a13_weighted_mean(t):
     km, w = F.col("km"), F.col("population")
@@ -395,7 +414,7 @@ def a37_area_boxes(t):
 # --- Windows, sets -------------------------------------------------------------------------------------------------
 @query(", a as (select 1) select unit_id, cast(row_number() over (order by state, unit_id) - 1 as integer) as idx from fx_unit")
 def w02_dense_index(t):
-    return t.units.select("unit_id", (F.row_number().over(Window.orderBy("state", "unit_id")) - 1).alias("idx"))
+    return ordered(t.units.select("unit_id", "state"), ["state", "unit_id"]).select("unit_id", F.col("idx").cast("int").alias("idx"))
 
 
 @query(", a as (select *, raw_population % 10 as x from fx_district) select district_code, round(case when sum(x) over w > 0 then x / sum(x) over w * 300000 when sum(area_km2) over w > 0 then area_km2 / sum(area_km2) over w * 300000 else 300000.0 / count(*) over w end, 4) as population from a window w as (partition by city_code)")
@@ -409,8 +428,8 @@ def w06_district_renormalize(t):
 @query(", a as (select src, min(km) as km from fx_edge group by 1), b as (select km, row_number() over (order by km, src) as i, count(*) over () as n from a) select km from b where i = cast(floor(n * 0.75) as bigint) + 1")
 def w08_link_distance(t):
     near = t.edges.groupBy("src").agg(F.min("km").alias("km"))
-    b = near.select("km", F.row_number().over(Window.orderBy("km", "src")).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return b.filter("i = cast(floor(n * 0.75) as bigint) + 1").select("km")
+    place = near.agg(F.floor(F.count("*") * 0.75).alias("place"))
+    return ordered(near, ["km", "src"]).join(place, F.col("idx") == F.col("place")).select("km")
 
 
 @query(", a as (select unit_id, pole_id, n, row_number() over (partition by unit_id order by (pole_id = '7') desc, n desc, pole_num) as r from fx_count) select unit_id, pole_id, n from a where r = 1")

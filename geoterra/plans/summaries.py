@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import values as v
-from ..operators import contracts, portfolio, spatial, stats, summaries
+from ..operators import contracts, portfolio, quadtree, spatial, stats, summaries
+from ..operators.ranks import ordered
 from .registry import km, pairs, query, r, rows
 from .views import Territory, hav
 
@@ -112,9 +113,11 @@ def j21_overlapping_boxes(t):
 
 @query(", a as (select 1) select p.pole_id, exists (select 1 from fx_pole o where o.pole_num % 5 = 0 and o.area = p.area and o.pole_num <> p.pole_num and pow(o.lon - p.lon, 2) + pow(o.lat - p.lat, 2) <= 4) as hidden from fx_pole p")
 def j24_overlap_flag(t):
-    o = t.poles.filter("pole_num % 5 = 0").alias("o")
-    near = (F.col("o.area") == F.col("p.area")) & (F.col("o.pole_num") != F.col("p.pole_num")) & (F.pow(F.col("o.lon") - F.col("p.lon"), 2) + F.pow(F.col("o.lat") - F.col("p.lat"), 2) <= 4)
-    covered = t.poles.alias("p").join(o, near, "left_semi").select("pole_id", F.lit(True).alias("hidden"))
+    box = (-75.0, -35.0, 45.0)
+    spot = lambda df: quadtree.in_plane(df.select("pole_id", "area", "lat", "lon"), "lon", "lat", box)
+    met = quadtree.candidates(spot(t.poles), spot(t.poles.filter("pole_num % 5 = 0")), ["area"], reach=2 / box[2] * (1 + 1e-9))
+    near = (F.col("a.pole_id") != F.col("b.pole_id")) & (F.pow(F.col("a.lon") - F.col("b.lon"), 2) + F.pow(F.col("a.lat") - F.col("b.lat"), 2) <= 4)
+    covered = met.filter(near).select("a.pole_id", F.lit(True).alias("hidden")).distinct()
     return t.poles.select("pole_id").join(covered, "pole_id", "left").na.fill(False)
 
 
@@ -245,8 +248,7 @@ def w04_share_of_total(t):
 
 @query(", a as (select pole_id, cast(row_number() over (order by pole_num) - 1 as integer) as i from fx_pole) select pole_id, i, round((i * 137.508) - 360 * floor(i * 137.508 / 360), 3) as hue from a")
 def w07_palette(t):
-    i = F.row_number().over(Window.orderBy("pole_num")) - 1
-    rows_ = t.poles.select("pole_id", i.alias("i"))
+    rows_ = ordered(t.poles.select("pole_id", "pole_num"), ["pole_num"], place="i").select("pole_id", F.col("i").cast("int").alias("i"))
     return rows_.withColumn("hue", r(F.col("i") * 137.508 - 360 * F.floor(F.col("i") * 137.508 / 360), 3))
 
 
