@@ -32,3 +32,8 @@ def ordered(rows: DataFrame, order: Sequence[str | Column], keys: Sequence[str]
         dealt = dealt.select("*", *[F.sum(c).over(local).alias(f"__l_{n}") for n, c in sums.items()])
     total = lambda n: F.coalesce(F.col(f"__l_{n}") + F.coalesce(F.col(f"__s_{n}"), F.lit(0)), F.col(f"__s_{n}")).alias(n)
     return dealt.join(held, same).select(*rows.columns, (F.col("__at") - F.col("__first") + F.col("__n")).alias(place), *[total(n) for n in sums])
+
+
+def in_locale(rows: DataFrame, name: str, ties: list[str]) -> DataFrame:
+    """``rows`` with ``place`` (0, 1, ...) by ``name`` in the order of Unicode's collation, which Portuguese shares: accents, then case, matter only where letters are the same. Nulls first."""
+    return ordered(rows.withColumn("_name", F.collate(F.col(name), "UNICODE")), ["_name", *ties], place="place").drop("_name")

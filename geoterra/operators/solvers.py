@@ -74,32 +74,29 @@ def bottleneck(cost: np.ndarray) -> tuple[np.ndarray, float]:
     return assignment(blocked), float(levels[low])
 
 
-def greedy_far(units: pd.DataFrame, count: int) -> list[int]:
-    """Positions of ``count`` sites: the most relevant first, then always the largest relevance times distance to the nearest site (ties: population, then id)."""
-    weight, pop, ids = units["relevance"].to_numpy(float), units["population"].to_numpy(float), units["unit_id"].to_numpy()
-    to = lambda i: distances(units, units.iloc[[i]])[:, 0]
-    chosen = [min(range(len(units)), key=lambda i: (-weight[i], -pop[i], ids[i]))] if len(units) else []
-    nearest = to(chosen[0]) if chosen else None
-    while len(chosen) < min(count, len(units)):
-        score = weight * nearest
-        score[chosen] = -np.inf
-        tied = np.flatnonzero(np.isclose(score, score.max(), rtol=0, atol=1e-15))
-        chosen.append(min(tied.tolist(), key=lambda i: (-pop[i], ids[i])))
-        nearest = np.minimum(nearest, to(chosen[-1]))
-    return chosen
-
-
-def greedy_sites(units: DataFrame, group: str, count: int) -> DataFrame:
-    """(group, unit_id, step): sites chosen in each group of units (unit_id, relevance, population, lat, lon)."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("unit_id").reset_index(drop=True)
-        at = greedy_far(part, count)
-        if not at:
-            return nothing([group, "unit_id", "step"])
-        return pd.DataFrame({group: [key[0]] * len(at), "unit_id": part["unit_id"].to_numpy()[at], "step": range(1, len(at) + 1)})
-
-    return units.select(group, "unit_id", "relevance", "population", "lat", "lon").groupBy(group).applyInPandas(run, f"{group} string, unit_id long, step long")
+def greedy_sites(units: DataFrame, group: str, count: int, seeds: DataFrame | None = None) -> DataFrame:
+    """(group, unit_id, step): ``count`` sites in each group of units (unit_id, relevance, population, lat, lon), always the one with the most relevance times distance to the nearest site so far.
+
+    With ``seeds`` (unit_id) those stand first (step 0); a group without one starts from its most relevant unit. Ties go to the larger population, then the smaller id.
+    Each step is an aggregate over the table and an update of one column, kept every few steps; a group that runs out of units has fewer sites. Units without
+    coordinates take no part, null relevance counts as none; a null group is one of its own.
+    """
+    rows = units.select(F.col(group).alias("g"), "unit_id", F.coalesce(F.col("relevance").cast("double"), F.lit(0.0)).alias("relevance"), F.coalesce(F.col("population").cast("double"), F.lit(0.0)).alias("population"), "lat", "lon").dropna(subset=["unit_id", "lat", "lon"])
+    state = _checkpointed(rows.withColumn("near", F.lit(None).cast("double")).withColumn("step", F.lit(None).cast("int")))
+    if seeds is not None:
+        state = state.join(seeds.select("unit_id", F.lit(0).alias("first")).distinct(), "unit_id", "left").withColumn("step", F.col("first")).drop("first")
+        fixed = state.filter("step = 0").select(F.col("g").alias("h"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+        met = state.join(fixed, F.col("g").eqNullSafe(F.col("h")), "left").groupBy("g", "unit_id", "relevance", "population", "lat", "lon", "step")
+        state = _checkpointed(met.agg(F.min(haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("near")))
+    for step in range(1, count + 1):
+        score = F.round(F.col("relevance") * F.coalesce("near", F.lit(1.0)), 12)
+        best = F.max_by(F.struct("unit_id", "lat", "lon"), F.struct(score.alias("s"), F.col("population").alias("p"), (-F.col("unit_id")).alias("i")))
+        chosen = state.filter("step is null").groupBy("g").agg(best.alias("b")).select(F.col("g").alias("h"), "b")
+        after = state.join(chosen, F.col("g").eqNullSafe(F.col("h")), "left")
+        near = F.least("near", haversine(F.col("lat"), F.col("lon"), F.col("b.lat"), F.col("b.lon")))
+        state = after.select("g", "unit_id", "relevance", "population", "lat", "lon", near.alias("near"), F.when(F.col("unit_id") == F.col("b.unit_id"), step).otherwise(F.col("step")).alias("step"))
+        state = _checkpointed(state) if step % 3 == 0 else state
+    return state.filter("step is not null").select(F.col("g").alias(group), "unit_id", F.col("step").cast("long").alias("step"))
 
 
 def matched(current: DataFrame, proposed: DataFrame, group: str, how: str = "sum") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, between_tables, haversine, in_ring
 from ..functions.shapes import canonical
-from . import quadtree
+from . import boxtree
 
 
 def _known(df: DataFrame) -> DataFrame:
@@ -21,20 +21,18 @@ def _known(df: DataFrame) -> DataFrame:
 def nearest_k(units: DataFrame, poles: DataFrame, k: int, within: list[str] | None = None, order: str = "pole_num") -> DataFrame:
     """(unit_id, pole_id, km, rank): the ``k`` nearest poles of each unit (ties by ``order``), in the same group if ``within`` names one.
 
-    Blocks of units walk down a tree of cells with poles (``quadtree``). Units without coordinates, or without a pole of their group, are left
+    Runs of neighbouring units walk down a tree of boxes over the poles (``boxtree``). Units without coordinates, or without a pole of their group, are left
     out; a unit with fewer poles in reach has them all; where poles of a group share a place only the first ``k`` of it are looked at.
     """
     keys = within or []
     p = _known(poles).select("pole_id", F.col(order).alias("_o"), "lat", "lon", *keys)
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "lat", "lon").orderBy("_o", "pole_id"))).filter(F.col("_r") <= k).drop("_r")
     u = _known(units).select("unit_id", "lat", "lon", *keys)
-    pairs = quadtree.candidates(quadtree.on_sphere(u), quadtree.on_sphere(p), keys, k=k)
-    far = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    scored = pairs.select(F.col("a.unit_id").alias("unit_id"), F.struct(far.alias("km"), F.col("b._o").alias("o"), F.col("b.pole_id").alias("pole_id")).alias("s"))
-    if k == 1:
-        return scored.groupBy("unit_id").agg(F.min("s").alias("s")).select("unit_id", "s.pole_id", "s.km", F.lit(1).alias("rank"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy("s"))).filter(F.col("rank") <= k)
-    return ranked.select("unit_id", "s.pole_id", "s.km", "rank")
+    pairs = boxtree.candidates(boxtree.on_sphere(u), boxtree.on_sphere(p), keys, k=k)
+    a = F.col("a")
+    scored = F.transform("b", lambda b: F.struct(haversine(a["lat"], a["lon"], b["lat"], b["lon"]).alias("km"), b["_o"].alias("o"), b["pole_id"].alias("pole_id")))
+    best = F.array(F.array_min(scored)) if k == 1 else F.slice(F.array_sort(scored), 1, k)
+    return pairs.select("a.unit_id", F.posexplode(best).alias("rank", "s")).select("unit_id", "s.pole_id", "s.km", (F.col("rank") + 1).alias("rank"))
 
 
 def nearest(units: DataFrame, poles: DataFrame, within: list[str] | None = None, order: str = "pole_num") -> DataFrame:
@@ -92,7 +90,7 @@ def _boxed(polygons: DataFrame, cell: float) -> DataFrame:
 def inside(points: DataFrame, polygons: DataFrame, key: str, within: list[str] | None = None) -> DataFrame:
     """(unit_id, key) of all pairs of a point (unit_id, lat, lon) and a polygon (key, ring) that holds it, of equal ``within`` columns.
 
-    Points lie in the leaves of a tree of cells; polygons' boxes walk down it. So a leaf has a bounded number of points however dense they are, and a
+    Points lie in the leaves of a tree of boxes; polygons' boxes walk down it. A leaf has a bounded number of points however dense they are, and a
     polygon, however large, goes to the leaves that it touches, once each. Points without coordinates and polygons without a ring meet nothing.
     """
     keys = within or []
@@ -103,15 +101,14 @@ def inside(points: DataFrame, polygons: DataFrame, key: str, within: list[str] |
     if size[0] is None:
         return p.select("unit_id").join(polygons.select(key), F.lit(False))
     box = (size[0], size[1], max(size[2] - size[0], size[3] - size[1], 1e-9) * (1 + 1e-9))
-    fit = lambda c: F.array((F.col(c)[0] - box[0]) / box[2], (F.col(c)[1] - box[1]) / box[2])
-    p = quadtree.in_plane(p, "lon", "lat", box)
-    cells = quadtree.tree(p, keys, 256)
+    fit = lambda c: F.array((F.col(c)[0] - box[0]) / box[2], (F.col(c)[1] - box[1]) / box[2], F.lit(0.0))
+    held = boxtree.runs(boxtree.in_plane(p, "lon", "lat", box), keys, 8).withColumn("leaf", F.struct("part", "run"))
+    cells, top = boxtree.tree(held, keys)
     # Boxes are told apart by themselves, so equal ones walk once; a trifle keeps points on the edge.
     walkers = boxed.select(*keys, F.struct("low", "high").alias("block"), fit("low").alias("low"), fit("high").alias("high")).distinct()
-    met = quadtree.walk(walkers, cells, keys, reach=1e-9).withColumnRenamed("cell", "_leaf")
-    rings = met.join(boxed.withColumn("block", F.struct("low", "high")), [*keys, "block"]).select(*keys, "_leaf", "_key", "ring")
-    held = quadtree.placed(p, cells, keys, 256)
-    hits = held.join(rings, [*keys, "_leaf"]).filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    met = boxtree.walk(walkers, cells, top, keys, reach=1e-9)
+    rings = met.join(boxed.withColumn("block", F.struct("low", "high")), [*keys, "block"]).select(*keys, F.col("run").alias("leaf"), "_key", "ring")
+    hits = held.join(rings, [*keys, "leaf"]).filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
     return hits.select("unit_id", F.col("_key").alias(key))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records, shapes
 from ..functions import values as v
 from ..operators import contracts, graph, mesh, overlay, pipelines, preparation, scenario, siting, spatial
-from ..operators.ranks import ordered
+from ..operators.ranks import in_locale, ordered
 from ..sources import files, reports
 from .registry import pairs, query, r
 from .summaries import boxes
@@ -99,6 +99,16 @@ def t02_sorted_poles(t):
     return ordered(s, [F.col("m").desc_nulls_last(), "name", "pole_num"]).select("pole_id", "m", (F.col("idx") + 1).cast("int").alias("place"))
 
 
+NAMES = ("Zebra", "árvore", "Arvore", "êxito", "Exito", "ação", "acao", "Ábaco", "ágil", "óleo")
+
+
+@query(f", a as (select pole_num, [{', '.join(repr(n) for n in NAMES)}][cast(pole_num % 10 as int) + 1] as name from fx_pole), b as (select distinct name, row_number() over (order by name collate pt) as i from (select distinct name from a)), n as (select name, count(*) as n from a group by 1) select pole_num, name, cast((select coalesce(sum(m.n), 0) from b c join n m using (name) where c.i < (select i from b d where d.name = a.name)) + row_number() over (partition by name order by pole_num) - 1 as bigint) as place from a")
+def t05_names_in_order(t):
+    """Names sorted as readers of Portuguese expect: accents and case matter only between names that are else the same; ties by number."""
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("pole_num") % 10 + 1).cast("int"))
+    return in_locale(t.poles.select("pole_num", name.alias("name")), "name", ["pole_num"])
+
+
 @query(", a as (select store_id, u.state, case when store_id % 50 = 0 then null else store_id % 900 end as n from fx_store s join fx_unit u using (unit_id)) select state, count(n) as stores, coalesce(sum(n), 0) as total from a where n is not null group by 1")
 def s09_sql_views(t):
     views = {"geoterra_store": t.stores, "geoterra_unit": t.units.select("unit_id", "state")}

@@ -215,7 +215,7 @@ def j12_excluded_anti(t):
 
 @query(", a as (select 1) select unit_id, pole_id, round(km, 4) as km from fx_near")
 def j15_nearest_pole(t):
-    return spatial.nearest(t.units, t.poles).select("unit_id", "pole_id", r("km").alias("km"))
+    return spatial.nearest(t.places, t.poles).select("unit_id", "pole_id", r("km").alias("km"))
 
 
 @query(", a as (select 1) select unit_id, pole_id, round(km, 4) as km from fx_pro")
@@ -231,9 +231,9 @@ def j17_range_join(t):
 @query(f", a as (select u.unit_id, p.pole_id, {hav('u', 'p')} as km, row_number() over (partition by u.unit_id order by coalesce(o.pole_id = p.pole_id, false) desc, {hav('u', 'p')}, p.pole_num) as rank from fx_unit u join fx_pole p on u.area = p.area left join fx_own o on o.unit_id = u.unit_id) select unit_id, pole_id, cast(rank as integer) as rank, round(km, 4) as km from a where rank <= 4")
 def j18_topk_shortlist(t):
     own = portfolio.dominant(t.counts).select(F.col("unit_id").alias("o_unit"), F.col("pole_id").alias("o_pole"))
-    near = spatial.nearest_k(t.units, t.poles, 4, ["area"]).select("unit_id", "pole_id", "km")
+    near = spatial.nearest_k(t.places, t.poles, 4, ["area"]).select("unit_id", "pole_id", "km")
     # The own pole stands first if it is of the unit's area, among the four nearest or not.
-    mine = own.join(t.poles.select("pole_id", "pole_num", F.col("area").alias("p_area"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), F.col("o_pole") == F.col("pole_id")).join(t.units.select("unit_id", "area", "lat", "lon"), F.col("o_unit") == F.col("unit_id")).filter("area = p_area")
+    mine = own.join(t.poles.select("pole_id", "pole_num", F.col("area").alias("p_area"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), F.col("o_pole") == F.col("pole_id")).join(t.places, F.col("o_unit") == F.col("unit_id")).filter("area = p_area")
     mine = mine.select("unit_id", "pole_id", "pole_num", geo.haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")).alias("km"), F.lit(True).alias("is_own"))
     rest = near.join(mine.select("unit_id", "pole_id"), ["unit_id", "pole_id"], "left_anti").join(t.poles.select("pole_id", "pole_num"), "pole_id")
     p = mine.unionByName(rest.withColumn("is_own", F.lit(False)))
@@ -479,10 +479,24 @@ def r09_fragmentation(t):
 
 
 # --- Facilities ----------------------------------------------------------------------------------------------------
-@query()
-def f02_greedy_sites(t):
+def _far_sql(count: int, first: str) -> str:
+    """Steps of the choice of far sites, unrolled: the best of each area by relevance times distance to what is chosen."""
+    steps = [f", tot as (select sum(population) as p from fx_unit), r0 as (select area, unit_id, population, population / p as rel, lat, lon, cast(null as double) as near, cast(null as integer) as step from fx_unit cross join tot){first}"]
+    dist = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - r.lon) / 2), 2))))"
+    for i in range(1, count + 1):
+        steps.append(f", b{i} as (select area, unit_id, lat, lon from (select *, row_number() over (partition by area order by round(rel * coalesce(near, 1), 12) desc, population desc, unit_id) as k from r{i - 1} where step is null) where k = 1)")
+        steps.append(f", r{i} as (select r.area, r.unit_id, population, rel, r.lat, r.lon, least(near, {dist}) as near, case when r.unit_id = b.unit_id then {i} else step end as step from r{i - 1} r left join b{i} b on r.area = b.area)")
+    return "".join(steps) + f" select area, unit_id, cast(step as bigint) as step from r{count} where step is not null"
+
+
+def _relevant(t: Territory) -> DataFrame:
     total = t.units.agg(F.sum("population").alias("p"))
-    return solvers.greedy_sites(t.units.crossJoin(F.broadcast(total)).withColumn("relevance", F.col("population") / F.col("p")), "area", 5)
+    return t.units.crossJoin(F.broadcast(total)).withColumn("relevance", F.col("population") / F.col("p"))
+
+
+@query(_far_sql(5, ""))
+def f02_greedy_sites(t):
+    return solvers.greedy_sites(_relevant(t), "area", 5)
 
 
 @query(f", a as (select p.pole_id, a.unit_id, a.population, sum({hav('a', 'b')} * b.population) as cost from fx_pro p join fx_unit a using (unit_id) join fx_pro q on q.pole_id = p.pole_id join fx_unit b on b.unit_id = q.unit_id group by 1, 2, 3), r as (select *, row_number() over (partition by pole_id order by round(cost, 3), population desc, unit_id) as r from a) select pole_id, unit_id from r where r = 1")
@@ -526,6 +540,32 @@ def f06_retained_poles(t):
     return portfolio.retained(t.poles.join(load, "pole_id", "left"), targets)
 
 
+@query(_far_sql(3, ", seed as (select unit_id, area, lat, lon from (select *, row_number() over (partition by state order by population desc, unit_id) as k from fx_unit) where k = 1), rs as (select r.area, r.unit_id, any_value(population) as population, any_value(rel) as rel, any_value(r.lat) as lat, any_value(r.lon) as lon, min(" + hav("r", "b") + ") as near, case when bool_or(r.unit_id = b.unit_id) then 0 end as step from r0 r join seed b on r.area = b.area group by 1, 2)").replace("from r0 where", "from rs where").replace("from r0 r left", "from rs r left"))
+def f02_sites_from_seeds(t):
+    """One seed in each state stands first, three more sites for each area follow."""
+    seeds = t.units.groupBy("state").agg(F.min_by("unit_id", F.struct(-F.col("population"), "unit_id")).alias("unit_id"))
+    return solvers.greedy_sites(_relevant(t), "area", 3, seeds)
+
+
+@query(", a as (select pole_id, count(*) as units, sum(stores) as stores, round(avg(km), 4) as km from fx_cur join fx_unit using (unit_id) where unit_id % 3 = 0 group by 1) select pole_id, coalesce(units, 0) as units, cast(coalesce(stores, 0) as bigint) as stores, km, units is null as is_empty from fx_pole left join a using (pole_id)")
+def a04_poles_without_units(t):
+    """Metrics of every pole, with zeros and no distance where it has no units (here of every third)."""
+    held = rows(t, "current").filter("unit_id % 3 = 0").groupBy("pole_id").agg(F.count("*").alias("units"), F.sum("stores").alias("stores"), r(F.avg("km")).alias("km"))
+    all_ = t.poles.select("pole_id").join(held, "pole_id", "left").withColumn("is_empty", F.col("units").isNull())
+    return all_.select("pole_id", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("stores", F.lit(0)).cast("long").alias("stores"), "km", "is_empty")
+
+
+@query(", c as (select distinct state, cast(floor(lon) as bigint) as x, cast(floor(lat) as bigint) as y from fx_unit) select distinct a.state as a, b.state as b from c a join c b on a.state < b.state and abs(a.x - b.x) + abs(a.y - b.y) = 1")
+def r02_state_adjacency(t):
+    """States with municipalities (cells of a degree) that share a side."""
+    cells_ = t.units.select("state", F.floor("lon").alias("x"), F.floor("lat").alias("y")).distinct()
+    corner = lambda i, j: F.struct((F.col("x") + i).cast("double").alias("lon"), (F.col("y") + j).cast("double").alias("lat"))
+    mesh_ = cells_.select(F.concat_ws("/", "state", "x", "y").alias("k"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    state = lambda c: F.split(c, "/")[0]
+    pairs_ = spatial.shared_boundary(mesh_, "k").select(state("a").alias("a"), state("b").alias("b")).filter("a <> b")
+    return pairs_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 # --- Geometry ------------------------------------------------------------------------------------------------------
 CELL_SQL = ", cell as (select distinct city_code, raw_population as x, cast(cast(district_code as bigint) % 20 as double) as y from fx_district)"
 

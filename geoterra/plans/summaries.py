@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import values as v
-from ..operators import contracts, portfolio, quadtree, spatial, stats, summaries
+from ..operators import boxtree, contracts, portfolio, spatial, stats, summaries
 from ..operators.ranks import ordered
 from .registry import km, pairs, query, r, rows
 from .views import Territory, hav
@@ -114,8 +114,8 @@ def j21_overlapping_boxes(t):
 @query(", a as (select 1) select p.pole_id, exists (select 1 from fx_pole o where o.pole_num % 5 = 0 and o.area = p.area and o.pole_num <> p.pole_num and pow(o.lon - p.lon, 2) + pow(o.lat - p.lat, 2) <= 4) as hidden from fx_pole p")
 def j24_overlap_flag(t):
     box = (-75.0, -35.0, 45.0)
-    spot = lambda df: quadtree.in_plane(df.select("pole_id", "area", "lat", "lon"), "lon", "lat", box)
-    met = quadtree.candidates(spot(t.poles), spot(t.poles.filter("pole_num % 5 = 0")), ["area"], reach=2 / box[2] * (1 + 1e-9))
+    spot = lambda df: boxtree.in_plane(df.select("pole_id", "area", "lat", "lon"), "lon", "lat", box)
+    met = boxtree.candidates(spot(t.poles), spot(t.poles.filter("pole_num % 5 = 0")), ["area"], reach=2 / box[2] * (1 + 1e-9))
     near = (F.col("a.pole_id") != F.col("b.pole_id")) & (F.pow(F.col("a.lon") - F.col("b.lon"), 2) + F.pow(F.col("a.lat") - F.col("b.lat"), 2) <= 4)
     covered = met.filter(near).select("a.pole_id", F.lit(True).alias("hidden")).distinct()
     return t.poles.select("pole_id").join(covered, "pole_id", "left").na.fill(False)

@@ -46,22 +46,17 @@ def test_nearest_in_a_crowd(spark, k):
 
 
 def test_no_key_holds_a_crowd(spark):
-    """Nine tenths of both sides within a few hundred metres: no leaf and no block has more rows than its bound, and a block meets few poles."""
-    from geoterra.operators import quadtree
+    """Nine tenths of both sides within a few hundred metres, many in one place: runs have their size, and no unit meets more leaves than the bound."""
+    from geoterra.operators import boxtree
 
     rows = spark.createDataFrame([(i, a, b) for i, a, b in crowd(4000, 3)], "id long, lat double, lon double")
-    p = quadtree.on_sphere(rows.filter("id % 7 <> 0"))
-    cells = quadtree.tree(p, [], 16)
-    held = quadtree.placed(p, cells, [], 16)
-    assert held.count() == p.count()
-    assert held.groupBy("_leaf", "_part").count().agg(F.max("count")).first()[0] <= 16
-    everything = quadtree.on_sphere(rows)
-    own = quadtree.placed(everything, quadtree.tree(everything, [], 64), [], 64)
-    assert own.count() == 4000
-    # What stands in one place is dealt by a hash, so about evenly.
-    assert own.groupBy("_leaf", "_part").count().agg(F.max("count")).first()[0] <= 128
-    pairs = quadtree.candidates(everything, p, [], k=1, block=64)
-    per = pairs.groupBy("a.id").count().agg(F.max("count"), F.count("*")).first()
+    p = boxtree.on_sphere(rows.filter("id % 7 <> 0"))
+    held = boxtree.runs(p, [], 4)
+    assert held.count() == p.count() and held.groupBy("part", "run").count().agg(F.max("count")).first()[0] == 16
+    cells, top = boxtree.tree(held, [])
+    assert cells.filter(F.col("level") == top).count() == 1 and cells.filter("level = 0").agg(F.sum("n")).first()[0] == p.count()
+    pairs = boxtree.candidates(boxtree.on_sphere(rows), p, [], k=1, block=6, leaf=4, most=48)
+    per = pairs.agg(F.max(F.size("b")), F.count("*")).first()
     assert per[0] <= 48 * 16 and per[1] == 4000
 
 
