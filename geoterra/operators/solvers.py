@@ -141,28 +141,40 @@ def closest(current: DataFrame, proposed: DataFrame, group: str) -> DataFrame:
 
 
 def grown(units: DataFrame, edges: DataFrame, group: str, penalty_km: float = 120.0) -> DataFrame:
-    """(group, unit_id, pole_unit): contiguous growth from seats (``seat`` true) by a queue of distance plus a penalty for load, in each group."""
+    """(group, unit_id, pole_unit): contiguous growth from seats (``seat`` true) of units (unit_id, seat, load, lat, lon) in each group; a unit that no seat reaches has none.
+
+    A unit next to a cluster is offered at its own distance to the seat plus ``penalty_km`` for each time that the cluster's load with the unit's exceeds an even share, as things
+    stand when it is offered. The least offer is taken, ties by unit, then seat. Each step depends on all before it, so a group is grown in one task, from its units and edges alone.
+    """
     import heapq
 
     def run(key: tuple, u: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list] = {}
-        for s, d, km in zip(e["src"], e["dst"], e["km"], strict=True):
-            near.setdefault(s, []).append((d, km))
-        load = dict(zip(u["unit_id"], u["load"], strict=True))
+        beside: dict[int, list] = {}
+        for s, d in zip(e["src"], e["dst"], strict=True):
+            beside.setdefault(s, []).append(d)
+        load = dict(zip(u["unit_id"], u["load"].astype(float), strict=True))
+        spot = u.set_index("unit_id")
         seats = sorted(u.loc[u["seat"], "unit_id"])
-        total = max(sum(load.values()) / max(len(seats), 1), 1e-9)
-        owner = dict.fromkeys(load)
-        carried = {s: 0.0 for s in seats}
-        queue = [(0.0, s, s, 0.0) for s in seats]
-        while queue:
-            _, seat, unit, km = heapq.heappop(queue)
-            if owner[unit] is not None:
-                continue
-            owner[unit] = seat
-            carried[seat] += load[unit]
-            for to, length in near.get(unit, ()):
+        share = max(sum(load.values()) / max(len(seats), 1), 1e-9)
+        away = {s: dict(zip(u["unit_id"], distances(u, spot.loc[[s]])[:, 0], strict=True)) for s in seats}
+        owner = dict.fromkeys(load) | {s: s for s in seats}
+        carried = {s: load[s] for s in seats}
+        queue: list[tuple] = []
+
+        def offers(unit: int, seat: int) -> None:
+            for to in beside.get(unit, ()):
                 if to in owner and owner[to] is None:
-                    heapq.heappush(queue, (km + length + penalty_km * carried[seat] / total, seat, to, km + length))
+                    heapq.heappush(queue, (away[seat][to] + penalty_km * max((carried[seat] + load[to]) / share - 1, 0.0), to, seat))
+
+        for s in seats:
+            offers(s, s)
+        while queue:
+            _, unit, seat = heapq.heappop(queue)
+            if owner[unit] is None:
+                owner[unit] = seat
+                carried[seat] += load[unit]
+                offers(unit, seat)
         return pd.DataFrame({group: [key[0]] * len(owner), "unit_id": list(owner), "pole_unit": pd.array(list(owner.values()), "Int64")})
 
-    return units.select(group, "unit_id", "seat", "load").groupBy(group).cogroup(fresh(edges.select(group, "src", "dst", "km")).groupBy(group)).applyInPandas(run, f"{group} string, unit_id long, pole_unit long")
+    columns = [group, "unit_id", "seat", "load", "lat", "lon"]
+    return units.select(columns).groupBy(group).cogroup(fresh(edges.select(group, "src", "dst")).groupBy(group)).applyInPandas(run, f"{group} string, unit_id long, pole_unit long")
