@@ -40,18 +40,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def voronoi(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest paths from several roots: (unit_id, root, parent, km), the smallest (km, root, parent) for each reached unit.
 
-    ``edges`` (src, dst, km) must have positive lengths: coincident points would make the order of settling matter.
+    ``edges`` (src, dst, km) must have positive lengths: coincident points would make the order of settling matter. Each round relaxes the edges of
+    the units that the round before changed, so the rows offered follow the frontier.
     """
-    state = _checkpointed(roots.select("unit_id", F.col("unit_id").alias("root"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("km")))
+    state = _checkpointed(roots.select("unit_id", F.col("unit_id").alias("root"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("km"), F.lit(True).alias("new")))
     fixed = roots.select("unit_id", F.lit(True).alias("is_root"))
     while True:
-        offered = edges.join(state.select(F.col("unit_id").alias("src"), "root", F.col("km").alias("base")), "src").select(F.col("dst").alias("unit_id"), "root", F.col("src").alias("parent"), (F.col("base") + F.col("km")).alias("km"))
+        # Only units that changed in the last round offer: what the others offer is known.
+        frontier = state.filter("new").select(F.col("unit_id").alias("src"), "root", F.col("km").alias("base"))
+        offered = edges.join(frontier, "src").select(F.col("dst").alias("unit_id"), "root", F.col("src").alias("parent"), (F.col("base") + F.col("km")).alias("km"))
         offered = offered.join(fixed, "unit_id", "left_anti")
-        best = state.union(offered).groupBy("unit_id").agg(F.min(F.struct("km", "root", F.coalesce("parent", F.lit(-1)).alias("parent"))).alias("b"))
-        after = _checkpointed(best.select("unit_id", "b.root", F.nullif("b.parent", F.lit(-1)).alias("parent"), "b.km"))
-        if after.join(state, ["unit_id", "root", "km"], "left_anti").isEmpty():
-            return after
-        state = after
+        way = lambda: F.struct("km", "root", F.coalesce("parent", F.lit(-1)).alias("parent"))
+        held = state.select("unit_id", way().alias("w"), F.struct("km", "root").alias("was")).unionByName(offered.select("unit_id", way().alias("w"), F.lit(None).cast("struct<km:double,root:bigint>").alias("was")))
+        best = held.groupBy("unit_id").agg(F.min("w").alias("b"), F.first("was", ignorenulls=True).alias("was"))
+        new = ~F.coalesce(F.struct("b.km", "b.root").eqNullSafe(F.col("was")), F.lit(False))
+        state = _checkpointed(best.select("unit_id", "b.root", F.nullif("b.parent", F.lit(-1)).alias("parent"), "b.km", new.alias("new")))
+        if state.filter("new").isEmpty():
+            return state.drop("new")
 
 
 def fragmentation(assigned: DataFrame, edges: DataFrame) -> DataFrame:

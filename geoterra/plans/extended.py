@@ -303,6 +303,15 @@ def f03_p_median(t):
     return siting.p_median(cost, "area", 3).join(few.select("area", "candidate"), ["area", "candidate"])
 
 
+@query()
+def f17_certified_gap(t):
+    """How far the three greedy sites of each area are from the best possible, at most."""
+    cost = pairs(t, "area").select(F.col("u.area").alias("area"), "unit_id", F.col("p.pole_num").alias("candidate"), _km().alias("cost"), (F.col("u.population") / 1e6).alias("weight"), F.lit(0.0).alias("opening"))
+    sites = siting.p_median(cost, "area", 3)
+    near = cost.join(sites.select("area", "candidate"), ["area", "candidate"]).groupBy("area", "unit_id").agg(F.min(F.struct("cost", "candidate")).alias("b")).select("area", "unit_id", "b.candidate")
+    return siting.certified(cost, "area", 3, near, rounds=12)
+
+
 def _km():
     from ..functions import geo
 

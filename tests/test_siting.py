@@ -57,3 +57,53 @@ def test_far_sites(spark):
         given = None if seeds is None else spark.createDataFrame([(s,) for s in seeds], "unit_id long")
         assert {tuple(r) for r in greedy_sites(units, "g", 4, given).collect()} == want
     assert greedy_sites(units.limit(0), "g", 2).count() == 0
+
+
+def test_certified_gap(spark):
+    """The bound lies under the best of all choices, and that under the value; with and without capacity."""
+    import itertools
+
+    import pytest
+
+    from geoterra.operators.siting import certified
+
+    rng, rows, best, assigned = random.Random(4), [], {}, []
+    for g in ("a", "b"):
+        cost = {(u, c): rng.uniform(1, 30) for u in range(8) for c in range(5)}
+        load = {u: rng.choice([1.0, 2.0, 3.0]) for u in range(8)}
+        rows += [(g, u, c, cost[u, c], 2.0, load[u]) for u, c in cost]
+        for cap in (None, 0.6 * sum(load.values())):
+            options = [(sum(2 * cost[u, c] for u, c in enumerate(way)), way) for two in itertools.combinations(range(5), 2) for way in itertools.product(two, repeat=8) if cap is None or all(sum(load[u] for u in range(8) if way[u] == c) <= cap for c in two)]
+            best[g, cap is None] = min(options)[0]
+            if cap:
+                assigned += [(g, u, c) for u, c in enumerate(sorted(options)[5][1])]
+                limit = cap
+        rows += [(g, 0, 9, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, unit_id long, candidate long, cost double, weight double, load double")
+    way = spark.createDataFrame(assigned, "g string, unit_id long, candidate long")
+    for cap in (None, limit):
+        for r in certified(df.filter("g = 'b'"), "g", 2, way, cap, rounds=8).collect():
+            assert r.bound <= best[r.g, cap is None] + 1e-6 and best[r.g, False] <= r.value + 1e-6
+            assert r.bound >= 0.6 * best[r.g, cap is None] and r.gap == pytest.approx((r.value - r.bound) / r.value)
+    short = certified(df, "g", 2, way.filter("unit_id > 0"), rounds=1).collect()
+    assert len(short) == 2 and all(r.value is None and r.gap is None for r in short)
+
+
+def test_paths_by_frontier(spark):
+    """Shortest paths with ties against a plain relaxation of every edge."""
+    from geoterra.operators.graph import voronoi
+
+    rng = random.Random(12)
+    lengths = {}
+    for _ in range(120):
+        a, b = rng.sample(range(40), 2)
+        lengths[a, b] = lengths[b, a] = float(rng.randint(1, 6))
+    roots = [0, 5, 6]
+    state = {r: (0.0, r, -1) for r in roots}
+    for _ in range(60):
+        for (a, b), km_ in lengths.items():
+            if a in state and b not in roots:
+                state[b] = min(state.get(b, (9e9, 0, 0)), (state[a][0] + km_, state[a][1], a))
+    edges = spark.createDataFrame([(a, b, k) for (a, b), k in lengths.items()], "src long, dst long, km double")
+    got = voronoi(spark.createDataFrame([(r,) for r in roots], "unit_id long"), edges)
+    assert {r.unit_id: (r.km, r.root) for r in got.collect()} == {u: s[:2] for u, s in state.items()}
