@@ -82,44 +82,11 @@ def _inside(assigned: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cut_units(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pole_id, unit_id): units whose removal leaves more parts of their portfolio, found by a depth-first search in each portfolio."""
-    import pandas as pd
+    """(pole_id, unit_id): units whose removal leaves more parts of their portfolio. A unit lies in one portfolio at most; those in none (null) have no row."""
+    from .blocks import cut_points
 
-    from .solvers import fresh
-
-    def run(key: tuple, u: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {i: [] for i in sorted(u["unit_id"])}
-        for a, b in zip(e["src"], e["dst"], strict=True):
-            near[a].append(b)
-        order: dict[int, int] = {}
-        low: dict[int, int] = {}
-        cuts: set[int] = set()
-        for root in near:
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            stack, branches = [(root, None, iter(near[root]))], 0
-            while stack:
-                at, above, rest = stack[-1]
-                to = next(rest, None)
-                if to is None:
-                    stack.pop()
-                    if above is not None:
-                        low[above] = min(low[above], low[at])
-                        if above == root:
-                            branches += 1
-                        elif low[at] >= order[above]:
-                            cuts.add(above)
-                elif to not in order:
-                    order[to] = low[to] = len(order)
-                    stack.append((to, at, iter(near[to])))
-                elif to != above:
-                    low[at] = min(low[at], order[to])
-            if branches > 1:
-                cuts.add(root)
-        return pd.DataFrame({"pole_id": pd.Series([key[0]] * len(cuts), dtype=object), "unit_id": pd.Series(sorted(cuts), dtype="int64")})
-
-    return assigned.select("unit_id", "pole_id").groupBy("pole_id").cogroup(fresh(_inside(assigned, edges)).groupBy("pole_id")).applyInPandas(run, "pole_id string, unit_id long")
+    served = assigned.select("unit_id", "pole_id").dropna()
+    return cut_points(served, _inside(served, edges)).join(served, "unit_id").select("pole_id", "unit_id")
 
 
 def reached(places: DataFrame, centres: DataFrame, radius_km: float) -> DataFrame:
