@@ -38,13 +38,12 @@ class Levels:
         return self.spark.read.schema(StructType([*self.schema, StructField("level", IntegerType())])).parquet(self.path)
 
 
-def forest(nodes: DataFrame, edges: DataFrame) -> tuple[Levels, int]:
+def forest(part: DataFrame, edges: DataFrame) -> tuple[Levels, int]:
     """A breadth-first forest (unit_id, parent) by levels, and how many there are: each part's smallest unit is its root, a unit's parent its smallest neighbour one level up.
 
-    ``edges`` (src, dst) stand in both directions. There is one round for each level, so as many as the longest of the shortest paths from a root.
+    ``part`` (unit_id, component) are its parts, ``edges`` (src, dst) stand in both directions. There is one round for each level, so as many as the longest of the shortest paths from a root.
     """
-    part = components(nodes, edges)
-    out = Levels(nodes)
+    out = Levels(part)
     at = out.put(0, part.filter("unit_id = component").select("unit_id", F.lit(None).cast(part.schema["unit_id"].dataType).alias("parent")))
     before, depth = at.limit(0), 0
     while not at.isEmpty():
@@ -69,18 +68,18 @@ def _upward(levels: Levels, depth: int, own: DataFrame, of: dict[str, str]) -> D
     return out.all().drop("level")
 
 
-def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def blocks(nodes: DataFrame, edges: DataFrame, part: DataFrame | None = None) -> DataFrame:
     """(unit_id, parent, block): the edges of a breadth-first forest, each as its lower end, and the block that it lies in (named by its smallest lower end).
 
     ``nodes`` has (unit_id), ``edges`` (src, dst) in both directions; repeated edges and loops change nothing, edges to units that are not in ``nodes`` are left
-    out, as are null units. Units alone have no row. The forest takes a round for each of its levels, three times over.
+    out, as are null units. Units alone have no row. ``part`` may hand over what ``components`` of the same graph gives. The forest takes a round for each of its levels, three times over.
     """
     units = _checkpointed(nodes.select("unit_id").dropna().distinct())
     both = edges.select("src", "dst").filter("src <> dst").distinct().join(units.select(F.col("unit_id").alias("src")), "src", "left_semi").join(units.select(F.col("unit_id").alias("dst")), "dst", "left_semi")
     both = _checkpointed(both.select("src", "dst"))
     if units.isEmpty():
         return units.select("unit_id", F.col("unit_id").alias("parent"), F.col("unit_id").alias("block"))
-    tree, depth = forest(units, both)
+    tree, depth = forest(components(units, both) if part is None else part, both)
     size = _upward(tree, depth, units.withColumn("size", F.lit(1).cast("long")), {"size": "sum"})
     # Siblings follow each other by id: what lies under the earlier ones comes before. Dealt by ranges, since a hub may have any number.
     placed = _checkpointed(ordered(size, ["unit_id"], ["parent"], sums={"upto": "size"}).select("unit_id", "parent", "size", (F.col("upto") - F.col("size") + 1).alias("step")))
@@ -105,8 +104,8 @@ def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(lower, _checkpointed(joined)).join(lower, "unit_id").select("unit_id", "parent", F.col("component").alias("block"))
 
 
-def cut_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def cut_points(nodes: DataFrame, edges: DataFrame, part: DataFrame | None = None) -> DataFrame:
     """(unit_id): units of more than one block, whose removal leaves more parts. Nulls, repeats and loops as in ``blocks``."""
-    found = blocks(nodes, edges)
+    found = _checkpointed(blocks(nodes, edges, part))
     ends = found.select("unit_id", "block").union(found.select(F.col("parent").alias("unit_id"), "block"))
     return ends.groupBy("unit_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a <> b").select("unit_id")
