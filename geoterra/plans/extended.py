@@ -327,6 +327,33 @@ def f05_metropolitan_seeds(t):
     return siting.metropolitan_seeds(cost, wanted, 40)[0]
 
 
+def _requirement(t):
+    """States stand for cities, stores for load, poles for candidates."""
+    from ..operators import seeds
+
+    whole = Window.partitionBy("city")
+    units = t.units.select("unit_id", F.col("state").alias("city"), F.col("stores").cast("double").alias("load"), "population").withColumn("population", F.sum("population").over(whole))
+    share = (units.agg(F.sum("load")).first()[0] or 0.0) / max(t.poles.count(), 1)
+    return seeds.requirements(units, t.poles.select(F.col("pole_id").alias("candidate"), F.col("state").alias("city")), share, 20, 8.5e7, 0.9)
+
+
+@query(", u as (select state as city, sum(stores) as load, sum(population) as population, count(*) as units from fx_unit group by 1), c as (select state as city, count(*) as n from fx_pole group by 1), t as (select (select sum(stores) from fx_unit) / (select count(*) from fx_pole) as share), j as (select u.*, coalesce(n, 0) as candidates from u left join c using (city) where population >= 8.5e7) select city, units, candidates, least(units, 20) as minimum, greatest(units // 20, 1) as most_with_minimum, least(units, candidates) as most, cast(least(greatest(ceil(load / (share * 0.9)), 1), candidates, greatest(units // 20, 1)) as bigint) as seats, case when units < 20 then 'LIMITADO_A_1_POLO_DISTRITO_OFICIAL_UNICO' else 'GRANULARIDADE_SUFICIENTE' end as status from j cross join t")
+def f05_requirements(t):
+    return _requirement(t).select("city", "units", "candidates", F.col("minimum").cast("long").alias("minimum"), F.col("most_with_minimum").cast("long").alias("most_with_minimum"), "most", F.col("seats").cast("long").alias("seats"), "status")
+
+
+@query()
+def f05_anchored_seeds(t):
+    """Every state that wants seats gets them among its own units, 40 in all with the anchors, which are each area's most populous unit. Units are served over at most 300 km, across states too."""
+    from ..operators import seeds, spatial
+
+    u = t.units.select("unit_id", "area", "state", "population", "lat", "lon")
+    near = spatial.within_km(u, u, 300.0, ["area"]).select(F.col("a.state").alias("city"), F.col("a.unit_id").alias("unit_id"), F.col("b.unit_id").alias("candidate"), F.col("b.state").alias("home"), F.col("km").alias("cost"), (F.col("a.population") / 1e6).alias("weight"), F.lit(0.0).alias("opening"))
+    anchors = u.groupBy("area").agg(F.min_by(F.struct("unit_id", "state"), F.struct(-F.col("population"), "unit_id")).alias("b")).select(F.col("b.unit_id").alias("candidate"), F.col("b.state").alias("city"))
+    want = u.groupBy(F.col("state").alias("city")).agg(F.sum("population").alias("load"), F.sum("population").alias("population"), F.ceil(F.count("*") / 20).cast("int").alias("seats"))
+    return seeds.seeds(near, want, 40, anchors)[0]
+
+
 @query()
 def f10_refined_seats(t):
     """Per state the units are sites for each other; the two most populous begin as seats."""

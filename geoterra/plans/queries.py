@@ -506,14 +506,21 @@ def f09_weighted_medoid(t):
     return cost.groupBy("pole_id").agg(F.min_by("unit_id", F.struct(F.round("cost", 3), -F.col("population"), "unit_id")).alias("unit_id"))
 
 
+def _moved(t: Territory) -> DataFrame:
+    """The poles with a portfolio, each at the medoid of it."""
+    seat = f09_weighted_medoid(t).join(t.units.select("unit_id", "lat", "lon"), "unit_id")
+    return t.poles.select("pole_id", "pole_num", "area").join(seat.select("pole_id", "lat", "lon"), "pole_id")
+
+
 @query()
 def f14_assignment(t):
-    return solvers.matched(t.poles.filter("pole_num % 3 = 0"), t.poles, "area").select("area", "current", "proposed", r("km").alias("km"))
+    """All poles to the places that all poles would move to."""
+    return solvers.matched(t.poles, _moved(t), "area").select("area", "current", "proposed", r("km").alias("km"))
 
 
 @query()
 def f15_bottleneck(t):
-    return solvers.matched(t.poles.filter("pole_num % 3 = 0"), t.poles.filter("pole_num % 3 <> 0"), "area", "max").select("area", "current", "proposed", r("km").alias("km"))
+    return solvers.matched(t.poles, _moved(t), "area", "max").select("area", "current", "proposed", r("km").alias("km"))
 
 
 @query(", a as (select 1) select store_id, p.pole_id, round(p.km, 4) as km from fx_store s join fx_pro p using (unit_id)")
