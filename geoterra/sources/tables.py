@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
@@ -51,10 +51,28 @@ def scenario_units(document: DataFrame) -> DataFrame:
     return rows.select("position", F.col("u.id").alias("source_id"), F.col("u.type").alias("kind"), F.col("u.municipalityCode").alias("municipality_code"), F.col("u.districtCode").alias("district_code"), F.coalesce("u.name", "u.districtName", "u.municipalityName").alias("name"), F.col("u.uf").alias("state"), F.col("u.poleId").alias("pole_id"), "u.population", "u.stores", F.coalesce("u.lat", "u.latitude").alias("lat"), F.coalesce("u.lon", "u.longitude").alias("lon"))
 
 
+def json_number(c: str | Column) -> Column:
+    """A double as JSON text: plain digits from 1e-4 up to 1e16, else with an exponent as SQL engines and Python write it. Null is null, what is no number is quoted."""
+    x = F.col(c) if isinstance(c, str) else c
+    text = x.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "e+$1"), "E-", "e-"), r"(?<=[+-])(\d)$", "0$1")
+    size = F.abs(x)
+    return F.coalesce(F.when(F.isnan(x) | (size == float("inf")), F.concat(F.lit('"'), text, F.lit('"'))).when(size == 0, text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(power), F.lit("null"))
+
+
+def feature_text(kind: str, coordinates: Column, properties: list[str]) -> Column:
+    """GeoJSON text of a row's feature; ``coordinates`` is JSON text. Nulls are left out of the properties."""
+    return F.concat(F.lit(f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":'), coordinates, F.lit('},"properties":'), F.to_json(F.struct(*properties)), F.lit("}")).alias("feature")
+
+
+def position_text(lon: str | Column, lat: str | Column) -> Column:
+    return F.concat(F.lit("["), json_number(lon), F.lit(","), json_number(lat), F.lit("]"))
+
+
 def point_features(df: DataFrame, properties: list[str]) -> DataFrame:
     """One GeoJSON feature text a row; nulls are left out of the properties."""
-    geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+    return df.select(feature_text("Point", position_text("lon", "lat"), properties))
 
 
 def spreadsheet_rows(df: DataFrame) -> DataFrame:
