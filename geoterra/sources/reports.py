@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import spreadsheet_rows
+from .tables import feature_text, position_text, spreadsheet_rows
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
@@ -22,16 +22,15 @@ def markdown_head(columns: list[str]) -> list[str]:
 
 def line_features(df: DataFrame, properties: list[str]) -> DataFrame:
     """One GeoJSON line text a row, from (lat, lon) to (to_lat, to_lon); rows that lack a coordinate are left out."""
-    geometry = F.struct(F.lit("LineString").alias("type"), F.array(F.array("lon", "lat"), F.array("to_lon", "to_lat")).alias("coordinates"))
-    return df.dropna(subset=["lat", "lon", "to_lat", "to_lon"]).select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+    ends = F.concat(F.lit("["), position_text("lon", "lat"), F.lit(","), position_text("to_lon", "to_lat"), F.lit("]"))
+    return df.dropna(subset=["lat", "lon", "to_lat", "to_lon"]).select(feature_text("LineString", ends, properties))
 
 
 def polygon_features(df: DataFrame, properties: list[str]) -> DataFrame:
     """One GeoJSON polygon text a row from its ring, closed if it is not."""
-    points = F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))
-    closed = F.when(F.element_at(points, 1) == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))
-    return df.filter("size(ring) > 0").select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+    points = F.transform("ring", lambda p: position_text(p["lon"], p["lat"]))
+    closed = F.when(F.element_at("ring", 1) == F.element_at("ring", -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
+    return df.filter("size(ring) > 0").select(feature_text("Polygon", F.concat(F.lit("[["), F.concat_ws(",", closed), F.lit("]]")), properties))
 
 
 def pole_documents(poles: DataFrame, units: DataFrame) -> DataFrame:

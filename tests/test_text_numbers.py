@@ -16,6 +16,7 @@ def test_coordinates_are_written_as_duckdb_writes_them(spark):
 
 
 def test_features_near_the_equator(spark):
+    from geoterra.sources.reports import line_features, polygon_features
     from geoterra.sources.tables import point_features
 
     x = 9.999999999976694e-4
@@ -23,3 +24,7 @@ def test_features_near_the_equator(spark):
     head, tail = '{"type":"Feature","geometry":{"type":', '},"properties":{"id":"a"}}'
     points = [r.feature for r in point_features(df, ["id"]).collect()]
     assert points == [head + '"Point","coordinates":[0.0009999999999976694,-0.0009999999999976694]' + tail, head + '"Point","coordinates":[null,2.0]' + tail.replace('"a"', '"b"')]
+    assert [r.feature for r in line_features(df, ["id"]).collect()] == [head + '"LineString","coordinates":[[0.0009999999999976694,-0.0009999999999976694],[1.5,0.0]]' + tail]
+    ring = df.filter("id = 'a'").select("id", F.array(F.struct("lon", "lat"), F.struct(F.lit(1.0).alias("lon"), F.lit(0.0).alias("lat")), F.struct(F.lit(1.0).alias("lon"), F.lit(1.0).alias("lat"))).alias("ring"))
+    p = "[0.0009999999999976694,-0.0009999999999976694]"
+    assert [r.feature for r in polygon_features(ring, ["id"]).collect()] == [head + f'"Polygon","coordinates":[[{p},[1.0,0.0],[1.0,1.0],{p}]]' + tail]
