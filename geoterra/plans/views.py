@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import between_tables
+from ..functions.geo import haversine
 from ..operators.graph import _checkpointed, near_components
 from ..operators.portfolio import dominant
 from ..operators.spatial import nearest, within_km
@@ -40,9 +40,17 @@ class Territory:
     def stores(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").alias("store_id"), F.col("o_custkey").alias("unit_id"), F.col("o_orderstatus").alias("status"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long").alias("period"))
 
+    @cached_property
+    def deals(self) -> int:
+        """Into how many parts lines are dealt: as many as Spark is set to, or more, so that a part has half a million lines however many there are."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.table("lineitem").count() // 500_000))
+
     @cached_property
     def owners(self) -> DataFrame:
-        return self.table("orders").join(self.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("store_id"), F.col("o_custkey").alias("unit_id"), F.col("l_suppkey").cast("string").alias("pole_id")).distinct()
+        # Dealt by order: joined and told apart where they lie. Few bytes on disk may be many rows, so nothing is broadcast.
+        o = self.table("orders").select("o_orderkey", "o_custkey").repartition(self.deals, "o_orderkey")
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey").repartition(self.deals, "l_orderkey")
+        return o.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("store_id"), F.col("o_custkey").alias("unit_id"), F.col("l_suppkey").alias("pole_num")).distinct().withColumn("pole_id", F.col("pole_num").cast("string"))
 
     @cached_property
     def units(self) -> DataFrame:
@@ -88,10 +96,11 @@ class Territory:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """Stores of each unit and owner, with the owner's distance."""
-        n = self.owners.groupBy("unit_id", "pole_id").agg(F.count_distinct("store_id").alias("n"))
-        u, p = self.units.select("unit_id", "lat", "lon").alias("u"), self.poles.alias("p")
-        return n.join(u, "unit_id").join(p, n.pole_id == F.col("p.pole_id")).select("unit_id", n.pole_id, "p.pole_num", "n", between_tables("u", "p").alias("km"))
+        """Stores of each unit and owner, with the owner's distance; what follows by unit finds a unit's rows in one part."""
+        n = self.owners.select("unit_id", "pole_num").repartition(self.deals, "pole_num").groupBy("unit_id", "pole_num").agg(F.count("*").alias("n"))
+        p = self.poles.select("pole_id", "pole_num", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+        at = n.join(p, "pole_num").repartition(self.deals, "unit_id")
+        return at.join(self.places.select("unit_id", "lat", "lon"), "unit_id").select("unit_id", "pole_id", "pole_num", "n", haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")).alias("km"))
 
     @cached_property
     def current(self) -> DataFrame:
