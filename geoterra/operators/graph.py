@@ -127,28 +127,120 @@ def reached(places: DataFrame, centres: DataFrame, radius_km: float) -> DataFram
     """(pole_id, unit_id): places within ``radius_km`` of a centre that hang together with the nearest one by links.
 
     A link is at most 2.5 times the 75th percentile of nearest-neighbour distances inside the circle, at least 20 km, and at most
-    the larger of 35 km and 0.45 of the radius. ``places`` has (unit_id, lat, lon), ``centres`` (pole_id, lat, lon). Each circle is one group.
+    the larger of 35 km and 0.45 of the radius. ``places`` has (unit_id, lat, lon), ``centres`` (pole_id, lat, lon). Neighbouring centres, at most 256, share a task with
+    the places around them; circles look up what is near and hold no table of pairs. Places and centres that share a spot are worked out once.
     """
+    import math
+
     import numpy as np
     import pandas as pd
+    from pyspark.sql import Window
 
-    from .solvers import distances
+    from ..functions.geo import EARTH_KM
     from .spatial import within_km
+    from .windows import Points
 
-    c, p = centres.select("pole_id", "lat", "lon", F.lit(1).alias("_all")), places.select("unit_id", "lat", "lon", F.lit(1).alias("_all"))
-    inside = within_km(c, p, radius_km, ["_all"]).select("a.pole_id", "b.unit_id", "b.lat", "b.lon", "km")
-
-    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values(["km", "unit_id"]).reset_index(drop=True)
-        n, every = len(u), distances(u, u)
-        np.fill_diagonal(every, np.inf)
-        nearest = np.sort(every.min(1)) if n > 1 else np.array([25.0])
-        link = min(max(20.0, 2.5 * nearest[min(len(nearest) - 1, int(len(nearest) * 0.75))]), max(35.0, 0.45 * radius_km))
-        seen, front = np.zeros(n, bool), np.array([0])
-        seen[0] = True
-        while len(front):
-            front = np.flatnonzero((every[front] <= link).any(0) & ~seen)
-            seen[front] = True
-        return pd.DataFrame({"pole_id": key[0], "unit_id": u["unit_id"][seen]})
-
-    return inside.groupBy("pole_id").applyInPandas(run, "pole_id string, unit_id long")
+    # Half the radius to the north and to the east, so that centres of a tile are at most 0.71 of it apart.
+    high = math.degrees(radius_km / EARTH_KM) * 0.4999
+    strip = F.floor(F.col("lat") / high)
+    widest = F.cos(F.radians(F.least(F.when(strip >= 0, strip).otherwise(-strip - 1) * high, F.lit(89.0))))
+    tile = ["_s", "_x", "_c"]
+    number = F.row_number().over(Window.partitionBy("_s", "_x").orderBy("lat", "lon", "pole_id"))
+    c = centres.select("pole_id", "lat", "lon").filter("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").withColumn("_s", strip).withColumn("_x", F.floor(F.col("lon") * widest / high)).withColumn("_c", F.floor((number - 1) / 256))
+    c = _checkpointed(c)
+    one = c.groupBy(*tile).agg(F.min(F.struct("lat", "lon")).alias("p")).select(F.struct(*tile).alias("tile"), "p.*", F.lit(1).alias("_all"))
+    around = within_km(one, places.select("unit_id", "lat", "lon", F.lit(1).alias("_all")), radius_km * 1.72, ["_all"]).select("a.tile.*", "b.unit_id", "b.lat", "b.lon")
+
+    def nearest_few(spots: Points, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(places, km) of each spot's nearest others in order; -1 where there are fewer."""
+        at, away = np.full((spots.n, few), -1), np.full((spots.n, few), np.inf)
+        first = spots.reach(2.0 * few)
+        for i in range(spots.n):
+            km = first
+            while True:
+                near = spots.window(spots.lat[i], spots.lon[i], km)
+                d = spots.km_from(spots.lat[i], spots.lon[i], near)
+                inside = (d <= km) & (near != i)
+                if inside.sum() >= few or len(near) == spots.n:
+                    break
+                km *= 2
+            inside = near != i if len(near) == spots.n else inside
+            order = np.argsort(d[inside], kind="stable")[:few]
+            at[i, : len(order)], away[i, : len(order)] = near[inside][order], d[inside][order]
+        return at, away
+
+    def linked(spots: Points, km: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The spots within ``km`` of each as (start, places, km) of one long list."""
+        lists, kms = [], []
+        for i in range(spots.n):
+            near = spots.window(spots.lat[i], spots.lon[i], km)
+            d = spots.km_from(spots.lat[i], spots.lon[i], near)
+            lists.append(near[d <= km])
+            kms.append(d[d <= km])
+        return np.concatenate([[0], np.cumsum([len(v) for v in lists])]), np.concatenate(lists), np.concatenate(kms)
+
+    def run(key: tuple, c: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
+        if c.empty or u.empty:
+            return pd.DataFrame({"pole_id": pd.Series([], dtype=object), "units": pd.Series([], dtype=object)})
+        u = u.sort_values(["lat", "lon", "unit_id"]).reset_index(drop=True)
+        new = (u["lat"].diff() != 0) | (u["lon"].diff() != 0)
+        begin = np.append(np.flatnonzero(new), len(u))
+        ids, size = u["unit_id"].to_numpy(), np.diff(begin)
+        spots = Points(u["lat"].to_numpy()[begin[:-1]], u["lon"].to_numpy()[begin[:-1]])
+        near, away = nearest_few(spots)
+        circles = []
+        inside = np.zeros(spots.n + 1, bool)  # the last is no spot's
+        for (lat, lon), poles in c.groupby(["lat", "lon"], sort=False)["pole_id"]:
+            la, lo = math.radians(lat), math.radians(lon)
+            at = spots.window(la, lo, radius_km)
+            km = spots.km_from(la, lo, at)
+            at, km = at[km <= radius_km], km[km <= radius_km]
+            if not len(at):
+                continue
+            inside[at] = True
+            # The first of a spot's nearest that lies in the circle; a spot that several share is 0 away.
+            hit = inside[near[at]]
+            nearest = np.where(hit.any(1), away[at, hit.argmax(1)], np.inf)
+            for k in np.flatnonzero(~hit.any(1) & (size[at] == 1)) if len(at) > 1 else ():
+                d = spots.km_from(spots.lat[at[k]], spots.lon[at[k]], at)
+                d[k] = np.inf
+                nearest[k] = d.min()
+            nearest = np.where(size[at] > 1, 0.0, nearest)
+            inside[at] = False
+            order = np.argsort(nearest, kind="stable")
+            n = int(size[at].sum())
+            quarter = 25.0 if n == 1 else nearest[order][np.searchsorted(np.cumsum(size[at][order]), min(n - 1, int(n * 0.75)), side="right")]
+            start = min(at[km == km.min()].tolist(), key=lambda k: ids[begin[k]])
+            circles.append((min(max(20.0, 2.5 * quarter), max(35.0, 0.45 * radius_km)), start, at, list(poles)))
+        circles.sort(key=lambda x: x[0])
+        rows, lists, upto = [], None, 0.0
+        for link, start, at, poles in circles:
+            if link > upto:
+                # Circles of much the same link share the list.
+                upto = max(x[0] for x in circles if x[0] <= link * 1.25)
+                lists = linked(spots, upto)
+            first, to, km = lists
+            inside[at] = True
+            inside[start] = False
+            found = [np.array([start])]
+            while len(found[-1]):
+                f = found[-1]
+                count = first[f + 1] - first[f]
+                k = np.repeat(first[f] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                next_ = to[k[km[k] <= link]]
+                next_ = np.unique(next_[inside[next_]])
+                inside[next_] = False
+                found.append(next_)
+            inside[at] = False
+            seen = np.concatenate(found)
+            count = size[seen]
+            units = ids[np.repeat(begin[seen] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            rows += [(p, units) for p in poles]
+        return pd.DataFrame(rows, columns=["pole_id", "units"])
+
+    # Parts are numbered, so that little data with much work is not put together.
+    parts = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8) * 8
+    from .solvers import fresh
+
+    met = c.repartition(parts, *tile).groupBy(*tile).cogroup(fresh(around).repartition(parts, *tile).groupBy(*tile))
+    return met.applyInPandas(run, "pole_id string, units array<long>").select("pole_id", F.explode("units").alias("unit_id"))
