@@ -93,6 +93,27 @@ def voronoi(roots: DataFrame, edges: DataFrame) -> DataFrame:
             return state.drop("new")
 
 
+def voronoi_near(roots: DataFrame, places: DataFrame, reach_km: float, keys: list[str]) -> DataFrame:
+    """``voronoi`` where places (unit_id, lat, lon, keys) of equal ``keys`` at most ``reach_km`` apart have an edge, its length rounded to 4 digits: most edges are never formed.
+
+    No path to a unit is longer than the edge from its nearest root, if that is in reach, so no edge longer than that one ends a shortest path there. Units are taken in classes of
+    that distance, each of which looks half as far as the one before.
+    """
+    from .spatial import nearest, within_km
+
+    at = _checkpointed(places.select("unit_id", "lat", "lon", *keys))
+    first = at.join(roots.select("unit_id"), "unit_id", "left_semi").withColumnRenamed("unit_id", "pole_id")
+    # A trifle more, for what rounding may change.
+    bound = nearest(at, first, keys, "pole_id").select("unit_id", F.least(F.round("km", 4) + 1e-3, F.lit(float(reach_km))).alias("_most"))
+    to = _checkpointed(at.join(bound, "unit_id", "left").withColumn("_most", F.coalesce("_most", F.lit(float(reach_km)))))
+    out, km = None, float(reach_km)
+    for k in range(8):
+        here = to.filter((F.col("_most") <= km) & (F.col("_most") > (km / 2 if k < 7 else -1.0)))
+        met = within_km(at, here, km, keys).filter("a.unit_id <> b.unit_id and km <= b._most").select(F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst"), F.round("km", 4).alias("km"))
+        out, km = met if out is None else out.union(met), km / 2
+    return voronoi(roots, _checkpointed(out))
+
+
 def fragmentation(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     """Per pole: units and the number of connected parts of its portfolio."""
     inside = edges.join(assigned.select(F.col("unit_id").alias("src"), "pole_id"), "src").join(assigned.select(F.col("unit_id").alias("dst"), F.col("pole_id").alias("q")), "dst").filter("pole_id = q").select("src", "dst")
