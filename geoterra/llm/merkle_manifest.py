@@ -1,8 +1,8 @@
 """A Merkle manifest of a table: leaves, a tree for each group of rows, a tree over the groups, and a proof for every row.
 
 Leaves have places in their group's order. Levels are windows: partitioned by group and parent's place, an ordered
-collect_list over the full frame holds the parent's preimage and each child's siblings; one row for each parent goes on
-to the next level. Ten levels or so share one shuffle, since a block of leaves that meet there is dealt as a whole.
+collect_list over the full frame holds the parent's preimage and each child's siblings; every leaf keeps a row of its own, which
+takes up its path. Ten levels or so share one shuffle and one sort, since a block of leaves that meet there is dealt as a whole.
 """
 
 from __future__ import annotations
@@ -24,33 +24,29 @@ def digest(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.lit("-")) for v in values]), 256)
 
 
-def _joined(kids: Column) -> Column:
-    return F.array_join(F.transform(kids, lambda k: k["node"]), "")
+def _climb(leaves: DataFrame, fan: int, levels: int) -> DataFrame:
+    """(grp, block, n, node, item, path, first) from leaves (grp, idx, n, node, item): one row for each leaf, with its path inside its block of ``fan`` ** ``levels`` leaves and the block's digest.
 
-
-def _level(nodes: DataFrame, fan: int) -> DataFrame:
-    """Parents of nodes (grp, block, idx, n, node, below); a group's only node stays as it is.
-
-    ``below`` has the items under a node, each with its path: for every level up to here the siblings' digests left and right of it.
+    A level's window holds the rows under one parent; its ordered collect_list has the digests of the parent's children, each from the first leaf
+    under it. All windows follow one sort, from the narrowest to the widest, and no row is longer than one path.
     """
-    up = nodes.withColumn("parent", F.floor(F.col("idx") / fan))
-    frame = Window.partitionBy("grp", "block", "parent").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    up = up.withColumn("kids", F.collect_list(F.struct("idx", "node", "below")).over(frame)).filter(F.col("idx") % fan == 0)
-
-    def with_siblings(kid: Column) -> Column:
-        left = _joined(F.filter("kids", lambda o: o["idx"] < kid["idx"]))
-        right = _joined(F.filter("kids", lambda o: o["idx"] > kid["idx"]))
-        step = F.array(F.struct(left.alias("left"), right.alias("right")))
-        return F.transform(kid["below"], lambda b: F.struct(b["item"].alias("item"), F.concat(b["path"], step).alias("path")))
-
-    many = F.col("n") > 1
-    below = F.when(many, F.flatten(F.transform("kids", with_siblings))).otherwise(F.col("below"))
-    node = F.when(many, F.sha2(_joined(F.col("kids")), 256)).otherwise(F.col("node"))
-    return up.select("grp", "block", F.col("parent").alias("idx"), F.ceil(F.col("n") / fan).alias("n"), node.alias("node"), below.alias("below"))
+    above = [f"p{k}" for k in range(levels, 0, -1)]
+    place = lambda k: F.floor(F.col("idx") / fan**k)
+    empty = F.array().cast("array<struct<left:string,right:string>>")
+    rows = leaves.select("grp", "idx", "n", "node", "item", empty.alias("path"), *[place(int(c[1:])).alias(c) for c in above]).repartition("grp", above[0])
+    for k in range(levels):
+        frame = Window.partitionBy("grp", *above[: levels - k]).orderBy(*above[levels - k :], "idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn("kids", F.collect_list("node").over(frame))
+        own, many = (place(k) % fan).cast("int"), F.ceil(F.col("n") / fan**k) > 1
+        step = F.struct(F.array_join(F.slice("kids", F.lit(1), own), "").alias("left"), F.array_join(F.slice("kids", own + 2, F.lit(fan)), "").alias("right"))
+        up = F.when(F.col("idx") % fan ** (k + 1) == 0, F.when(many, F.sha2(F.array_join("kids", ""), 256)).otherwise(F.col("node")))
+        rows = rows.withColumn("path", F.when(many, F.concat("path", F.array(step))).otherwise(F.col("path"))).withColumn("node", up).drop("kids")
+    whole = Window.partitionBy("grp", above[0])
+    return rows.select("grp", F.col(above[0]).alias("block"), F.ceil(F.col("n") / fan**levels).alias("n"), F.max("node").over(whole).alias("node"), "item", "path", F.col("node").isNotNull().alias("first"))
 
 
 def trees(leaves: DataFrame, fan: int, block: int, name: str) -> DataFrame:
-    """(grp, top, items) from leaves (grp, idx, n, node, item): each row has up to ``block`` items of a group with their paths to its top.
+    """(grp, top, item, path) from leaves (grp, idx, n, node, item): each item with its path to its group's top.
 
     ``idx`` counts from 0 in each group and ``n`` is the group's size. Levels are taken ``block`` leaves together; the blocks' nodes
     are the leaves of the next stage, so stages are as many as the logarithm of the largest group to the base ``block``, and
@@ -59,24 +55,19 @@ def trees(leaves: DataFrame, fan: int, block: int, name: str) -> DataFrame:
     levels = 1
     while fan ** (levels + 1) <= block:
         levels += 1
-    empty = F.array().cast("array<struct<left:string,right:string>>")
     stages, nodes = [], leaves
     while True:
-        held = nodes.select("grp", F.floor(F.col("idx") / fan**levels).alias("block"), "idx", "n", "node", F.array(F.struct("item", empty.alias("path"))).alias("below"))
-        held = held.repartition("grp", "block")
-        for _ in range(levels):
-            held = _level(held, fan)
-        table = written(held.select("grp", F.col("block").alias("idx"), "n", "node", "below"), name)
+        table = written(_climb(nodes, fan, levels), name)
         stages.append(table)
         if table.filter("n > 1").isEmpty():
             break
-        nodes = table.select("grp", "idx", "n", "node", F.col("idx").alias("item"))
-    done = stages.pop().select("grp", F.col("node").alias("top"), F.col("below").alias("items"))
+        nodes = table.filter("first").select("grp", F.col("block").alias("idx"), "n", "node", F.col("block").alias("item"))
+    done = stages.pop().select("grp", F.col("node").alias("top"), "item", "path")
     while stages:
-        upper = done.select(F.col("grp").alias("__grp"), "top", F.explode("items").alias("up"))
+        upper = done.select(F.col("grp").alias("__grp"), "top", F.col("item").alias("__item"), F.col("path").alias("rest"))
         lower = stages.pop()
-        both = lower.join(upper, lower["grp"].eqNullSafe(F.col("__grp")) & (lower["idx"] == F.col("up.item")))
-        done = both.select("grp", "top", F.transform("below", lambda b: F.struct(b["item"].alias("item"), F.concat(b["path"], F.col("up.path")).alias("path"))).alias("items"))
+        both = lower.join(upper, lower["grp"].eqNullSafe(F.col("__grp")) & (lower["block"] == F.col("__item")))
+        done = both.select("grp", "top", "item", F.concat("path", "rest").alias("path"))
     return done
 
 
@@ -106,9 +97,9 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fan: int = 2, bloc
     tops = placed(within.groupBy("grp").agg(F.first("top").alias("node")).withColumn("every", F.lit(0)), ["every"], ["grp"], "merkle-tops")
     count = tops.groupBy("every").agg((F.max("idx") + 1).alias("n"))
     over = trees(tops.join(count, "every").select(F.lit("").alias("grp"), "idx", "n", "node", F.struct(F.col("grp").alias("of")).alias("item")), fan, block, "merkle-levels")
-    over = over.select(F.col("top").alias("root"), F.explode("items").alias("up")).select("root", F.col("up.item.of").alias("of"), F.col("up.path").alias("rest"))
-    out = within.join(over, F.col("grp").eqNullSafe(F.col("of"))).select("top", "root", "rest", F.explode("items").alias("x"))
-    out = out.select(F.col("x.item.*"), F.col("top").alias("subroot"), "root", F.concat("x.path", "rest").alias("path"))
+    over = over.select(F.col("top").alias("root"), F.col("item.of").alias("of"), F.col("path").alias("rest"))
+    out = within.join(over, F.col("grp").eqNullSafe(F.col("of")))
+    out = out.select(F.col("item.*"), F.col("top").alias("subroot"), "root", F.concat("path", "rest").alias("path"))
     proof = F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), ""), 256)
     out = out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "path", folded(F.col("now"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
