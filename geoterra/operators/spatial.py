@@ -40,6 +40,30 @@ def nearest(units: DataFrame, poles: DataFrame, within: list[str] | None = None,
     return nearest_k(units, poles, 1, within, order).select("unit_id", "pole_id", "km")
 
 
+def nearest_other(units: DataFrame, km: float, within: list[str] | None = None) -> DataFrame:
+    """(unit_id, km): how far each unit's nearest other unit is, in the same group if ``within`` names one; units that have none within ``km`` are left out.
+
+    Units that share a place are known at once. The other places first look as far as places lie apart on average, and those that find none twice as far, up to ``km``: so few pairs are formed at a time.
+    """
+    keys = within or []
+    by = [*keys, "lat", "lon"]
+    held = boxtree._checkpointed(_known(units).select("unit_id", *by).dropna(subset=keys) if keys else _known(units).select("unit_id", *by))
+    spots = boxtree._checkpointed(held.groupBy(*by).agg(F.count("*").alias("n"), F.min("unit_id").alias("spot")))
+    size = spots.agg(F.count("*").alias("n"), F.count_distinct(*[F.col(k) for k in keys] or [F.lit(0)]).alias("groups"), F.min("lat").alias("s"), F.max("lat").alias("n2"), F.min("lon").alias("w"), F.max("lon").alias("e")).first()
+    places = spots.select("spot", *by)
+    alone, found = spots.filter("n = 1").select("spot", *by), spots.filter("n > 1").select("spot", F.lit(0.0).alias("km"))
+    degree = math.radians(1) * EARTH_KM
+    reach = min(km, max(math.sqrt((size.n2 - size.s) * (size.e - size.w) * degree**2 * size.groups / size.n), km / 1024)) if size.n else km
+    while True:
+        met = within_km(alone, places, reach, keys).filter(F.col("a.spot") != F.col("b.spot"))
+        near = boxtree._checkpointed(met.groupBy(F.col("a.spot").alias("spot")).agg(F.min("km").alias("km")))
+        found = found.unionByName(near)
+        alone = boxtree._checkpointed(alone.join(near.select("spot"), "spot", "left_anti"))
+        if reach >= km or alone.isEmpty():
+            return held.join(spots.select("spot", *by), by).join(found, "spot").select("unit_id", "km")
+        reach = min(2 * reach, km)
+
+
 def within_km(left: DataFrame, right: DataFrame, km: float, keys: list[str]) -> DataFrame:
     """Pairs (aliases a and b) of equal ``keys`` at most ``km`` apart, found by latitude strips of that height, cut into cells that are at least as wide."""
     strip = math.degrees(km / EARTH_KM)
