@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
+from ..functions.geo import EARTH_KM
 from .windows import Points
 
 
@@ -38,6 +40,54 @@ class Nearby:
         return known
 
 
+def closest_first(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, kilometres) of the pairs that a scan of all pairs, the closest first and ties by row, then column, would take: each row and column once.
+
+    Every row waits with its nearest free column; one whose column is gone looks anew. The columns are dealt to cells again whenever half of them are gone.
+    """
+    lat, lon, to_lat, to_lon = (np.asarray(v, float) for v in (lat, lon, to_lat, to_lon))
+    left, points = np.arange(len(to_lat)), Points(to_lat, to_lon)
+    free, n = np.ones(len(left), bool), len(left)
+    place = np.arange(len(to_lat))
+
+    def best(i: int) -> tuple[float, int, int]:
+        y, x, reach = math.radians(lat[i]), math.radians(lon[i]), points.reach()
+        while True:
+            at = points.window(y, x, reach)
+            whole = len(at) == points.n
+            at = at[free[at]]
+            if len(at):
+                # Differences are taken in degrees, as ``geo.haversine`` takes them, so that the same pairs tie.
+                to = left[at]
+                h = np.sin(np.radians(to_lat[to] - lat[i]) / 2) ** 2 + math.cos(y) * points.cos[at] * np.sin(np.radians(to_lon[to] - lon[i]) / 2) ** 2
+                away = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+                least = away.min()
+                if least <= reach or whole:
+                    return float(least), i, int(to[away == least].min())
+            reach *= 2
+
+    queue = [best(i) for i in range(len(lat))] if n else []
+    heapq.heapify(queue)
+    rows, columns, kms = [], [], []
+    while queue and n:
+        km, i, j = queue[0]
+        if place[j] >= 0 and free[place[j]]:
+            heapq.heappop(queue)
+            rows.append(i)
+            columns.append(j)
+            kms.append(km)
+            free[place[j]] = False
+            n -= 1
+            if n and 2 * n < len(left):
+                gone = left[~free]
+                left = left[free]
+                points, free = Points(to_lat[left], to_lon[left]), np.ones(n, bool)
+                place[gone], place[left] = -1, np.arange(n)
+        else:
+            heapq.heapreplace(queue, best(i))
+    return np.array(rows, int), np.array(columns, int), np.array(kms, float)
+
+
 def least_sum(near: Nearby, limit: float = np.inf) -> np.ndarray:
     """The column of each row (rows <= columns) in a one-to-one assignment of least total distance, over pairs at most ``limit`` apart: shortest augmenting paths.
 
